@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, packing
+from fieldweave.llm import bpe, packing, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that 13-word windows of earlier documents repeat."""
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of all documents by optimal length buckets."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -25,6 +30,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_recompression": op4_recompression,
     "op5_length_buckets": op5_length_buckets,
     "op6_byte_bpe": op6_byte_bpe,
 }
