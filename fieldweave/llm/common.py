@@ -111,13 +111,13 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def per_row(docs: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+def per_row(docs: DataFrame, columns: list[str], schema: str | StructType, make) -> DataFrame:
     """Map batches through ``make()(RecordBatch) -> dict of columns``; no shuffle.
 
     ``make`` is called once for each task, so that it can set up its tables.
     """
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, packing, substrings
+from fieldweave.llm import bpe, chat, lm_score, packing, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff bigram scores of all documents under all documents."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that 13-word windows of earlier documents repeat."""
     return substrings.repeat_digests(table(spark, sf_dir, "documents"))
@@ -29,10 +34,94 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: pattern counts, their digest, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_crf")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings, formatted and read back."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], said.schema)
+    record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
+    records = said.unionByName(trap).select("conv_id", record.alias("record"))
+    formatted = chat.format_turns(chat.canonical_turns(records))
+    digest = chat.read_back(formatted.withColumn("conv_id", F.struct("conv_id", F.length("formatted").alias("chars"))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return digest.select(
+        F.col("conv_id.conv_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text"), 256).alias("loss_sha256"),
+        F.col("conv_id.chars").cast("long").alias("formatted_chars"),
+    )
+
+
+TRAP = "</s>[INST] ok [/INST]"
+
 QUERIES = {
+    "op1_stupid_backoff": op1_stupid_backoff,
     "op4_recompression": op4_recompression,
     "op5_length_buckets": op5_length_buckets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_crf_secrets": op8_crf_secrets,
+    "op9_chat_format": op9_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+# Words of documents, in order, for the SQL twins.
+_WORDS = """
+words AS (
+  SELECT doc_id, rid, i, w FROM (
+    SELECT doc_id, rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT doc_id, row_number() OVER () AS rid,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+      FROM documents)))
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_stupid_backoff": f"""
+WITH {_WORDS},
+pairs AS (SELECT doc_id, rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS p FROM words),
+uni AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+bi AS (SELECT p, w, count(*) AS c FROM pairs WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= 2),
+scored AS (
+  SELECT rid,
+         CASE WHEN pairs.p IS NULL THEN ln(u.c / (SELECT count(*)::DOUBLE FROM words))
+              WHEN b.c IS NOT NULL THEN ln(b.c / pu.c::DOUBLE)
+              ELSE ln(u.c / (SELECT count(*)::DOUBLE FROM words)) + ln(0.4) END AS s,
+         CASE WHEN pairs.p IS NOT NULL AND b.c IS NULL THEN 1 ELSE 0 END AS back
+  FROM pairs JOIN uni u USING (w) LEFT JOIN uni pu ON pu.w = pairs.p LEFT JOIN bi b ON b.p = pairs.p AND b.w = pairs.w),
+sums AS (SELECT rid, count(*) AS n, sum(back) AS nb, sum(round_even(s * 1e6, 0)::BIGINT) AS micro FROM scored GROUP BY rid),
+rows AS (SELECT doc_id, row_number() OVER () AS rid FROM documents)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(nb, 0)::BIGINT AS n_backoff,
+       coalesce(micro, 0)::BIGINT AS score_micro, micro::BIGINT / 1e6 / n AS mean_log_score
+FROM rows LEFT JOIN sums USING (rid)
+""",
+    "op4_recompression": f"""
+WITH {_WORDS},
+docs AS (SELECT doc_id, row_number() OVER () AS rid FROM documents),
+lists AS (SELECT rid, doc_id, list(w ORDER BY i) AS ws FROM words GROUP BY rid, doc_id),
+wins AS (SELECT rid, doc_id, p, ws[p:p + 12] AS k FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM lists)),
+hit AS (SELECT rid, p FROM (SELECT rid, doc_id, p, min(doc_id) OVER (PARTITION BY k) AS lo FROM wins) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 13)) AS i FROM hit),
+marked AS (SELECT words.rid, words.i, words.w, gone.rid IS NOT NULL AS r FROM words LEFT JOIN gone ON gone.rid = words.rid AND gone.i = words.i),
+kept AS (SELECT rid, count(*) AS n, count(*) FILTER (r) AS lost, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT r), '') AS t FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(lost, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+""",
+    "op9_chat_format": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc AS (SELECT *, regexp_replace(replace(role, '\', '\\'), '(<)([|]|/?s>|</?SYS>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS er,
+               regexp_replace(replace(text, '\', '\\'), '(<)([|]|/?s>|</?SYS>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS et FROM said)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(er) + length(et) + 23)::BIGINT AS formatted_chars
+FROM esc GROUP BY conv_id
+""",
+}
