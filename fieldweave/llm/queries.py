@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, chat, lm_score, packing, secrets, substrings
+from fieldweave.llm import bpe, chat, lm_score, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and the learned decision list's verdicts."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *base, "base_failed", "kept", "rule")
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that 13-word windows of earlier documents repeat."""
     return substrings.repeat_digests(table(spark, sf_dir, "documents"))
@@ -63,6 +70,7 @@ TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff,
+    "op3_decision_list": op3_decision_list,
     "op4_recompression": op4_recompression,
     "op5_length_buckets": op5_length_buckets,
     "op6_byte_bpe": op6_byte_bpe,
