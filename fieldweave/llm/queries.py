@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, chat, lm_score, packing, quality, secrets, substrings
+from fieldweave.llm import bpe, chat, lm_score, neighbors, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector among all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbors.search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
@@ -76,6 +82,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_crf_secrets": op8_crf_secrets,
     "op9_chat_format": op9_chat_format,
+    "op10_multiprobe": op10_multiprobe,
 }
 
 # Words of documents, in order, for the SQL twins.
