@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, chat, lm_score, neighbors, packing, quality, secrets, substrings
+from fieldweave.llm import bpe, chat, lm_score, neighbors, packing, quality, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op2_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives with revisits, and read back."""
+    records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    revisit = F.col("type") == "revisit"
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(revisit, F.col("told_length").cast("long")).otherwise(F.col("content_length")).alias("payload_bytes"),
+        F.when(revisit, F.regexp_replace("told_digest", "^sha1:", "")).otherwise(F.col("sha")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(revisit, warc.page_of(F.col("refers_to"))).alias("refers_to"),
+    )
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents and the learned decision list's verdicts."""
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -76,6 +89,7 @@ TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff,
+    "op2_boundary_chain": op2_boundary_chain,
     "op3_decision_list": op3_decision_list,
     "op4_recompression": op4_recompression,
     "op5_length_buckets": op5_length_buckets,
@@ -113,6 +127,19 @@ rows AS (SELECT doc_id, row_number() OVER () AS rid FROM documents)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(nb, 0)::BIGINT AS n_backoff,
        coalesce(micro, 0)::BIGINT AS score_micro, micro::BIGINT / 1e6 / n AS mean_log_score
 FROM rows LEFT JOIN sums USING (rid)
+""",
+    "op2_boundary_chain": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hexed AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha1(html) AS h FROM p),
+chars AS (
+  SELECT page_id, n, h, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS d
+  FROM hexed)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY d) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER (PARTITION BY d) THEN min(page_id) OVER (PARTITION BY d) END AS refers_to
+FROM chars
 """,
     "op4_recompression": f"""
 WITH {_WORDS},
