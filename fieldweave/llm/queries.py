@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, chat, lm_score, neighbors, packing, quality, secrets, substrings, warc
+from fieldweave.llm import bpe, chat, lm_score, near_dup, neighbors, packing, quality, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by 2-word shingles at a similarity of 0.8."""
+    return near_dup.classes(table(spark, sf_dir, "documents"), width=2)
+
+
 def op8_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: pattern counts, their digest, and all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op4_recompression": op4_recompression,
     "op5_length_buckets": op5_length_buckets,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_bayes_minhash": op7_bayes_minhash,
     "op8_crf_secrets": op8_crf_secrets,
     "op9_chat_format": op9_chat_format,
     "op10_multiprobe": op10_multiprobe,
