@@ -225,3 +225,18 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     rules = learn(labelled)
     judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that no learned rule rejects, with all their columns.
+
+    Rules are learned on all labelled documents. A row is judged by its own
+    text, so rows that share an id may fare differently.
+    """
+    t = F.col(text)
+    marked = docs.withColumn("_mark", F.xxhash64(doc_id, text))
+    stats = stage(statistics(docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("mark")).alias("_key"), t), doc_id="_key", text=text), "quality")
+    plain = stats.select(F.col("doc_id.id").alias("doc_id"), *stats.columns[1:])
+    rules = learn(stage(label(plain, labels), "quality-labelled"))
+    bad = stats.where(verdict(rules).isNotNull()).select(F.col("doc_id.mark").alias("_bad")).distinct()
+    return marked.join(bad, marked["_mark"] == bad["_bad"], "left_anti").drop("_mark")
