@@ -1,5 +1,282 @@
-"""Registered queries over the driver tables."""
+"""Registered queries over the driver tables, one for each operator family.
+
+Arrays are joined into strings, so that results compare by value in any engine.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldweave import constants as K
+from fieldweave.functions import text, urls, versions
+from fieldweave.operators import align as al
+from fieldweave.operators import compare, coverage, normalize
+from fieldweave.plans import adapter
+from fieldweave.sources.feeds import choose_files
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.align(adapter.left_records(spark, sf_dir), adapter.right_records(spark, sf_dir))
+
+
+def _joined(values: Column) -> Column:
+    return F.array_join(values, "|")
+
+
+def _keyed(pairs: DataFrame, result: Column, *extra: str) -> DataFrame:
+    staged = pairs.select(*adapter.KEYS, "cve_id", result.alias("r"))
+    return staged.select(*adapter.KEYS, "cve_id", F.col("r.status").alias("status"), F.col("r.note").alias("note"), *[F.expr(e) for e in extra])
+
+
+def align_left_join(spark, sf_dir):
+    """Every order with its lines in path order."""
+    a = _aligned(spark, sf_dir)
+    labels = F.transform("ghsa", lambda g: F.coalesce(g["severity"]["label"], F.lit("-")))
+    paths = F.transform("ghsa", lambda g: F.substring(g["source_id"], F.lit(1), F.lit(29)))
+    return a.select("cve_id", F.size("ghsa").cast("long").alias("n_ghsa"), _joined(labels).alias("labels"), _joined(paths).alias("paths"))
+
+
+def align_matched_counts(spark, sf_dir):
+    counts = al.match_counts(_aligned(spark, sf_dir))
+    return counts.select(
+        "*",
+        (F.col("total_rows") - F.col("matched_rows")).alias("unmatched_rows"),
+        text.ratio(F.col("matched_rows"), F.col("total_rows")).alias("matched_rate"),
+        text.ratio(F.col("multi_rows"), F.col("matched_rows")).alias("multi_rate"),
+    )
+
+
+def align_coverage_docs(spark, sf_dir):
+    """Documents left-joined with their labels: totals by language, with partial coverage."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lists = labels.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n"))
+    joined = docs.join(lists, docs["doc_id"] == lists["_key"], "left")
+    return joined.groupBy("lang").agg(F.count("*").alias("total_rows"), F.count_if(F.coalesce("n", F.lit(0)) > 0).alias("matched_rows"))
+
+
+def one_to_one_pairs(spark, sf_dir):
+    pairs = al.one_to_one(_aligned(spark, sf_dir))
+    return pairs.select("cve_id", F.col("nvd.severity.label").alias("nvd_label"), F.col("ghsa.severity.label").alias("ghsa_label"), F.col("ghsa.published").alias("ghsa_published"))
+
+
+def year_match_rate(spark, sf_dir):
+    return coverage.year_coverage(_aligned(spark, sf_dir))
+
+
+def field_presence(spark, sf_dir):
+    return coverage.field_coverage(_aligned(spark, sf_dir))
+
+
+def severity_canonical(spark, sf_dir):
+    pairs = adapter.all_pairs(spark, sf_dir)
+    nvd, ghsa = (text.canonical_severity(F.col(f"{s}.severity.label"), K.SEVERITY) for s in ("nvd", "ghsa"))
+    return pairs.select(nvd.alias("nvd_canonical"), ghsa.alias("ghsa_canonical")).groupBy("nvd_canonical", "ghsa_canonical").agg(F.count("*").alias("pairs"))
+
+
+def cmp_severity(spark, sf_dir):
+    return _keyed(adapter.all_pairs(spark, sf_dir), compare.discrepancies()["severity"], "r.rank_distance AS rank_distance")
+
+
+def cmp_published(spark, sf_dir):
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    return _keyed(pairs, compare.discrepancies()["published"], "r.day_diff AS day_diff")
+
+
+def cmp_cwe(spark, sf_dir):
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    return _keyed(pairs, compare.discrepancies()["cwe_ids"], "array_join(r.nvd_value, '|') AS nvd_value", "array_join(r.ghsa_value, '|') AS ghsa_value", "array_join(r.shared_values, '|') AS shared_values")
+
+
+def cmp_references(spark, sf_dir):
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    return _keyed(pairs, compare.discrepancies()["references"], "array_join(r.nvd_value, '|') AS nvd_value", "array_join(r.ghsa_hosts, '|') AS ghsa_hosts", "array_join(r.shared_values, '|') AS shared_values")
+
+
+def cmp_affected(spark, sf_dir):
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    return _keyed(pairs, compare.discrepancies()["affected_versions"])
+
+
+def discrepancy_stats(spark, sf_dir):
+    """Status counts of all five fields over every pair."""
+    pairs = adapter.all_pairs(spark, sf_dir).select("cve_id", "nvd", "ghsa")
+    return compare.status_counts(compare.compare_pairs(pairs))
+
+
+def discrepancy_stats_one_to_one(spark, sf_dir):
+    """Status counts over the pairs that alignment leaves one to one."""
+    return compare.status_counts(compare.compare_pairs(al.one_to_one(_aligned(spark, sf_dir))))
+
+
+def unified_view_flat(spark, sf_dir):
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    v = pairs.select(*adapter.KEYS, compare.unified_view().alias("v"))
+    return v.select(
+        *adapter.KEYS,
+        F.col("v.severity.nvd.canonical_label").alias("nvd_severity"),
+        F.col("v.severity.ghsa.canonical_label").alias("ghsa_severity"),
+        F.col("v.published.nvd").alias("nvd_published"),
+        F.col("v.published.ghsa").alias("ghsa_published"),
+        _joined(F.col("v.cwe_ids.nvd")).alias("nvd_cwe"),
+        _joined(F.col("v.cwe_ids.ghsa")).alias("ghsa_cwe"),
+        _joined(F.col("v.references.nvd_urls")).alias("nvd_urls"),
+        _joined(F.col("v.references.ghsa_urls")).alias("ghsa_urls"),
+        _joined(F.col("v.references.nvd_hosts")).alias("nvd_hosts"),
+        _joined(F.col("v.package_names.nvd")).alias("nvd_packages"),
+        _joined(F.col("v.package_names.ghsa")).alias("ghsa_packages"),
+        F.size("v.affected_versions.ghsa").cast("long").alias("ghsa_spans"),
+    )
+
+
+def url_canonical(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"))
+
+
+def url_host_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+def reference_set_per_host(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), urls.canonical_url(F.col("url")).alias("u"))
+    return pages.groupBy("host").agg(_joined(F.array_sort(F.collect_set("u"))).alias("urls"))
+
+
+def href_extract(spark, sf_dir):
+    """Links of every page as references: in order, with hosts."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    none = F.lit(None)
+    refs = normalize.references(F.transform(links, lambda u: F.struct(u.alias("url"), none.cast("string").alias("source"), none.cast("array<string>").alias("tags"))))
+    out = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(refs).alias("pos", "ref"))
+    return out.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("ref.url").alias("url"), F.coalesce("ref.host", F.lit("")).alias("host"))
+
+
+def text_normalize(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    norm = text.normalize_text(F.col("text"))
+    return docs.select("doc_id", F.md5(norm.cast("binary")).alias("normalized_md5"), norm.isNotNull().alias("present"))
+
+
+def prefix_filter(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part")
+    rows = parts.where(F.col("p_name").startswith("red ") | F.col("p_name").startswith("blue "))
+    return rows.where(text.truthy(F.col("p_brand"))).groupBy("p_brand").agg(F.count("*").alias("parts"))
+
+
+def cpe_split(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    head = F.concat(F.lit("cpe:2.3:a:"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(":"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    cpe = F.when(F.col("p_size") % 5 == 0, head).otherwise(F.concat(head, F.lit(":"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("1."), size)), F.lit(":*:*")))
+    c = F.col("criteria")
+    return _table(spark, sf_dir, "part").select("p_partkey", cpe.alias("criteria")).select(
+        "p_partkey", text.cpe_part(c, 3).alias("vendor"), text.cpe_part(c, 4).alias("product"), text.cpe_part(c, 5).alias("version")
+    )
+
+
+def metric_choice(spark, sf_dir):
+    """Events as score entries: the preferred metric and its chosen entry for each user."""
+    kind = normalize.K.METRIC_KEYS
+    e = _table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    key = F.col("event_id") % 4
+    primary = F.when(F.col("event_id") % 5 == 0, K.PRIMARY_TYPE).otherwise("Secondary")
+    source = F.when(F.col("event_id") % 7 == 0, K.PRIMARY_SOURCE).otherwise("other")
+    data = F.struct(F.col("value").alias("baseScore"), F.col("event_type").alias("baseSeverity"), F.lit(None).cast("string").alias("vectorString"))
+    entry = F.struct(source.alias("source"), primary.alias("type"), data.alias("cvssData"))
+    # a user's events of one day make one record, so lists stay short
+    lists = e.groupBy("user_id", F.to_date("ts").alias("day"))
+    agg = [F.transform(F.sort_array(F.collect_list(F.when(key == i, F.struct("event_id", entry.alias("x"))))), lambda s: s["x"]).alias(k) for i, k in enumerate(kind)]
+    chosen = lists.agg(*agg).select("user_id", "day", normalize.chosen_metric(F.struct(*kind)).alias("m"))
+    return chosen.select("user_id", "day", F.col("m.key").alias("metric_key"), F.col("m.entry.source").alias("source"), F.col("m.entry.type").alias("type"), F.col("m.entry.cvssData.baseSeverity").alias("label"))
+
+
+def first_alias(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    aliases = F.array(F.concat(F.lit("GHSA-"), k), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("CVE-"), k)).otherwise("PYSEC-1"), F.concat(F.when(F.col("o_orderkey") % 5 != 0, "CVE-2-").otherwise("X-"), k))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.first_with_prefix(aliases, "CVE-").alias("alias"))
+
+
+def cwe_extract(spark, sf_dir):
+    def d(value: Column, lang: str = "en") -> Column:
+        return F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+
+    k = F.col("o_orderkey")
+    first = F.struct(F.array(d(F.concat(F.lit("CWE-"), (k % 9).cast("string"))), d(F.lit("NVD-CWE-noinfo"))).alias("description"))
+    second = F.struct(F.array(d(F.concat(F.lit("CWE-"), (k % 4).cast("string")), "es")).alias("description"))
+    described = F.array(d(F.lit("hola"), "es"), d(F.lit("")), d(F.concat(F.lit("text "), k.cast("string"))))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", _joined(normalize.weakness_ids(F.array(first, second))).alias("cwe_ids"), normalize.english_summary(described).alias("summary")
+    )
+
+
+def affected_explode(spark, sf_dir):
+    """Advisory items from lines, exploded into affected rows."""
+    p = F.col("l_partkey")
+
+    def event(name: str, value: Column) -> Column:
+        return F.create_map(F.lit(name), value)
+
+    text_of = lambda c: c.cast("string")
+    range_one = F.struct(F.array(event("introduced", F.concat(F.lit("1."), text_of(p % 4))), event("fixed", F.concat(F.lit("2."), text_of(p % 3))), event("introduced", F.lit("9"))).alias("events"))
+    range_two = F.struct(F.array(event("introduced", F.lit("0"))).alias("events"))
+    no_range = F.array().cast("array<struct<events: array<map<string, string>>>>")
+    ranges = F.when(p % 4 == 0, no_range).when(p % 4 == 1, F.array(range_one)).otherwise(F.array(range_one, range_two))
+    known = F.when(p % 3 == 0, F.array(F.lit("1.0"), F.concat(F.lit("1."), text_of(p % 5)))).otherwise(F.array().cast("array<string>"))
+    package = F.struct(F.concat(F.lit("pkg"), text_of(p % 50)).alias("name"), F.lit("PyPI").alias("ecosystem"))
+    item = F.struct(package.alias("package"), ranges.alias("ranges"), known.alias("versions"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.inline(normalize.advisory_affected(F.array(item))))
+    return rows.select("l_orderkey", "l_linenumber", "package_name", "version", "introduced", "fixed", "version_end_excluding")
+
+
+def version_point_in_range(spark, sf_dir):
+    """Pairs whose left side is a point version inside a range on the right."""
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    return pairs.select(*adapter.KEYS, versions.points_covered(F.col("nvd_spans"), F.col("ghsa_spans")).alias("covered"))
+
+
+def json_props(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return e.groupBy("event_type").agg(F.count("p.k").alias("parsed"), F.sum("p.k").alias("total"))
+
+
+def year_file_counts(spark, sf_dir):
+    rel = F.concat(F.lit("advisories/github-reviewed/"), F.year("o_orderdate").cast("string"), F.lit("/01/x.json"))
+    rows = _table(spark, sf_dir, "orders").select(rel.alias("rel"))
+    return rows.groupBy(F.get(F.split("rel", "/"), F.lit(2)).alias("year")).agg(F.count("*").alias("records")).orderBy("year")
+
+
+def latest_file_per_year(spark, sf_dir):
+    """A derived listing with plain and zipped files of the same year: the file that goes first."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("/raw/nvdcve-2.0-"), F.year("o_orderdate").cast("string"), F.when(k % 2 == 0, ".json").otherwise(".json.zip"))
+    return choose_files(_table(spark, sf_dir, "orders").select(name.alias("path")).distinct())
+
+
+def sorted_span_dedup(spark, sf_dir):
+    """Canonical and effective spans of both sides."""
+
+    def told(spans: Column, fields: tuple[str, ...]) -> Column:
+        return _joined(F.array_sort(F.transform(spans, lambda s: F.concat_ws(";", *[F.coalesce(s[f], F.lit("")) for f in fields]))))
+
+    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
+    effective = ("lower_including", "lower_excluding", "upper_including", "upper_excluding", "version")
+    return pairs.select(
+        *adapter.KEYS,
+        told(F.col("nvd_spans"), versions.SPAN).alias("nvd_spans"),
+        told(F.col("ghsa_spans"), versions.SPAN).alias("ghsa_spans"),
+        told(F.col("ghsa_effective"), effective).alias("ghsa_effective"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        align_left_join, align_matched_counts, align_coverage_docs, one_to_one_pairs, year_match_rate, field_presence, severity_canonical, cmp_severity,
+        cmp_published, cmp_cwe, cmp_references, cmp_affected, discrepancy_stats, discrepancy_stats_one_to_one, unified_view_flat, url_canonical,
+        url_host_counts, reference_set_per_host, href_extract, text_normalize, prefix_filter, cpe_split, metric_choice, first_alias, cwe_extract,
+        affected_explode, version_point_in_range, json_props, year_file_counts, latest_file_per_year, sorted_span_dedup,
+    )
+}
