@@ -4,6 +4,9 @@ Records are written by Spark's text writer. Of equal payloads of at least
 ``revisit_from`` bytes, the record with the smallest page id carries the payload
 and the others are revisits that refer to it.
 
+Archives are compressed, as is usual; a compressed file is read by one task, so
+files hold at most ``records_a_file`` records. Offsets are those of the text.
+
 Reading splits archives at every occurrence of the version line, in parallel.
 Such a place is only a candidate, since payloads may hold the line too. Each
 task emits its candidates with the offset of their successor, which the content
@@ -50,8 +53,8 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, date: str = "1970-01-01T00:00:00Z", records_a_file: int = 20_000, path: str | None = None) -> str:
-    """Write an archive record for each page; returns the folder."""
+def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, date: str = "1970-01-01T00:00:00Z", records_a_file: int = 20_000, compression: str = "gzip", path: str | None = None) -> str:
+    """Write an archive record for each page; returns the folder. ``compression``: a codec of Spark's text writer, or none."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -80,7 +83,7 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
         F.lit(CRLF + CRLF),
         body,
     )
-    known.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_a_file).text(path)
+    known.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_a_file).option("compression", compression).text(path)
     return path
 
 

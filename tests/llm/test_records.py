@@ -30,11 +30,11 @@ def sha(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
 
-@pytest.mark.parametrize("split", ["128m", "1k"])
+@pytest.mark.parametrize(("split", "compression"), [("128m", "gzip"), ("128m", "none"), ("1k", "none"), ("1k", "gzip")])
 @pytest.mark.parametrize("revisit_from", [0, 5])
-def test_archives(spark, split, revisit_from):
+def test_archives(spark, split, compression, revisit_from):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, type string").coalesce(1)
-    path = warc.write(pages, revisit_from=revisit_from)
+    path = warc.write(pages, revisit_from=revisit_from, compression=compression)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
