@@ -10,12 +10,15 @@ to the slot edges crossed. Buckets are cut into chunks of at most ``chunk``
 points, so no task holds a popular bucket whole. Each chunk ranks its points
 against the queries that visit it by exact cosine in double precision and
 passes on k for each query; the candidates of all chunks and tables then merge.
+A query whose buckets hold fewer than k ids is ranked anew against all points,
+in chunks of the same size, so it gets k rows, or every candidate if there are
+fewer.
 
 The chunks of a table hold every row, and queries are exact within what they
 visit. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part. Ties go to the smaller id. Rows that repeat
-an id with another vector are rows of their own; a query never meets a row of
-its own id. Empty tables give no rows. Other columns are not read.
+an id with another vector are rows of their own, of which a query lists the
+nearest; a query never meets a row of its own id. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -151,17 +154,15 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
     sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("size"))
     sizes = sizes.select("tab", "bucket", F.ceil(F.col("size") / chunk).alias("chunks"))
     cut = placed.join(sizes, ["tab", "bucket"]).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
-    held = cut.join(points.select("pid", "v", "ids"), "pid").select("tab", "bucket", "part", "v", "ids", F.lit(None).cast("long").alias("qid"))
+    no_query = F.lit(None).cast("long").alias("qid")
+    held = cut.join(points.select("pid", "v", "ids"), "pid").select("tab", "bucket", "part", "v", "ids", no_query)
     asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
     visits = per_row(asked, ["qid", "v"], "tab int, bucket long, qid long", hash_queries).join(sizes, ["tab", "bucket"])
     visits = visits.select("tab", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid")
-    came = visits.join(asked.withColumnRenamed("id", "query_id"), "qid").select("tab", "bucket", "part", "v", F.array("query_id").alias("ids"), "qid")
+    came = visits.join(asked, "qid").select("tab", "bucket", "part", "v", F.array("id").alias("ids"), "qid")
 
     id_kind = rows.schema[key].dataType.simpleString()
-    grouped = held.unionByName(came).withColumn("group", F.xxhash64("tab", "bucket", "part"))
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the points of a chunk come before the queries that visit it
-    dealt = grouped.select("group", "v", "ids", "qid").repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
 
     def rank(batches):
         current, points_x, points_ids = None, [], []
@@ -189,16 +190,23 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
         for at in range(0, len(asked_x), 256):
             near = asked_x[at : at + 256] @ unit.T  # in the order of cosine for each query
             for i, row in enumerate(near, at):
-                x = asked_x[i]
-                if len(row) > k + 1:
-                    edge = np.partition(row, -(k + 1))[-(k + 1)]
-                    pick = np.flatnonzero(row >= edge - 1e-9 * np.sqrt(x @ x))
-                else:
-                    pick = np.arange(len(row))
-                cosine = (has[pick] * x).sum(1) / (norm[pick] * np.sqrt((x * x).sum()))
-                own = asked_ids[i][0]
-                best = [(-c, v) for c, j in zip(cosine.tolist(), pick.tolist(), strict=True) for v in has_ids[j] if v != own]
-                for c, v in heapq.nsmallest(k, best):
+                x, own, most = asked_x[i], asked_ids[i][0], k + 1
+                while True:
+                    if len(row) > most:
+                        edge = np.partition(row, -most)[-most]
+                        pick = np.flatnonzero(row >= edge - 1e-9 * np.sqrt(x @ x))
+                    else:
+                        pick = np.arange(len(row))
+                    cosine = (has[pick] * x).sum(1) / (norm[pick] * np.sqrt((x * x).sum()))
+                    best = {}
+                    for c, j in zip(cosine.tolist(), pick.tolist(), strict=True):
+                        for v in has_ids[j]:
+                            if v != own:
+                                best[v] = max(c, best.get(v, c))
+                    if len(best) >= k or len(pick) == len(row):
+                        break
+                    most *= 4  # points that share their ids
+                for c, v in heapq.nsmallest(k, [(-c, v) for v, c in best.items()]):
                     out["qid"].append(asked_q[i])
                     out["query_id"].append(own)
                     out["found"].append(v)
@@ -206,8 +214,25 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
 
     ddl = f"qid long, query_id {id_kind}, found {id_kind}, score double"
     result = to_arrow_schema(StructType.fromDDL(ddl))
-    found = dealt.mapInArrow(rank, ddl)
-    best = found.groupBy("qid", "query_id", "found").agg(F.max("score").alias("score"))
-    # k of each chunk at most reach a query, so its list is bounded by probes, tables and chunks
-    top = best.groupBy("qid", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("found")))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.found").alias(key), (-F.col("t.far")).alias("score"))
+
+    def nearest_of(held: DataFrame, came: DataFrame) -> DataFrame:
+        """(qid, query_id, top): the k best that each query meets in the chunks it visits."""
+        grouped = held.unionByName(came).withColumn("group", F.xxhash64("tab", "bucket", "part"))
+        # the points of a chunk come before the queries that visit it
+        dealt = grouped.select("group", "v", "ids", "qid").repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
+        best = dealt.mapInArrow(rank, ddl).groupBy("qid", "query_id", "found").agg(F.max("score").alias("score"))
+        # k of each chunk at most reach a query, so its list is bounded by probes, tables and chunks
+        return best.groupBy("qid", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("found")))), 1, k).alias("top"))
+
+    top = stage(nearest_of(held, came), "nearest")
+    full = top.where(F.size("top") >= k)
+    # queries that found too few, those that found none among them, meet all points: each chunk passes on its k best
+    short = stage(asked.join(full.select("qid"), "qid", "left_anti"), "short")
+    if not short.isEmpty():
+        everywhere = [F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket")]
+        parts = -(-points.count() // chunk)
+        all_held = points.select(*everywhere, F.pmod(F.xxhash64("pid"), F.lit(parts)).alias("part"), "v", "ids", no_query)
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        all_came = short.select(*everywhere, every_part, "v", F.array("id").alias("ids"), "qid")
+        full = full.unionByName(nearest_of(all_held, all_came))
+    return full.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.found").alias(key), (-F.col("t.far")).alias("score"))

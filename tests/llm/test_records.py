@@ -160,3 +160,24 @@ def test_few_vectors(spark):
     assert [r["vec_id"] for r in neighbors.search(few, few.where("vec_id = 0")).collect()] in ([1], [])
     none = few.limit(0)
     assert neighbors.search(none, none).count() == 0
+
+
+def test_every_query_gets_its_rows(spark):
+    def answers(rows, queries=None, **named):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        out = {}
+        for r in neighbors.search(df, df if queries is None else df.where(F.col("vec_id").isin(queries)), **named).orderBy("query_id", "rank").collect():
+            out.setdefault(r["query_id"], []).append(r["vec_id"])
+        return out
+
+    assert answers([(0, [1.0, 0.0]), (1, [1.0, 0.1])], [0]) == {0: [1]}
+    assert answers([(0, [1.0, 0.0, 0.0]), (1, [-1.0, -0.1, 0.0]), (2, [0.0, -0.2, -1.0])]) == {0: [2, 1], 1: [2, 0], 2: [1, 0]}
+    assert answers([(0, [1.0] * 8)] + [(i, [-1.0] * 8) for i in range(1, 30)], [0]) == {0: [1, 2, 3, 4, 5]}  # one hot vector
+    # an outlier opposite a dense cone, with chunks much smaller than the cone
+    rng = np.random.default_rng(3)
+    cone = [(i, (np.ones(16) + 0.05 * rng.standard_normal(16)).tolist()) for i in range(1, 200)]
+    rows = [(0, (-np.ones(16)).tolist()), *cone]
+    want = [i for _, i in sorted((-(np.array(v, np.float32).astype(float) @ -np.ones(16)) / np.linalg.norm(np.array(v, np.float32).astype(float)), i) for i, v in cone)]
+    assert answers(rows, [0], chunk=7) == {0: want[:5]}
+    # an id with many vectors near the query is listed once and does not keep others out
+    assert answers([(0, [1.0, 0.0]), *[(1, [1.0, 0.01 * i]) for i in range(1, 20)], (2, [-1.0, 0.5]), (3, [-1.0, 0.2])], [0], k=3) == {0: [1, 2, 3]}
