@@ -18,6 +18,11 @@ def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op1_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff trigram scores of all documents under all documents: two steps of backoff."""
+    return lm_score.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op2_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives with revisits, and read back."""
     records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
@@ -94,6 +99,7 @@ TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff,
+    "op1_trigram_backoff": op1_trigram_backoff,
     "op2_boundary_chain": op2_boundary_chain,
     "op3_decision_list": op3_decision_list,
     "op4_recompression": op4_recompression,
@@ -133,6 +139,29 @@ rows AS (SELECT doc_id, row_number() OVER () AS rid FROM documents)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(nb, 0)::BIGINT AS n_backoff,
        coalesce(micro, 0)::BIGINT AS score_micro, micro::BIGINT / 1e6 / n AS mean_log_score
 FROM rows LEFT JOIN sums USING (rid)
+""",
+    "op1_trigram_backoff": f"""
+WITH {_WORDS},
+runs AS (SELECT doc_id, rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY rid ORDER BY i) AS o FROM words),
+uni AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+bi AS (SELECT p, w, count(*) AS c FROM runs WHERE p IS NOT NULL GROUP BY p, w HAVING count(*) >= 2),
+tri AS (SELECT o, p, w, count(*) AS c FROM runs WHERE o IS NOT NULL GROUP BY o, p, w HAVING count(*) >= 2),
+scored AS (
+  SELECT rid,
+         CASE WHEN t.c IS NOT NULL THEN ln(t.c / pb.c::DOUBLE)
+              WHEN b.c IS NOT NULL THEN ln(b.c / pu.c::DOUBLE) + CASE WHEN runs.o IS NULL THEN 0 ELSE 1 END * ln(0.4)
+              ELSE ln(u.c / (SELECT count(*)::DOUBLE FROM words))
+                   + CASE WHEN runs.p IS NULL THEN 0 WHEN runs.o IS NULL THEN 1 ELSE 2 END * ln(0.4) END AS s,
+         CASE WHEN runs.o IS NOT NULL AND t.c IS NULL THEN 1
+              WHEN runs.o IS NULL AND runs.p IS NOT NULL AND b.c IS NULL THEN 1 ELSE 0 END AS back
+  FROM runs JOIN uni u USING (w) LEFT JOIN uni pu ON pu.w = runs.p
+       LEFT JOIN bi b ON b.p = runs.p AND b.w = runs.w LEFT JOIN bi pb ON pb.p = runs.o AND pb.w = runs.p
+       LEFT JOIN tri t ON t.o = runs.o AND t.p = runs.p AND t.w = runs.w),
+sums AS (SELECT rid, count(*) AS n, sum(back) AS nb, sum(round_even(s * 1e6, 0)::BIGINT) AS micro FROM scored GROUP BY rid),
+rows AS (SELECT doc_id, row_number() OVER () AS rid FROM documents)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(nb, 0)::BIGINT AS n_backoff,
+       coalesce(micro, 0)::BIGINT AS score_micro, micro::BIGINT / 1e6 / n AS mean_log_score
+FROM rows LEFT JOIN sums USING (rid)
 """,
     "op2_boundary_chain": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -192,6 +192,22 @@ def test_scores(docs, texts, order, block):
     assert means[0] is None
 
 
+def test_registered_scores_back_off_twice(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from fieldweave.llm import queries
+
+    texts = ["a b c d", "a b c e", "x b c d", "z c d", "q", "", None, "a b c d", "c d c d c d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_words", "n_backoff", "score_micro"]
+    got = sorted(tuple(r) for r in queries.QUERIES["op1_trigram_backoff"](spark, str(tmp_path)).select(*columns).collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op1_trigram_backoff']})").fetchall())
+    brute = scores(list(enumerate(texts)), 3, 0.4, 2)
+    assert got == brute
+    assert got != scores(list(enumerate(texts)), 2, 0.4, 2)
+
+
 def test_scores_of_nothing(nothing):
     assert lm_score.score(nothing).count() == 0
 
