@@ -1,13 +1,16 @@
 """Chat formatting by schema fingerprints, with Spark expressions only.
 
-A record is JSON. Its fingerprint is a hash of its nested field paths and
-types; each declared layout lists the fingerprints of the shapes it covers, and
-the fingerprint selects the mapping that turns the record into canonical turns
-(seq, role, text). A template marks the turns of a conversation in one string
+A record is JSON. Its fingerprint under a layout is a hash of the nested field
+paths that the layout reads and of their types, where a null counts as of the
+type the layout declares; other fields do not matter. Each layout lists the
+fingerprints of the shapes it covers, and the fingerprint selects the mapping
+that turns the record into canonical turns (seq, role, text). Of several layouts
+that match, the first is taken that leaves out nothing but nulls and empty lists
+of the others; if there is none, the record is unmatched. A template marks the turns of a conversation in one string
 and escapes control strings inside roles and texts by a backslash, which
 ``read_back`` takes out again. The loss mask lies on assistant texts.
 
-Null roles and texts are empty. Turns of one conversation are ordered by seq
+Null roles and texts are empty, and a null list is an empty one. Turns of one conversation are ordered by seq
 (null first), then role and text; repeated rows are repeated turns. A null
 conversation id is a conversation of its own. A record of an unknown layout
 gives one row of ``unmatched`` and no turn. Empty tables give no rows; columns
@@ -16,6 +19,7 @@ that are not named are not read.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +39,18 @@ class Layout:
     samples: tuple[str, ...]
     turns: str  # SQL over the variant ``v``
 
+    @property
+    def fields(self) -> dict:
+        """The fields that the mapping reads: a type for each, for a list the fields of its members."""
+        out: dict = {}
+        for sample in map(json.loads, self.samples):
+            for name, value in sample.items():
+                if isinstance(value, list):
+                    out.setdefault(name, set()).update(*value)
+                else:
+                    out[name] = "BIGINT" if isinstance(value, int) else "STRING"
+        return out
+
 
 def _turn(seq: int, role: str, text: str) -> str:
     return f"named_struct('seq', cast({seq} as bigint), 'role', '{role}', 'text', {text})"
@@ -52,15 +68,15 @@ def _listed(path: str, role: str, text: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turn", ('{"turn":1,"role":"a","text":"b"}', '{"turn":1,"role":"a","text":null}', '{"turn":1,"role":null,"text":"b"}', '{"turn":null,"role":"a","text":"b"}', '{"turn":1,"role":null,"text":null}', '{"turn":null,"role":null,"text":"b"}', '{"turn":null,"role":"a","text":null}', '{"turn":null,"role":null,"text":null}'),
+    Layout("turn", ('{"turn":1,"role":"a","text":"b"}',),
            "array(named_struct('seq', try_variant_get(v, '$.turn', 'bigint'), 'role', " + _field("role") + ", 'text', " + _field("text") + "))"),
-    Layout("prompt", ('{"prompt":"a","completion":"b"}', '{"prompt":"a","completion":null}', '{"prompt":null,"completion":"b"}'),
+    Layout("prompt", ('{"prompt":"a","completion":"b"}',),
            f"array({_turn(0, 'user', _field('prompt'))}, {_turn(1, 'assistant', _field('completion'))})"),
     Layout("response", ('{"prompt":"a","response":"b"}',),
            f"array({_turn(0, 'user', _field('prompt'))}, {_turn(1, 'assistant', _field('response'))})"),
-    Layout("instruction", ('{"instruction":"a","input":"b","output":"c"}', '{"instruction":"a","output":"c"}', '{"instruction":"a","input":null,"output":"c"}'),
+    Layout("instruction", ('{"instruction":"a","input":"b","output":"c"}', '{"instruction":"a","output":"c"}'),
            f"array({_turn(0, 'user', 'concat_ws(char(10), ' + _field('instruction') + ', nullif(' + _field('input') + chr(44) + chr(39) * 2 + '))')}, {_turn(1, 'assistant', _field('output'))})"),
-    Layout("messages", ('{"messages":[{"role":"a","content":"b"}]}', '{"messages":[]}', '{"messages":[{"role":"a","content":"b"},{"role":"a","content":null}]}'),
+    Layout("messages", ('{"messages":[{"role":"a","content":"b"}]}', '{"messages":[]}'),
            _listed("messages", "role", "content")),
     Layout("conversations", ('{"conversations":[{"from":"a","value":"b"}]}', '{"conversations":[]}'),
            "transform(" + _listed("conversations", "from", "value") + ", t -> named_struct('seq', t.seq, 'role', "
@@ -68,20 +84,56 @@ LAYOUTS = (
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths and types of a JSON record; null if it is not JSON."""
-    return F.xxhash64(F.schema_of_variant(F.try_parse_json(record)))
+def _type(value: str, path: str) -> str:
+    """SQL of the type at a path of a variant; null if there is none, VOID if it holds a null."""
+    return f"schema_of_variant(try_variant_get({value}, '$.{path}', 'variant'))"
+
+
+def _members(name: str, path: str) -> str:
+    """SQL of the types, other than VOID, of a field of the members of a list; MISSING if no member has it."""
+    kinds = f"array_distinct(filter(transform(try_variant_get(v, '$.{name}', 'array<variant>'), m -> {_type('m', path)}), t -> t is not null))"
+    return f"transform(array({kinds}), k -> case when size(k) = 0 then 'MISSING' when k = array('VOID') then 'STRING' else array_join(array_sort(array_remove(k, 'VOID')), '|') end)[0]"
+
+
+def _shape(name: str, kind: str | set) -> Column:
+    """The path and types of a field that a layout reads, nulls as of the declared type, from column ``_is_name``."""
+    is_, void = F.col(f"_is_{name}"), F.col(f"_is_{name}").isin("VOID", "ARRAY<VOID>")
+    if isinstance(kind, str):
+        told = F.when(is_ == "VOID", kind).otherwise(is_)
+    else:
+        inside = F.concat_ws(",", *(F.concat(F.lit(f"{x}:"), F.expr(_members(name, x))) for x in sorted(kind)))
+        told = F.when(void, "ARRAY<>").when(is_.startswith("ARRAY<OBJECT<"), F.concat(F.lit("ARRAY<"), inside, F.lit(">"))).otherwise(is_)
+    return F.concat(F.lit(f"{name}:"), F.coalesce(told, F.lit("MISSING")))
+
+
+def fingerprint(layout: Layout) -> Column:
+    """Hash of the nested field paths and types that a layout reads, over the columns of ``typed``."""
+    return F.xxhash64(*(_shape(name, kind) for name, kind in sorted(layout.fields.items())))
+
+
+def typed(records: DataFrame, columns: list[Column], record: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """The columns, the record as variant ``v``, and the type of each field that some layout reads."""
+    names = sorted({name for x in layouts for name in x.fields})
+    parsed = records.select(*columns, F.try_parse_json(F.col(record)).alias("v"))
+    return parsed.select("*", *(F.expr(_type("v", name)).alias(f"_is_{name}") for name in names))
 
 
 def canonical_turns(records: DataFrame, *, key: str = "conv_id", record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(key, layout, seq, role, text): the turns of each record, by the mapping its fingerprint selects."""
     spark = records.sparkSession
     shapes = spark.createDataFrame([(x.name, s) for x in layouts for s in x.samples], "layout string, sample string")
-    known = shapes.select("layout", fingerprint(F.col("sample")).alias("mark")).collect()  # a row for each declared shape
-    marked = records.select(F.col(key).alias(key), F.try_parse_json(F.col(record)).alias("v"), fingerprint(F.col(record)).alias("_mark"))
+    marks = [fingerprint(x).alias(f"_mark_{i}") for i, x in enumerate(layouts)]
+    known = typed(shapes, [F.col("layout")], "sample", layouts).select("layout", *marks).collect()  # a row for each declared shape
+    found = [F.col(f"_mark_{i}").isin([r[f"_mark_{i}"] for r in known if r["layout"] == x.name]) for i, x in enumerate(layouts)]
+    marked = typed(records, [F.col(key).alias(key)], record, layouts).select("*", *marks)
+    marked = marked.select("*", *(x.alias(f"_fits_{i}") for i, x in enumerate(found)))
     layout, turns = F.lit("unmatched"), F.expr(f"cast(array(named_struct('seq', null, 'role', null, 'text', null)) as {TURNS})")
-    for x in layouts:
-        mine = F.col("_mark").isin([r["mark"] for r in known if r["layout"] == x.name])
+    for i, x in reversed(list(enumerate(layouts))):
+        mine = F.col(f"_fits_{i}")
+        for j, other in enumerate(layouts):
+            more = [F.coalesce(F.col(f"_is_{name}"), F.lit("VOID")).isin("VOID", "ARRAY<VOID>") for name in sorted(other.fields.keys() - x.fields.keys())]
+            for empty in more:
+                mine = mine & (~F.col(f"_fits_{j}") | empty)
         layout = F.when(mine, F.lit(x.name)).otherwise(layout)
         turns = F.when(mine, F.expr(x.turns).cast(TURNS)).otherwise(turns)
     return marked.select(key, layout.alias("layout"), F.inline(turns).alias("seq", "role", "text"))

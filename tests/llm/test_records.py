@@ -108,6 +108,44 @@ def test_turns_are_ordered_and_repeats_stay(spark):
     assert chat.format_turns(chat.canonical_turns(records.limit(0))).count() == 0
 
 
+def test_nulls_and_other_fields_keep_the_layout(spark):
+    flat = {
+        "turn": {"turn": 1, "role": "r", "text": "t"},
+        "prompt": {"prompt": "p", "completion": "c"},
+        "response": {"prompt": "p", "response": "r"},
+        "instruction": {"instruction": "i", "input": "x", "output": "o"},
+    }
+    cases = []
+    for name, whole in flat.items():
+        fields = list(whole)
+        nulled = [{f: None if bits >> at & 1 else whole[f] for at, f in enumerate(fields)} for bits in range(2 ** len(fields))]
+        cases += [(name, x, 1 if name == "turn" else 2) for x in nulled]
+    for name, role, text in (("messages", "role", "content"), ("conversations", "from", "value")):
+        for r in ("a", None):
+            for t in ("b", None):
+                cases += [(name, {name: [{role: r, text: t}]}, 1), (name, {name: [{role: r, text: t, "at": 3}, {role: "a", text: t}, None]}, 3)]
+        cases.append((name, {name: [None, None]}, 2))
+    cases += [(name, {**x, "id": extra}, n) for name, x, n in cases for extra in (7, None, {"text": 1})]
+    cases += [("messages", {"messages": [{"role": "a", "content": "b"}], "prompt": None, "completion": None, "conversations": None}, 1)]
+    cases += [("response", {"prompt": "p", "completion": None, "response": "r"}, 2), ("prompt", {"prompt": "p", "completion": "c", "response": None, "messages": []}, 2)]
+    # two readings, each with words of its own; a missing field, another type, a list of other things
+    lost = [{"prompt": "p", "completion": "c", "response": "r"}, {"prompt": "p"}, {"turn": 1.5, "role": "a", "text": "b"}, {"text": 1, "role": "a", "turn": 1}]
+    lost += [{"messages": [{"role": "a"}]}, {"messages": [3, {"role": "a", "content": "b"}]}, {"messages": [{"role": "a", "content": ["b"]}]}, {"messages": "a"}, [1], None]
+    cases += [("unmatched", x, 1) for x in lost]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (_, x, _) in enumerate(cases)], "conv_id long, record string")
+    turns = chat.canonical_turns(df)
+    got = {r["conv_id"]: (r["layout"], r["n"]) for r in turns.groupBy("conv_id", "layout").agg(F.count("*").alias("n")).collect()}
+    wrong = [(x, name, n, got.get(i)) for i, (name, x, n) in enumerate(cases) if got.get(i) != (name, n)]
+    assert not wrong
+    said = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_turns(turns)).collect()}
+    at = {json.dumps(x): i for i, (_, x, _) in enumerate(cases)}
+    assert said[at[json.dumps({"prompt": "p", "response": None})]] == [("user", "p"), ("assistant", "")]
+    assert said[at[json.dumps({"instruction": None, "input": "x", "output": "o"})]] == [("user", "x"), ("assistant", "o")]
+    assert said[at[json.dumps({"messages": [{"role": "a", "content": None}]})]] == [("a", "")]
+    nothing = spark.createDataFrame([(1, '{"messages": null}'), (2, '{"conversations": null, "id": 1}')], "conv_id long, record string")
+    assert chat.canonical_turns(nothing).count() == 0
+
+
 def test_chat_is_native(spark, capsys):
     df = spark.createDataFrame([(1, "{}")], "conv_id long, record string")
     chat.read_back(chat.format_turns(chat.canonical_turns(df))).explain()
