@@ -415,6 +415,23 @@ def test_screening_changes_no_tag():
         assert quick == slow
 
 
+def test_tagged_values_stay_whole(monkeypatch):
+    t = np.zeros((3, 3))
+    t[0, 0] = -100.0  # every line is decoded
+    tagger = secrets.Tagger(np.zeros((4 * secrets.WIDTH + len(secrets.file_features(b"")), 3)), t)
+    marked = ("P@ssw0rd!23", "abcdefgh!", "été", "{token")
+    for text, expected in [
+        ("é P@ssw0rd!23 x", [("P@ssw0rd!23", "crf")]),
+        ('the "P@ssw0rd!23", and (été).', [("P@ssw0rd!23", "crf"), ("été", "crf")]),
+        ("a password=abcdefgh!rest b", [("password=abcdefgh", "assign"), ("!rest", "crf")]),
+        ("a abcdefgh!" + "0a" * 16 + "!z b", [("abcdefgh!", "crf"), ("0a" * 16, "hex"), ("!z", "crf")]),
+        ('{token":"abcdefgh"}', [('token":"abcdefgh', "assign")]),
+    ]:
+        tags = np.array([int(any(m in w for m in marked)) for w in text.split()])
+        monkeypatch.setattr(secrets, "viterbi", lambda e, t, tags=tags: tags)
+        assert [(text[s:e], kind) for s, kind, e in secrets.all_spans(text, tagger)] == expected
+
+
 def test_scan_and_redact(spark, docs, nothing):
     rows = secret_corpus(60, 5) + [(None, None), (3, ""), (1000, "x" * 300_000 + " token = " + "ab12" * 10)]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
