@@ -27,6 +27,8 @@ GAP = "[\\x20\\x09-\\x0D]+"
 REMEMBERED = 200_000
 #: Bytes of a batch that are worked on at once.
 SLICE = 2**22
+#: A key is heavy if it has more than this part of all rows, and more than so many.
+HEAVY_KEYS, LIGHT = 4096, 256
 
 
 # --- staging -----------------------------------------------------------------
@@ -58,6 +60,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+# --- joins on keys that many rows may share -------------------------------------
+def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which holds each key once; ``how`` is inner or left.
+
+    ``rows`` is a written table. Keys of more than n / ``HEAVY_KEYS`` of its n rows are
+    heavy: there are fewer than ``HEAVY_KEYS`` of them, so their facts are broadcast
+    and their rows stay where they are. The others meet by a shuffled join, none of
+    whose keys brings more than that share. Null keys find nothing and are not
+    dealt to one task. ``counts`` may give (key, n) where they are known.
+    """
+    found = rows.where(F.col(key).isNotNull())
+    total = rows.count()
+    counts = found.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    heavy = counts.where(F.col("n") > max(LIGHT, total // HEAVY_KEYS)).select(key)
+    if total <= LIGHT or heavy.isEmpty():
+        out = found.join(facts, key, how)
+    else:
+        heavy = F.broadcast(stage(heavy, "heavy"))  # fewer than HEAVY_KEYS rows, as is what they select of the facts
+        hot = found.join(heavy, key, "left_semi").join(F.broadcast(facts.join(heavy, key, "left_semi")), key, how)
+        out = found.join(heavy, key, "left_anti").join(facts, key, how).unionByName(hot)
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
 # --- words and hashes -----------------------------------------------------------
 class WordHashes(dict):
     """64-bit content hash of a word, remembered for the words of this worker."""

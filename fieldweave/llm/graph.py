@@ -1,27 +1,63 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by alternating stars.
+
+Links are kept as (lo, hi), the smaller node first. A small star ties the smaller
+neighbours of a node to the least of them; a large star ties a node to what the
+least neighbour of its own smaller neighbour is. Neither adds links, and both
+keep what is connected, so the links stay as many as they were at most. They end as
+stars around the smallest node of each component. No list of neighbours is ever
+collected, and hubs meet their links by ``lookup``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import stage
+from fieldweave.llm.common import lookup, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of ``edges`` (a, b); all are long.
 
-    A round takes the smallest label among neighbours and then the label's own
-    label; rounds are written to the shared folder. Empty edges give no rows.
+    Rounds are written to the shared folder. A link of a node to itself says
+    nothing. Empty edges give no rows.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    oriented = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    links = stage(oriented.distinct(), "links")
+    still = 0
+    for step in _steps():
+        after = stage(step(links), "links")
+        still = 0 if not after.where("moved").isEmpty() else still + 1
+        links = after.select("lo", "hi")
+        if still == 2:  # neither star changes anything
+            return links.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
+    raise AssertionError("unreachable")
+
+
+def _steps():
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = lower.join(own, "label").select("node", "old", F.least("label", "further").alias("label"))
-        jumped = stage(jumped, "labels")
-        labels = jumped.drop("old")
-        if jumped.where("old <> label").isEmpty():
-            return labels
+        yield _small_star
+        yield _large_star
+
+
+def _least(links: DataFrame, name: str) -> DataFrame:
+    return links.groupBy(F.col("hi").alias(name)).agg(F.min("lo").alias("least"))
+
+
+def _distinct(links: DataFrame) -> DataFrame:
+    return links.groupBy("lo", "hi").agg(F.max("moved").alias("moved"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    known = lookup(links, _least(links, "hi"), "hi")
+    moved = F.col("lo") != F.col("least")
+    return _distinct(known.select(F.inline(F.when(moved, F.array(_link("hi", moved), _link("lo", moved))).otherwise(F.array(_link("hi", moved))))))
+
+
+def _link(end: str, moved: Column) -> Column:
+    return F.struct(F.col("least").alias("lo"), F.col(end).alias("hi"), moved.alias("moved"))
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    known = lookup(links, _least(links, "lo"), "lo", "left")
+    return _distinct(known.select(F.coalesce("least", "lo").alias("lo"), "hi", F.col("least").isNotNull().alias("moved")))

@@ -10,11 +10,16 @@ the sets of a group meet, and pairs inside it that the posterior does not rule
 out are verified exactly, unless they are linked through others already. The
 links' components are the classes.
 
-Large buckets and groups are dealt to tiles of at most ``tile`` nodes. What a
-tile cannot see is settled by visits: all nodes outside the largest class of
-the bucket or group go to every tile, so each pair of different classes meets.
-Nodes of the largest class need no visit among themselves, as they are linked.
-No bucket, group or partner list is capped, and pairs are never written out.
+Buckets are dealt to tiles of at most ``tile`` nodes, otherwise in each band, so
+that the links inside tiles tie a dense bucket together; groups are dealt to
+tiles of ``set_tile`` nodes in the same way, twice. What tiles cannot see is
+settled by visits: nodes outside the largest class of a bucket go to each of its
+tiles, so each pair of different classes meets as signatures. Of a group's sets, only
+those of survivors then meet: a node's set visits the tiles that hold a node it
+may be similar to. Nodes of the largest class need no visit among themselves, as
+they are linked. Visitors pass a tile one by one and are not held. No bucket,
+group or partner list is capped, and pairs are never written out: a task passes
+on a forest of the links it finds.
 
 Letters A-Z are lower-cased; words are maximal runs outside 0x20 and 0x09-0x0D.
 A text of fewer words than a shingle is one shingle; one without words has an
@@ -33,10 +38,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from fieldweave.llm.common import WordHashes, combine, per_row, runs, stage, texts_of, window_hashes
+from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, stage, texts_of, window_hashes
 from fieldweave.llm.graph import components
 
 ROWS, BANDS, BATCH = 5, 32, 32
@@ -45,6 +48,8 @@ _MEMORY = WordHashes()
 _FACTORS = np.random.default_rng(20).integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(21).integers(0, 2**63, SIZE, dtype=np.uint64)
 _SHORT = np.uint64(0x1B873593)
+#: A task passes on its forest when it has so many nodes.
+FOREST = 200_000
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -147,18 +152,40 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
     return down * both >= up * (len(a) + len(b) - both)
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], schema: pa.Schema, work: Callable[[pa.Table], tuple[list, list]]) -> Iterator[pa.RecordBatch]:
-    """Links of each group of rows; groups come one after the other and may cross batches."""
-    rest: pa.Table | None = None
+class Forest(dict):
+    """Union-find over the nodes that a task has linked; the smaller node is the root."""
 
-    def done(table: pa.Table, groups: np.ndarray):
-        left, right = [], []
+    def root(self, x: int) -> int:
+        up = self.setdefault(x, x)
+        while up != x:
+            self[x] = up = self.setdefault(up, up)
+            x, up = up, self[up]
+        return x
+
+    def link(self, left: list[int], right: list[int]) -> None:
+        for a, b in zip(left, right, strict=True):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self[max(a, b)] = min(a, b)
+
+    def rows(self) -> dict:
+        pairs = [(self.root(x), x) for x in list(self)]
+        self.clear()
+        return {"a": [a for a, x in pairs if a != x], "b": [x for a, x in pairs if a != x]}
+
+
+Work = Callable[[pa.Table], tuple[list, list]]
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], work: Work) -> Iterator[pa.RecordBatch]:
+    """A forest of the links of each group of rows; groups come one after the other and may cross batches."""
+    rest, forest = None, Forest()
+
+    def settle(table: pa.Table, groups: np.ndarray) -> None:
         for lo, hi in runs(groups):
             if hi - lo > 1:
-                a, b = work(table.slice(lo, hi - lo))
-                left += a
-                right += b
-        return pa.RecordBatch.from_pydict({"a": left, "b": right}, schema=schema)
+                forest.link(*work(table.slice(lo, hi - lo)))
 
     for batch in batches:
         got = pa.Table.from_batches([batch])
@@ -166,22 +193,48 @@ def _by_group(batches: Iterator[pa.RecordBatch], schema: pa.Schema, work: Callab
         groups = got.column("group").to_numpy()
         differs = np.flatnonzero(groups != groups[-1])
         cut = int(differs[-1]) + 1 if len(differs) else 0
-        if cut:
-            yield done(got.slice(0, cut), groups[:cut])
+        settle(got.slice(0, cut), groups[:cut])
         rest = got.slice(cut)
+        if len(forest) > FOREST:
+            yield pa.RecordBatch.from_pydict(forest.rows(), schema=LINK)
     if rest is not None and rest.num_rows:
-        yield done(rest, rest.column("group").to_numpy())
+        settle(rest, rest.column("group").to_numpy())
+    yield pa.RecordBatch.from_pydict(forest.rows(), schema=LINK)
 
 
-def _linked(rows: DataFrame, work: Callable[[pa.Table], tuple[list, list]]) -> DataFrame:
-    """(a, b) from all groups; the rows carry ``group``."""
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = to_arrow_schema(StructType.fromDDL("a long, b long"))
-    dealt = rows.repartition(count, "group").sortWithinPartitions("group")
-    return dealt.mapInArrow(lambda batches: _by_group(batches, schema, work), "a long, b long").where("a is not null")
+    return rows.repartition(count, "group").sortWithinPartitions("group", *order)
+
 
+def _linked(rows: DataFrame, work: Work) -> DataFrame:
+    """(a, b) inside all groups; the rows carry ``group`` and ``node``, and the smallest node comes first."""
+    return _dealt(rows, "node").mapInArrow(lambda batches: _by_group(batches, work), "a long, b long")
 
-def _likely(least: list[int]) -> Callable[[pa.Table], tuple[list, list]]:
+
+def _by_visits(batches: Iterator[pa.RecordBatch], begin: Callable[[pa.Table], Work]) -> Iterator[pa.RecordBatch]:
+    """Pairs that visitors find among the residents of each group; residents come first and are held, visitors pass."""
+    group, held, meet = None, [], None
+    for batch in batches:
+        groups, comes = batch.column("group").to_numpy(), batch.column("visits").to_numpy(zero_copy_only=False)
+        found: set[tuple[int, int]] = set()
+        for lo, hi in runs(groups):
+            if groups[lo] != group:
+                group, held, meet = groups[lo], [], None
+            split = lo + int(np.searchsorted(comes[lo:hi], True))
+            if split > lo:
+                held.append(batch.slice(lo, split - lo))
+            if split < hi and held:
+                meet = meet or begin(pa.Table.from_batches(held))
+                found.update(zip(*meet(pa.Table.from_batches([batch.slice(split, hi - split)])), strict=True))
+        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=LINK)
+
+
+def _visited(rows: DataFrame, begin: Callable[[pa.Table], Work]) -> DataFrame:
+    return _dealt(rows, "visits").mapInArrow(lambda batches: _by_visits(batches, begin), "a long, b long").distinct()
+
+
+def _likely(least: list[int]) -> Work:
     """Stars over the nodes of a tile that the posterior leaves connected."""
 
     def work(table: pa.Table) -> tuple[list, list]:
@@ -202,21 +255,26 @@ def _likely(least: list[int]) -> Callable[[pa.Table], tuple[list, list]]:
     return work
 
 
-def _likely_visits(least: list[int]) -> Callable[[pa.Table], tuple[list, list]]:
-    def work(table: pa.Table) -> tuple[list, list]:
-        label, visits = table.column("label").to_numpy(), np.array(table.column("visits").to_pylist())
-        sig = _signatures(table.column("sig"))
-        held, links = np.flatnonzero(~visits), set()
-        for i in np.flatnonzero(visits).tolist():
-            other = held[label[held] != label[i]]
-            near, _ = survivors(sig[i], sig[other], least)
-            links |= {(int(label[i]), int(x)) for x in label[other[near]]}
-        return [a for a, _ in links], [b for _, b in links]
+def _may_be(least: list[int], mine: str, theirs: str) -> Callable[[pa.Table], Work]:
+    """(visitor's ``mine``, resident's ``theirs``) of the pairs of different classes that the posterior does not rule out."""
 
-    return work
+    def begin(held: pa.Table) -> Work:
+        label, told, sig = held.column("label").to_numpy(), held.column(theirs).to_numpy(), _signatures(held.column("sig"))
+
+        def meet(come: pa.Table) -> tuple[list, list]:
+            links = set()
+            for own, name, x in zip(come.column("label").to_pylist(), come.column(mine).to_pylist(), _signatures(come.column("sig")), strict=True):
+                other = np.flatnonzero(label != own)
+                near, _ = survivors(x, sig[other], least)
+                links |= {(name, y) for y in told[other[near]].tolist()}
+            return [a for a, _ in links], [b for _, b in links]
+
+        return meet
+
+    return begin
 
 
-def _exact(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.Table], tuple[list, list]]:
+def _exact(least: list[int], threshold: tuple[int, int]) -> Work:
     """Verified links inside a tile, as stars."""
 
     def work(table: pa.Table) -> tuple[list, list]:
@@ -236,49 +294,54 @@ def _exact(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.Table],
     return work
 
 
-def _exact_visits(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.Table], tuple[list, list]]:
-    def work(table: pa.Table) -> tuple[list, list]:
-        label, visits = table.column("label").to_numpy(), np.array(table.column("visits").to_pylist())
-        sig, sets = _signatures(table.column("sig")), _sets(table.column("set"))
-        held, links = np.flatnonzero(~visits), set()
-        for i in np.flatnonzero(visits).tolist():
-            other = held[label[held] != label[i]]
-            near, agree = survivors(sig[i], sig[other], least)
-            for j in other[near][np.argsort(-agree, kind="stable")].tolist():
-                link = (int(label[i]), int(label[j]))
-                if link not in links and similar(sets[i], sets[j], threshold):
-                    links.add(link)
-        return [a for a, _ in links], [b for _, b in links]
+def _exact_visits(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.Table], Work]:
+    """Verified links between the classes of visitors and of residents."""
 
-    return work
+    def begin(held: pa.Table) -> Work:
+        label, sig, sets = held.column("label").to_numpy(), _signatures(held.column("sig")), _sets(held.column("set"))
+        links: set[tuple[int, int]] = set()
 
+        def meet(come: pa.Table) -> tuple[list, list]:
+            before = len(links)
+            fresh = []
+            for own, x, values in zip(come.column("label").to_pylist(), _signatures(come.column("sig")), _sets(come.column("set")), strict=True):
+                other = np.flatnonzero(label != own)
+                near, agree = survivors(x, sig[other], least)
+                for j in other[near][np.argsort(-agree, kind="stable")].tolist():
+                    link = (own, int(label[j]))
+                    if link not in links and similar(values, sets[j], threshold):
+                        links.add(link)
+                        fresh.append(link)
+            assert len(links) == before + len(fresh)
+            return [a for a, _ in fresh], [b for _, b in fresh]
 
-def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
-    """``rows`` of keys that several share, with their number of tiles and their tile's group."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / tile).alias("tiles"))
-    dealt = rows.join(sizes, key).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    return dealt.withColumn("group", F.xxhash64(key, "tile"))
+        return meet
 
+    return begin
 
-def _visits(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """Tiles of keys with several, and in each of them the key's nodes outside its largest class."""
-    big = rows.where("tiles > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    marked = big.join(main, key)
-    come = marked.where("label <> main").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    come = come.withColumn("group", F.xxhash64(key, "tile")).withColumn("visits", F.lit(True))
-    return marked.withColumn("visits", F.lit(False)).unionByName(come)
 
+def _tiled(rows: DataFrame, key: str, tile: int, salts: int = 1) -> DataFrame:
+    """``rows`` of keys that several share, with their number of tiles and, as ``group``, their tile.
+
+    A key of several tiles is dealt ``salts`` times, each time otherwise.
+    """
+    sizes = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    dealt = lookup(rows, sizes.select(key, F.ceil(F.col("n") / tile).alias("tiles")), key, counts=sizes)
+    if salts > 1:
+        dealt = dealt.withColumn("salt", F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(1)))))
+    else:
+        dealt = dealt.withColumn("salt", F.lit(1))
+    return dealt.withColumn("tile", F.pmod(F.xxhash64("node", key, "salt"), F.col("tiles"))).withColumn("group", F.xxhash64(key, "tile", "salt"))
 
-def _settled(found: DataFrame, more: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """Labels after the links of ``found`` and, if some tiles need visits, of those."""
-    found = stage(found, "links")
-    labels = components(found)
-    if more is None:
-        return labels
-    # visits link classes by their labels, which are nodes; both kinds of link make up the final classes
-    extra = stage(more(labels), "visits")
-    return labels if extra.isEmpty() else components(found.unionByName(extra))
+
+def _visits(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """Tiles of keys with several classes, and in each of them the key's nodes outside its largest class."""
+    big = stage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
+    marked = lookup(big, main.where("labels > 1").drop("labels"), key)
+    come = marked.where("label <> main").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    come = come.withColumn("group", F.xxhash64(key, "tile", "salt")).withColumn("visits", F.lit(True))
+    return marked.withColumn("visits", F.lit(False)).unionByName(come).drop("main")
 
 
 def classes(
@@ -290,6 +353,7 @@ def classes(
     threshold: tuple[int, int] = (80, 100),
     miss: float = 1e-6,
     tile: int = 1024,
+    set_tile: int = 256,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
@@ -321,50 +385,60 @@ def classes(
     signed = stage(per_row(rows, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
     nodes = signed.where("node is not null")
     distinct = nodes.dropDuplicates(["node"])
-    buckets = _tiled(distinct.select("node", F.explode("bands").alias("key")), "key", tile)
     sigs = distinct.select("node", "sig")
-    buckets = stage(buckets, "buckets")
-    candidates = buckets.join(sigs, "node")
-    any_big = not buckets.where("tiles > 1").isEmpty()
-    likely = _settled(
-        _linked(candidates.select("group", "node", "sig"), _likely(least)),
-        (lambda labels: _linked(_visits(buckets, "key", labels).join(sigs, "node").select("group", "node", "sig", "label", "visits"), _likely_visits(least))) if any_big else None,
-    )
+    banded = stage(distinct.select("node", F.explode("bands").alias("key")), "bands")
+    buckets = stage(_tiled(banded, "key", tile), "buckets")
+    found = stage(_linked(buckets.join(sigs, "node").select("group", "node", "sig"), _likely(least)), "likely")
+    likely = components(found)
+    large = buckets.where("tiles > 1")
+    if not large.isEmpty():
+        visits = _visits(large, "key", likely).join(sigs, "node")
+        likely = components(found.unionByName(stage(_visited(visits, _may_be(least, "label", "label")), "visits")))
     # the sets of provisional groups, from one document of each node
-    homes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).join(likely, "node").select("doc_id", "node", "sig", "label")
+    homes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).join(likely, "node").select("doc_id", "node", "sig")
 
     def make_sets():
         def work(batch: pa.RecordBatch) -> dict:
-            out = {"node": [], "sig": [], "label": [], "set": []}
-            node, sig, label = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out = {"node": [], "sig": [], "set": []}
+            node, sig = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at, raw in enumerate(texts_of(batch.column(0))):
                 values = shingles(raw, width)
                 if node_of(values) == node[at]:  # else another row of this id
                     out["node"].append(node[at])
                     out["sig"].append(sig[at])
-                    out["label"].append(label[at])
                     out["set"].append(values.tobytes())
             return out
 
         return work
 
-    held = per_row(homes.join(rows, "doc_id"), ["text", "node", "sig", "label"], "node long, sig binary, label long, set binary", make_sets)
-    full = _tiled(stage(held, "sets").dropDuplicates(["node"]).withColumnRenamed("label", "family"), "family", tile)
-    several = not full.where("tiles > 1").isEmpty()
-    verified = _settled(
-        _linked(full.select("group", "node", "sig", "set"), _exact(least, threshold)),
-        (lambda labels: _linked(_visits(full, "family", labels).select("group", "node", "sig", "set", "label", "visits"), _exact_visits(least, threshold))) if several else None,
-    )
+    held = per_row(homes.join(rows, "doc_id"), ["text", "node", "sig"], "node long, sig binary, set binary", make_sets)
+    sets = stage(held, "sets").dropDuplicates(["node"])
+    families = stage(likely.select("node", F.col("label").alias("family")), "families")
+    full = stage(_tiled(families, "family", set_tile, salts=2), "tiles")
+    contents = sets.select("node", "sig", "set")
+    found = stage(_linked(full.join(contents, "node").select("group", "node", "sig", "set"), _exact(least, threshold)), "verified")
+    verified = components(found)
+    large = full.where("tiles > 1 and salt = 1").select("node", F.col("group").alias("home"))
+    if not large.isEmpty():
+        # nodes of different classes of a large group that share a bucket: which tiles of sets hold survivors
+        asked = _visits(buckets.join(large, "node"), "key", verified).join(sigs, "node")
+        pairs = stage(_visited(asked, _may_be(least, "node", "home")).select(F.col("a").alias("node"), F.col("b").alias("group")), "pairs")
+        residents = large.select("node", F.col("home").alias("group")).join(pairs.select("group").distinct(), "group", "left_semi").withColumn("visits", F.lit(False))
+        meeting = residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(contents, "node").join(verified, "node", "left")
+        meeting = meeting.withColumn("label", F.coalesce("label", "node"))
+        extra = stage(_visited(meeting, _exact_visits(least, threshold)), "visits")
+        verified = components(found.unionByName(extra))
     # class of each node, then of each row
-    of_node = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(verified, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
+    of_node = stage(first.join(verified, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     of_label = of_node.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = of_node.join(of_label, "label").select("node", "component")
-    joined = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    of_node = lookup(of_node, of_label, "label").select("node", "component")
+    joined = lookup(signed.select("doc_id", "n_shingles", "node"), of_node, "node", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """The documents of the ids that stay, one for each class."""
-    gone = classes(docs, doc_id=doc_id, text=text, **parameters).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The documents of the ids that stay, one for each class, with all their columns."""
+    gone = classes(docs, doc_id=doc_id, text=text, **parameters).where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti")

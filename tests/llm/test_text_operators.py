@@ -126,7 +126,7 @@ def classes(texts, width, threshold):
 
 @pytest.mark.parametrize("tile", [1024, 3])
 def test_classes(docs, texts, tile):
-    got = near_dup.classes(docs, width=2, tile=tile).collect()
+    got = near_dup.classes(docs, width=2, tile=tile, set_tile=tile).collect()
     assert sorted(str(tuple(r)) for r in got) == classes(texts, 2, (80, 100))
 
 
@@ -140,7 +140,7 @@ def test_classes_of_a_hub_and_its_copies(spark):
             words[at] = str(rng.randrange(10**6))
         texts.append((i, " ".join(words)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = near_dup.classes(df, width=2, tile=8).collect()
+    got = near_dup.classes(df, width=2, tile=8, set_tile=4).collect()
     assert sorted(str(tuple(r)) for r in got) == classes(texts, 2, (80, 100))
 
 
