@@ -6,13 +6,17 @@ Euclidean distance orders as cosine does. Each of ``tables`` tables hashes a
 point by ``hashes`` Gaussian (2-stable) projections cut into slots of ``width``.
 A query visits, in each table, its own bucket and perturbed buckets in the order
 of estimated success: the perturbation sets of least total squared distance
-to the slot edges crossed. Buckets are cut into chunks of at most ``chunk``
-points, so no task holds a popular bucket whole. Each chunk ranks its points
-against the queries that visit it by exact cosine in double precision and
-passes on k for each query; the candidates of all chunks and tables then merge.
-A query whose buckets hold fewer than k ids is ranked anew against all points,
-in chunks of the same size, so it gets k rows, or every candidate if there are
-fewer.
+to the slot edges crossed. The more points there are, the more hashes a bucket
+has (half the logarithm of their number) and the more buckets are visited (about
+the 0.44th power of it), so the share of points that a query meets falls as the
+table grows. Buckets are dealt to regions of about ``chunk`` points, and a region
+of more, such as a popular bucket, to several chunks, so no task holds a
+popular bucket whole; a query comes once to a chunk with all its buckets there.
+Each chunk ranks the points of a query's buckets by exact cosine in double
+precision and passes on k for each query; the candidates of all chunks and
+tables then merge. A query whose buckets hold fewer than k ids is ranked anew
+against all points, in chunks of the same size, so it gets k rows, or every
+candidate if there are fewer.
 
 The chunks of a table hold every row, and queries are exact within what they
 visit. Vectors that are null, zero, of another length than most, or hold null or
@@ -24,6 +28,7 @@ nearest; a query never meets a row of its own id. Empty tables give no rows. Oth
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from fieldweave.llm.common import per_row, runs, stage
+from fieldweave.llm.common import lookup, per_row, runs, stage
 
 
 def usable(vector: Column) -> Column:
@@ -83,26 +88,77 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 components, the hardest case; more on clustered ones
+class Chunk:
+    """Points of a region, by bucket."""
+
+    def __init__(self, batches: list[pa.RecordBatch], dim: int) -> None:
+        table = pa.Table.from_batches(batches)
+        buckets = table.column(1).to_pylist()
+        self.known = buckets[0] is not None
+        order = np.argsort(np.array(buckets if self.known else [0] * len(buckets), np.int64), kind="stable")
+        self.buckets = np.array(buckets, np.int64)[order] if self.known else None
+        self.x = np.array(table.column(2).to_pylist(), np.float64).reshape(-1, dim)[order]
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        ids = table.column(3).to_pylist()
+        self.ids = [ids[i] for i in order.tolist()]
+
+    def places(self, buckets: list[int] | None) -> np.ndarray:
+        """Places of the points of these buckets; of all points for None."""
+        if buckets is None:
+            return np.arange(len(self.x))
+        wanted = np.array(buckets, np.int64)
+        lo, hi = np.searchsorted(self.buckets, wanted), np.searchsorted(self.buckets, wanted, side="right")
+        return np.concatenate([np.arange(i, j) for i, j in zip(lo.tolist(), hi.tolist(), strict=True) if j > i] or [np.empty(0, np.int64)])
+
+    def nearest(self, x: np.ndarray, own, buckets: list[int] | None, k: int) -> list[tuple[float, object]]:
+        """(cosine, id) of the k nearest in these buckets, without the query's own id."""
+        at, most = self.places(buckets), k + 1
+        rough = (self.x[at] @ x) / self.norm[at] if len(at) else np.empty(0)  # in the order of cosine
+        while True:
+            if len(at) > most:
+                edge = np.partition(rough, -most)[-most]
+                pick = at[rough >= edge - 1e-9 * np.sqrt(x @ x)]
+            else:
+                pick = at
+            cosine = (self.x[pick] * x).sum(1) / (self.norm[pick] * np.sqrt((x * x).sum()))
+            best: dict = {}
+            for c, j in zip(cosine.tolist(), pick.tolist(), strict=True):
+                for v in self.ids[j]:
+                    if v != own:
+                        best[v] = max(c, best.get(v, c))
+            if len(best) >= k or len(pick) == len(at):
+                return [(-c, v) for c, v in heapq.nsmallest(k, [(-c, v) for v, c in best.items()])]
+            most *= 4  # points that share their ids
+
+
+def sizes_for(points: int) -> tuple[int, int]:
+    """(hashes, probes) for so many points: recall of 0.95 on isotropic vectors of 64 components, the hardest case, more on clustered ones."""
+    hashes = max(4, round(math.log2(max(2, points)) / 2 + 1.2))
+    return hashes, round(36 * 1.85 ** (hashes - 6))
+
+
+def search(
     rows: DataFrame,
     queries: DataFrame,
     *,
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 5,
-    tables: int = 7,
-    hashes: int = 4,
-    width: float = 1.5,
-    probes: int = 12,
+    tables: int = 8,
+    hashes: int | None = None,
+    width: float = 2.0,
+    probes: int | None = None,
     chunk: int = 4096,
     seed: int = 11,
 ) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest found of each row of ``queries`` among ``rows``."""
+    """(query_id, rank, key, score): the k nearest found of each row of ``queries`` among ``rows``.
+
+    ``hashes`` and ``probes`` follow from the number of points unless they are given.
+    """
     some = rows.where(usable(F.col(vector))).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()  # a row a length
     if some is None:
         return rows.select(F.col(key).alias("query_id"), F.lit(0).alias("rank"), F.col(key), F.lit(0.0).alias("score")).limit(0)
     dim = some["d"]
-    a, b = projections(dim, tables, hashes, width, seed)
 
     def prepared(df: DataFrame) -> DataFrame:
         return df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(usable(F.col("v")) & (F.size("v") == dim))
@@ -112,18 +168,18 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
     few = prepared(rows).dropDuplicates(["v", "id"]).withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= k + 1)
     points = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     points = stage(points.withColumn("pid", F.xxhash64("v")), "points")
+    total = points.count()
+    hashes, probes = hashes or sizes_for(total)[0], probes or sizes_for(total)[1]
+    a, b = projections(dim, tables, hashes, width, seed)
+    regions = max(1, math.ceil(1.25 * total / chunk))  # most then hold fewer than ``chunk``
 
     def hash_points():
         def work(batch: pa.RecordBatch) -> dict:
             x = _unit(batch.column(1), dim)
             slots = np.floor((x @ a.T + b) / width).reshape(len(x), tables, hashes)
             keys = np.concatenate([_keys(slots[:, t]) for t in range(tables)])
-            n = len(x)
-            return {
-                "tab": np.repeat(np.arange(tables, dtype=np.int32), n),
-                "bucket": keys,
-                "pid": np.tile(batch.column(0).to_numpy(), tables),
-            }
+            cells = np.repeat(np.arange(tables), len(x)) * regions + keys % regions
+            return {"cell": cells, "bucket": keys, "pid": np.tile(batch.column(0).to_numpy(), tables)}
 
         return work
 
@@ -134,7 +190,7 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
             slots = np.floor(reach / width)
             low = reach - slots * width
             edges = np.stack([low, width - low], axis=2)
-            out = {"tab": [], "bucket": [], "qid": []}
+            out = {"cell": [], "buckets": [], "qid": []}
             for i, q in enumerate(batch.column(0).to_pylist()):
                 for t in range(tables):
                     part = slice(t * hashes, (t + 1) * hashes)
@@ -143,83 +199,63 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
                     for row, moves in enumerate(sets):
                         for at, step in moves:
                             visited[row, at] += step
-                    out["tab"] += [t] * len(sets)
-                    out["bucket"] += _keys(visited).tolist()
-                    out["qid"] += [q] * len(sets)
+                    keys = _keys(visited)
+                    of = keys % regions
+                    order = np.argsort(of, kind="stable")
+                    for lo, hi in runs(of[order]):
+                        out["cell"].append(t * regions + int(of[order[lo]]))
+                        out["buckets"].append(keys[order[lo:hi]])
+                        out["qid"].append(q)
             return out
 
         return work
 
-    placed = per_row(points, ["pid", "v"], "tab int, bucket long, pid long", hash_points)
-    sizes = placed.groupBy("tab", "bucket").agg(F.count("*").alias("size"))
-    sizes = sizes.select("tab", "bucket", F.ceil(F.col("size") / chunk).alias("chunks"))
-    cut = placed.join(sizes, ["tab", "bucket"]).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
-    no_query = F.lit(None).cast("long").alias("qid")
-    held = cut.join(points.select("pid", "v", "ids"), "pid").select("tab", "bucket", "part", "v", "ids", no_query)
+    placed = stage(per_row(points, ["pid", "v"], "cell long, bucket long, pid long", hash_points), "placed")
+    sizes = stage(placed.groupBy("cell").agg(F.count("*").alias("n")), "sizes")
+    chunks = sizes.select("cell", F.ceil(F.col("n") / chunk).alias("chunks"))
+    group = F.xxhash64("cell", "part").alias("group")
+    cut = lookup(placed, chunks, "cell", counts=sizes).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
+    nobody = [F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("buckets")]
+    held = cut.join(points.select("pid", "v", "ids"), "pid").select(group, "bucket", "v", "ids", *nobody)
     asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
-    visits = per_row(asked, ["qid", "v"], "tab int, bucket long, qid long", hash_queries).join(sizes, ["tab", "bucket"])
-    visits = visits.select("tab", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid")
-    came = visits.join(asked, "qid").select("tab", "bucket", "part", "v", F.array("id").alias("ids"), "qid")
+    visits = lookup(stage(per_row(asked, ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries), "visits"), chunks, "cell")
+    visits = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid", "buckets")
+    anywhere = F.lit(None).cast("long").alias("bucket")
+    came = visits.join(asked, "qid").select(group, anywhere, "v", F.array("id").alias("ids"), "qid", "buckets")
 
     id_kind = rows.schema[key].dataType.simpleString()
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rank(batches):
-        current, points_x, points_ids = None, [], []
+        current, held, ready = None, [], None
         for batch in batches:
-            groups, qids = batch.column(0).to_numpy(), batch.column(3)
-            asks = ~np.asarray(qids.is_null())
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, dim)
-            ids, q = batch.column(2).to_pylist(), qids.to_pylist()
+            groups, asks = batch.column(0).to_numpy(), ~np.asarray(batch.column(4).is_null())
             out = {"qid": [], "query_id": [], "found": [], "score": []}
             for lo, hi in runs(groups):
                 if groups[lo] != current:
-                    current, points_x, points_ids = groups[lo], [], []
+                    current, held, ready = groups[lo], [], None
                 split = lo + int(np.searchsorted(asks[lo:hi], True))
                 if split > lo:
-                    points_x.append(x[lo:split])
-                    points_ids += ids[lo:split]
-                if split < hi and points_ids:
-                    points_x = [np.concatenate(points_x)]
-                    nearest(x[split:hi], ids[split:hi], q[split:hi], points_x[0], points_ids, out)
+                    held.append(batch.slice(lo, split - lo))
+                if split < hi and held:
+                    ready = ready or Chunk(held, dim)
+                    come = batch.slice(split, hi - split)
+                    vectors = np.array(come.column(2).to_pylist(), np.float64).reshape(-1, dim)
+                    for x, ids, q, buckets in zip(vectors, come.column(3).to_pylist(), come.column(4).to_pylist(), come.column(5).to_pylist(), strict=True):
+                        for c, v in ready.nearest(x, ids[0], buckets, k):
+                            out["qid"].append(q)
+                            out["query_id"].append(ids[0])
+                            out["found"].append(v)
+                            out["score"].append(c)
             yield pa.RecordBatch.from_pydict(out, schema=result)
 
-    def nearest(asked_x, asked_ids, asked_q, has, has_ids, out) -> None:
-        norm = np.sqrt((has * has).sum(1))
-        unit = has / norm[:, None]
-        for at in range(0, len(asked_x), 256):
-            near = asked_x[at : at + 256] @ unit.T  # in the order of cosine for each query
-            for i, row in enumerate(near, at):
-                x, own, most = asked_x[i], asked_ids[i][0], k + 1
-                while True:
-                    if len(row) > most:
-                        edge = np.partition(row, -most)[-most]
-                        pick = np.flatnonzero(row >= edge - 1e-9 * np.sqrt(x @ x))
-                    else:
-                        pick = np.arange(len(row))
-                    cosine = (has[pick] * x).sum(1) / (norm[pick] * np.sqrt((x * x).sum()))
-                    best = {}
-                    for c, j in zip(cosine.tolist(), pick.tolist(), strict=True):
-                        for v in has_ids[j]:
-                            if v != own:
-                                best[v] = max(c, best.get(v, c))
-                    if len(best) >= k or len(pick) == len(row):
-                        break
-                    most *= 4  # points that share their ids
-                for c, v in heapq.nsmallest(k, [(-c, v) for v, c in best.items()]):
-                    out["qid"].append(asked_q[i])
-                    out["query_id"].append(own)
-                    out["found"].append(v)
-                    out["score"].append(-c)
-
     ddl = f"qid long, query_id {id_kind}, found {id_kind}, score double"
     result = to_arrow_schema(StructType.fromDDL(ddl))
 
     def nearest_of(held: DataFrame, came: DataFrame) -> DataFrame:
         """(qid, query_id, top): the k best that each query meets in the chunks it visits."""
-        grouped = held.unionByName(came).withColumn("group", F.xxhash64("tab", "bucket", "part"))
         # the points of a chunk come before the queries that visit it
-        dealt = grouped.select("group", "v", "ids", "qid").repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
+        dealt = held.unionByName(came).repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
         best = dealt.mapInArrow(rank, ddl).groupBy("qid", "query_id", "found").agg(F.max("score").alias("score"))
         # k of each chunk at most reach a query, so its list is bounded by probes, tables and chunks
         return best.groupBy("qid", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("found")))), 1, k).alias("top"))
@@ -229,10 +265,9 @@ def search(  # parameters: recall of about 0.95 on isotropic vectors of 64 compo
     # queries that found too few, those that found none among them, meet all points: each chunk passes on its k best
     short = stage(asked.join(full.select("qid"), "qid", "left_anti"), "short")
     if not short.isEmpty():
-        everywhere = [F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("bucket")]
-        parts = -(-points.count() // chunk)
-        all_held = points.select(*everywhere, F.pmod(F.xxhash64("pid"), F.lit(parts)).alias("part"), "v", "ids", no_query)
-        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
-        all_came = short.select(*everywhere, every_part, "v", F.array("id").alias("ids"), "qid")
+        part = F.pmod(F.xxhash64("pid"), F.lit(regions)).alias("group")
+        all_held = points.select(part, anywhere, "v", "ids", *nobody)
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(regions - 1).cast("long"))).alias("group")
+        all_came = short.select(every_part, anywhere, "v", F.array("id").alias("ids"), "qid", nobody[1])
         full = full.unionByName(nearest_of(all_held, all_came))
     return full.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.found").alias(key), (-F.col("t.far")).alias("score"))
