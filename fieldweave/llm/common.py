@@ -61,25 +61,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 # --- joins on keys that many rows may share -------------------------------------
-def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the columns of ``facts``, which holds each key once; ``how`` is inner or left.
-
-    ``rows`` is a written table. Keys of more than n / ``HEAVY_KEYS`` of its n rows are
-    heavy: there are fewer than ``HEAVY_KEYS`` of them, so their facts are broadcast
-    and their rows stay where they are. The others meet by a shuffled join, none of
-    whose keys brings more than that share. Null keys find nothing and are not
-    dealt to one task. ``counts`` may give (key, n) where they are known.
+def lookup(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts`` other than ``n``; ``how`` is inner or left.
+
+    Both are written tables. ``facts`` holds each key once and in ``n`` how many rows
+    have it. Keys of more than a ``HEAVY_KEYS``-th of all rows are heavy: there are
+    fewer than ``HEAVY_KEYS`` of them, so their facts are broadcast and their rows
+    stay where they are. The others meet by a shuffled join, none of whose keys
+    brings more than that share. Null keys find nothing and are not dealt to one task.
     """
-    found = rows.where(F.col(key).isNotNull())
-    total = rows.count()
-    counts = found.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    heavy = counts.where(F.col("n") > max(LIGHT, total // HEAVY_KEYS)).select(key)
-    if total <= LIGHT or heavy.isEmpty():
-        out = found.join(facts, key, how)
+    found, told = rows.where(F.col(key).isNotNull()), facts.drop("n")
+    most = max(LIGHT, rows.count() // HEAVY_KEYS)
+    if facts.where(F.col("n") > most).isEmpty():
+        out = found.join(told, key, how)
     else:
-        heavy = F.broadcast(stage(heavy, "heavy"))  # fewer than HEAVY_KEYS rows, as is what they select of the facts
-        hot = found.join(heavy, key, "left_semi").join(F.broadcast(facts.join(heavy, key, "left_semi")), key, how)
-        out = found.join(heavy, key, "left_anti").join(facts, key, how).unionByName(hot)
+        heavy = F.broadcast(facts.where(F.col("n") > most).drop("n"))  # fewer than HEAVY_KEYS rows
+        light = found.join(heavy.select(key), key, "left_anti").join(told, key, how)
+        out = light.unionByName(found.join(heavy, key))
     if how == "left":
         out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
     return out

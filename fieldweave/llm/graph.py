@@ -3,9 +3,10 @@
 Links are kept as (lo, hi), the smaller node first. A small star ties the smaller
 neighbours of a node to the least of them; a large star ties a node to what the
 least neighbour of its own smaller neighbour is. Neither adds links, and both
-keep what is connected, so the links stay as many as they were at most. They end as
-stars around the smallest node of each component. No list of neighbours is ever
-collected, and hubs meet their links by ``lookup``.
+keep what is connected, so links never grow in number. They end as stars around
+the smallest node of each component. No list of neighbours is ever collected;
+what a popular node brings to a join are rows of two numbers, which adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import lookup, stage
+from fieldweave.llm.common import stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,42 +23,34 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds are written to the shared folder. A link of a node to itself says
     nothing. Empty edges give no rows.
     """
-    oriented = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    links = stage(oriented.distinct(), "links")
-    still = 0
-    for step in _steps():
-        after = stage(step(links), "links")
-        still = 0 if not after.where("moved").isEmpty() else still + 1
-        links = after.select("lo", "hi")
-        if still == 2:  # neither star changes anything
-            return links.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(links.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
-    raise AssertionError("unreachable")
-
-
-def _steps():
+    links = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     while True:
-        yield _small_star
-        yield _large_star
+        links = stage(_large_star(_small_star(links)), "links")
+        if _unsettled(links).isEmpty():
+            break
+    roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
+    return stage(links.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots), "labels")
 
 
 def _least(links: DataFrame, name: str) -> DataFrame:
     return links.groupBy(F.col("hi").alias(name)).agg(F.min("lo").alias("least"))
 
 
-def _distinct(links: DataFrame) -> DataFrame:
-    return links.groupBy("lo", "hi").agg(F.max("moved").alias("moved"))
-
-
 def _small_star(links: DataFrame) -> DataFrame:
-    known = lookup(links, _least(links, "hi"), "hi")
-    moved = F.col("lo") != F.col("least")
-    return _distinct(known.select(F.inline(F.when(moved, F.array(_link("hi", moved), _link("lo", moved))).otherwise(F.array(_link("hi", moved))))))
-
+    def link(end: str) -> Column:
+        return F.struct(F.col("least").alias("lo"), F.col(end).alias("hi"))
 
-def _link(end: str, moved: Column) -> Column:
-    return F.struct(F.col("least").alias("lo"), F.col(end).alias("hi"), moved.alias("moved"))
+    other = F.col("lo") != F.col("least")
+    return links.join(_least(links, "hi"), "hi").select(F.inline(F.when(other, F.array(link("hi"), link("lo"))).otherwise(F.array(link("hi"))))).distinct()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    known = lookup(links, _least(links, "lo"), "lo", "left")
-    return _distinct(known.select(F.coalesce("least", "lo").alias("lo"), "hi", F.col("least").isNotNull().alias("moved")))
+    return links.join(_least(links, "lo"), "lo", "left").select(F.coalesce("least", "lo").alias("lo"), "hi").distinct()
+
+
+def _unsettled(links: DataFrame) -> DataFrame:
+    """Nodes that have two smaller neighbours, or a smaller and a larger one."""
+    ends = links.select(F.col("hi").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).unionByName(
+        links.select(F.col("lo").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    )
+    return ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger")).where("smaller > 1 or (smaller = 1 and larger = 1)")

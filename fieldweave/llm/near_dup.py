@@ -11,15 +11,16 @@ out are verified exactly, unless they are linked through others already. The
 links' components are the classes.
 
 Buckets are dealt to tiles of at most ``tile`` nodes, otherwise in each band, so
-that the links inside tiles tie a dense bucket together; groups are dealt to
-tiles of ``set_tile`` nodes in the same way, twice. What tiles cannot see is
-settled by visits: nodes outside the largest class of a bucket go to each of its
-tiles, so each pair of different classes meets as signatures. Of a group's sets, only
-those of survivors then meet: a node's set visits the tiles that hold a node it
-may be similar to. Nodes of the largest class need no visit among themselves, as
-they are linked. Visitors pass a tile one by one and are not held. No bucket,
-group or partner list is capped, and pairs are never written out: a task passes
-on a forest of the links it finds.
+that the links inside tiles tie a dense bucket together. Groups are dealt to tiles
+of ``set_tile`` nodes, to each of which come the group's ``centres``: the nodes that
+share their buckets with most others, such as the text that all others were copied
+from. What tiles cannot see is settled by visits: nodes outside the largest class
+of a bucket go to each of its tiles, so each pair of different classes meets as
+signatures. Of a group's sets, only those of survivors then meet: a node's set
+visits the tiles that hold a node it may be similar to. Nodes of the largest class
+need no visit among themselves, as they are linked. Visitors pass a tile one by
+one and are not held. No bucket, group or partner list is capped, and pairs are
+never written out: a task passes on a forest of the links it finds.
 
 Letters A-Z are lower-cased; words are maximal runs outside 0x20 and 0x09-0x0D.
 A text of fewer words than a shingle is one shingle; one without words has an
@@ -36,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, stage, texts_of, window_hashes
@@ -207,9 +208,9 @@ def _dealt(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(count, "group").sortWithinPartitions("group", *order)
 
 
-def _linked(rows: DataFrame, work: Work) -> DataFrame:
-    """(a, b) inside all groups; the rows carry ``group`` and ``node``, and the smallest node comes first."""
-    return _dealt(rows, "node").mapInArrow(lambda batches: _by_group(batches, work), "a long, b long")
+def _linked(rows: DataFrame, work: Work, *order: str) -> DataFrame:
+    """(a, b) inside all groups; the rows carry ``group`` and ``node``."""
+    return _dealt(rows, *order, "node").mapInArrow(lambda batches: _by_group(batches, work), "a long, b long")
 
 
 def _by_visits(batches: Iterator[pa.RecordBatch], begin: Callable[[pa.Table], Work]) -> Iterator[pa.RecordBatch]:
@@ -320,30 +321,31 @@ def _exact_visits(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.
     return begin
 
 
-def _tiled(rows: DataFrame, key: str, tile: int, salts: int = 1) -> DataFrame:
-    """``rows`` of keys that several share, with their number of tiles and, as ``group``, their tile.
-
-    A key of several tiles is dealt ``salts`` times, each time otherwise.
-    """
-    sizes = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    dealt = lookup(rows, sizes.select(key, F.ceil(F.col("n") / tile).alias("tiles")), key, counts=sizes)
-    if salts > 1:
-        dealt = dealt.withColumn("salt", F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(1), F.lit(salts))).otherwise(F.array(F.lit(1)))))
-    else:
-        dealt = dealt.withColumn("salt", F.lit(1))
-    return dealt.withColumn("tile", F.pmod(F.xxhash64("node", key, "salt"), F.col("tiles"))).withColumn("group", F.xxhash64(key, "tile", "salt"))
+def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
+    """``rows`` of keys that several share, with the number ``n`` of their rows and their tiles, and as ``group`` their tile."""
+    sizes = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("sharing", F.col("n")), "sizes")
+    dealt = lookup(rows, sizes, key).withColumn("tiles", F.ceil(F.col("sharing") / tile))
+    return dealt.withColumn("tile", F.pmod(F.xxhash64("node", key), F.col("tiles"))).withColumn("group", F.xxhash64(key, "tile"))
 
 
 def _visits(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
     """Tiles of keys with several classes, and in each of them the key's nodes outside its largest class."""
     big = stage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
-    marked = lookup(big, main.where("labels > 1").drop("labels"), key)
+    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("n"))
+    marked = lookup(big, stage(main.where("labels > 1").drop("labels"), "main"), key)
     come = marked.where("label <> main").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    come = come.withColumn("group", F.xxhash64(key, "tile", "salt")).withColumn("visits", F.lit(True))
+    come = come.withColumn("group", F.xxhash64(key, "tile")).withColumn("visits", F.lit(True))
     return marked.withColumn("visits", F.lit(False)).unionByName(come).drop("main")
 
 
+def _central(families: DataFrame, buckets: DataFrame, centres: int) -> DataFrame:
+    """The nodes of each family, with ``central`` set on those that share their buckets with most."""
+    shared = buckets.groupBy("node").agg(F.sum("sharing").alias("shared"))
+    by_family = Window.partitionBy("family").orderBy(F.desc("shared"), "node")  # tasks pass on ``centres`` of a family at most
+    best = families.join(shared, "node").withColumn("place", F.row_number().over(by_family)).where(F.col("place") <= centres)
+    return families.join(best.select("node", F.lit(True).alias("central")), "node", "left").withColumn("central", F.coalesce("central", F.lit(False)))
+
+
 def classes(
     docs: DataFrame,
     *,
@@ -354,6 +356,7 @@ def classes(
     miss: float = 1e-6,
     tile: int = 1024,
     set_tile: int = 256,
+    centres: int = 32,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
@@ -383,19 +386,19 @@ def classes(
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stage(per_row(rows, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
-    nodes = signed.where("node is not null")
-    distinct = nodes.dropDuplicates(["node"])
-    sigs = distinct.select("node", "sig")
-    banded = stage(distinct.select("node", F.explode("bands").alias("key")), "bands")
+    per_node = signed.where("node is not null").groupBy("node")
+    nodes = stage(per_node.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    sigs = nodes.select("node", "sig")
+    banded = stage(nodes.select("node", F.explode("bands").alias("key")), "bands")
     buckets = stage(_tiled(banded, "key", tile), "buckets")
     found = stage(_linked(buckets.join(sigs, "node").select("group", "node", "sig"), _likely(least)), "likely")
     likely = components(found)
     large = buckets.where("tiles > 1")
     if not large.isEmpty():
-        visits = _visits(large, "key", likely).join(sigs, "node")
-        likely = components(found.unionByName(stage(_visited(visits, _may_be(least, "label", "label")), "visits")))
+        extra = stage(_visited(_visits(large, "key", likely).join(sigs, "node"), _may_be(least, "label", "label")), "visits")
+        likely = likely if extra.isEmpty() else components(found.unionByName(extra))
     # the sets of provisional groups, from one document of each node
-    homes = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).join(likely, "node").select("doc_id", "node", "sig")
+    homes = nodes.join(likely, "node").select("doc_id", "node", "sig")
 
     def make_sets():
         def work(batch: pa.RecordBatch) -> dict:
@@ -413,26 +416,29 @@ def classes(
 
     held = per_row(homes.join(rows, "doc_id"), ["text", "node", "sig"], "node long, sig binary, set binary", make_sets)
     sets = stage(held, "sets").dropDuplicates(["node"])
-    families = stage(likely.select("node", F.col("label").alias("family")), "families")
-    full = stage(_tiled(families, "family", set_tile, salts=2), "tiles")
-    contents = sets.select("node", "sig", "set")
-    found = stage(_linked(full.join(contents, "node").select("group", "node", "sig", "set"), _exact(least, threshold)), "verified")
+    tiles = stage(_tiled(likely.withColumnRenamed("label", "family"), "family", set_tile), "tiles")
+    several = tiles.where("tiles > 1")
+    large = None if several.isEmpty() else stage(_central(several, buckets, centres), "central")
+    meeting = tiles.where("tiles = 1").select("node", "group", F.lit(False).alias("late"))
+    if large is not None:
+        everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+        centre = large.where("central").select("node", "family", everywhere.alias("tile")).select("node", F.xxhash64("family", "tile").alias("group"), F.lit(False).alias("late"))
+        meeting = meeting.unionByName(centre).unionByName(large.where("not central").select("node", "group", F.lit(True).alias("late")))
+    found = stage(_linked(meeting.join(sets, "node"), _exact(least, threshold), "late"), "verified")
     verified = components(found)
-    large = full.where("tiles > 1 and salt = 1").select("node", F.col("group").alias("home"))
-    if not large.isEmpty():
+    if large is not None:
         # nodes of different classes of a large group that share a bucket: which tiles of sets hold survivors
-        asked = _visits(buckets.join(large, "node"), "key", verified).join(sigs, "node")
+        home = large.select("node", F.col("group").alias("home"))
+        asked = _visits(buckets.join(home, "node"), "key", verified).join(sigs, "node")
         pairs = stage(_visited(asked, _may_be(least, "node", "home")).select(F.col("a").alias("node"), F.col("b").alias("group")), "pairs")
-        residents = large.select("node", F.col("home").alias("group")).join(pairs.select("group").distinct(), "group", "left_semi").withColumn("visits", F.lit(False))
-        meeting = residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(contents, "node").join(verified, "node", "left")
-        meeting = meeting.withColumn("label", F.coalesce("label", "node"))
-        extra = stage(_visited(meeting, _exact_visits(least, threshold)), "visits")
-        verified = components(found.unionByName(extra))
+        residents = home.withColumnRenamed("home", "group").join(pairs.select("group").distinct(), "group", "left_semi").withColumn("visits", F.lit(False))
+        come = residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(sets, "node").join(verified, "node", "left")
+        extra = stage(_visited(come.withColumn("label", F.coalesce("label", "node")), _exact_visits(least, threshold)), "visits")
+        verified = verified if extra.isEmpty() else components(found.unionByName(extra))
     # class of each node, then of each row
-    first = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
-    of_node = stage(first.join(verified, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
-    of_label = of_node.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = lookup(of_node, of_label, "label").select("node", "component")
+    labelled = stage(nodes.select("node", "doc_id", "n").join(verified, "node", "left").withColumn("label", F.coalesce("label", "node")), "classes")
+    of_label = stage(labelled.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")), "components")
+    of_node = stage(lookup(labelled.withColumnRenamed("n", "rows"), of_label, "label").select("node", "component", F.col("rows").alias("n")), "components")
     joined = lookup(signed.select("doc_id", "n_shingles", "node"), of_node, "node", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

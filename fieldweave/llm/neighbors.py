@@ -211,14 +211,13 @@ def search(
         return work
 
     placed = stage(per_row(points, ["pid", "v"], "cell long, bucket long, pid long", hash_points), "placed")
-    sizes = stage(placed.groupBy("cell").agg(F.count("*").alias("n")), "sizes")
-    chunks = sizes.select("cell", F.ceil(F.col("n") / chunk).alias("chunks"))
+    chunks = stage(placed.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
     group = F.xxhash64("cell", "part").alias("group")
-    cut = lookup(placed, chunks, "cell", counts=sizes).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
+    cut = lookup(placed, chunks, "cell").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
     nobody = [F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("buckets")]
     held = cut.join(points.select("pid", "v", "ids"), "pid").select(group, "bucket", "v", "ids", *nobody)
     asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
-    visits = lookup(stage(per_row(asked, ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries), "visits"), chunks, "cell")
+    visits = per_row(asked, ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries).join(chunks.drop("n"), "cell")
     visits = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid", "buckets")
     anywhere = F.lit(None).cast("long").alias("bucket")
     came = visits.join(asked, "qid").select(group, anywhere, "v", F.array("id").alias("ids"), "qid", "buckets")
