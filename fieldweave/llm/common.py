@@ -155,15 +155,29 @@ def per_row(docs: DataFrame, columns: list[str], schema: str | StructType, make)
 
 
 # --- blocks of documents ----------------------------------------------------------
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of an array by significance: leading zeros stand together, where the shuffle's compression takes them out."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unplanes(raw, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 class Blocks:
     """Documents dealt by hash to blocks of about ``block_bytes`` of text, in one shuffle.
 
     Every pass over the blocks starts from the same exchange, so Spark moves
     the text once. A block asks questions about its distinct keys (n-grams,
-    windows, symbols); the keys travel as binary rows to ``buckets`` ranges of
-    the hash space, each of bounded size, and the answers travel back in the
-    same order. Distinct keys within a block are sent once, whatever their
-    frequency, so a frequent key weighs no more than the number of blocks.
+    windows, symbols); the keys travel to ``buckets`` ranges of the hash space,
+    each of bounded size, and the answers travel back in the same order. Distinct
+    keys within a block are sent once, whatever their frequency, so a frequent key
+    weighs no more than the number of blocks. A row packs the sorted keys that a
+    block sends to a bucket as differences; there are never more rows than keys.
+
+    Rows are dealt by id, text and input partition: equal rows of one partition
+    stay together, those of others do not, however many there are.
     """
 
     def __init__(self, docs: DataFrame, text: str, *, block_bytes: int, bucket_bytes: int) -> None:
@@ -172,20 +186,20 @@ class Blocks:
         self.buckets = max(1, math.ceil(total / bucket_bytes))
         at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys = [c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
-        dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(self.count)))
+        dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*keys, F.spark_partition_id()), F.lit(self.count)))
         self.rows = dealt.repartition(min(self.count, max(at_least, self.count // 4)), "_block")
 
     def ask(self, emit, answers: DataFrame | None = None) -> DataFrame:
         """``emit(table[, answers]) -> [(keys, extra)]`` for each block; rows for ``answer``.
 
-        ``keys`` is a sorted array of distinct hashes, ``extra`` bytes per key
-        (an array of the same length) or None.
+        ``keys`` is a sorted array of distinct hashes, ``extra`` an array of the same
+        length or None.
         """
         buckets = self.buckets
-        schema = "_bucket long, _block long, kind int, size long, keys binary, extra binary"
+        schema = "_bucket long, _block long, kind int, keys binary, extra binary"
 
         def rows(block: int, questions) -> pa.Table:
-            out = {c: [] for c in ("_bucket", "_block", "kind", "size", "keys", "extra")}
+            out = {c: [] for c in ("_bucket", "_block", "kind", "keys", "extra")}
             for kind, (keys, extra) in enumerate(questions):
                 if not len(keys):
                     continue
@@ -194,9 +208,8 @@ class Blocks:
                     out["_bucket"].append(int(of[lo]))
                     out["_block"].append(block)
                     out["kind"].append(kind)
-                    out["size"].append(hi - lo)
-                    out["keys"].append(keys[lo:hi].tobytes())
-                    out["extra"].append(None if extra is None else extra[lo:hi].tobytes())
+                    out["keys"].append(planes(np.diff(keys[lo:hi], prepend=np.uint64(0))))
+                    out["extra"].append(None if extra is None else planes(extra[lo:hi]))
             return pa.table(out, schema=_ASKED)
 
         if answers is None:
@@ -214,24 +227,22 @@ class Blocks:
         return self.rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(two, schema)
 
     @staticmethod
-    def answer(asked: DataFrame, settle) -> DataFrame:
-        """``settle(kind, key arrays, extra bytes) -> answers as bytes``, one for each asking block."""
+    def answer(asked: DataFrame, settle, extra_kind=None) -> DataFrame:
+        """``settle(kind, key arrays, extra arrays of ``extra_kind``) -> answer arrays``, one for each asking block."""
 
         def run(table: pa.Table) -> pa.Table:
             bucket = table.column("_bucket")[0].as_py()
-            block, kind = table.column("_block").to_pylist(), table.column("kind").to_pylist()
-            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-            extra = [None if not x.is_valid else x.as_buffer() for x in table.column("extra")]
+            block, kind, keys, extra = received(table, extra_kind)
             out: list = [None] * len(keys)
             for k in set(kind):
                 mine = [i for i, x in enumerate(kind) if x == k]
                 for i, reply in zip(mine, settle(k, [keys[i] for i in mine], [extra[i] for i in mine]), strict=True):
-                    out[i] = reply
+                    out[i] = planes(reply)
             return pa.table({"_block": block, "_bucket": [bucket] * len(out), "kind": kind, "reply": out}, schema=_TOLD)
 
         return asked.groupBy("_bucket").applyInArrow(run, "_block long, _bucket long, kind int, reply binary")
 
-    def finish(self, answers: DataFrame, fn, schema: str) -> DataFrame:
+    def finish(self, answers: DataFrame, fn, schema) -> DataFrame:
         """``fn(table, answers) -> table`` for each block."""
 
         def run(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -240,10 +251,17 @@ class Blocks:
         return self.rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, schema)
 
 
-_ASKED = pa.schema([("_bucket", pa.int64()), ("_block", pa.int64()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+_ASKED = pa.schema([("_bucket", pa.int64()), ("_block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 _TOLD = pa.schema([("_block", pa.int64()), ("_bucket", pa.int64()), ("kind", pa.int32()), ("reply", pa.binary())])
 
 
+def received(table: pa.Table, extra_kind) -> tuple[list, list, list, list]:
+    """(blocks, kinds, key arrays, extra arrays) of the rows that a bucket was sent."""
+    keys = [np.cumsum(unplanes(x.as_buffer(), np.uint64)) for x in table.column("keys")]
+    extra = [unplanes(x.as_buffer(), extra_kind) if x.is_valid else None for x in table.column("extra")]
+    return table.column("_block").to_pylist(), table.column("kind").to_pylist(), keys, extra
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The range of the hash space that a key belongs to; it does not fall along sorted keys."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> _S32
@@ -257,11 +275,13 @@ def runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.r_[0, cut].tolist(), np.r_[cut, len(values)].tolist(), strict=True))
 
 
-def replies(told: pa.Table, kind: int) -> bytes:
-    """The answers of one kind, in the order of the sorted keys that were asked."""
-    bucket, kinds, reply = (told.column(c).to_pylist() for c in ("_bucket", "kind", "reply"))
+def replies(told: pa.Table, kind: int, answer) -> np.ndarray:
+    """The answers of one kind as an array, in the order of the sorted keys that were asked."""
+    bucket, kinds = told.column("_bucket").to_pylist(), told.column("kind").to_pylist()
     mine = sorted((b, i) for i, (b, k) in enumerate(zip(bucket, kinds, strict=True)) if k == kind)
-    return b"".join(reply[i] for _, i in mine)
+    reply = told.column("reply")
+    parts = [unplanes(reply[i].as_buffer(), answer) for _, i in mine]
+    return np.concatenate(parts) if parts else np.empty(0, answer)
 
 
 def hashed(table: pa.Table, text: str, memory: WordHashes) -> tuple[np.ndarray, np.ndarray]:

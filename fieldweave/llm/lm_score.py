@@ -1,10 +1,13 @@
 """Stupid-backoff language-model scores of documents under their own corpus.
 
-The counts of all n-grams form a table partitioned by hash. A block of
-documents explodes its n-grams, adds up equal ones, and joins the table through
-one exchange of distinct n-grams; every later order joins only n-grams whose two
-shorter parts are frequent enough, since others cannot be. Scores are summed
-per document. Nothing is sampled, so what is gathered follows the corpus.
+The counts of all n-grams form a table partitioned by hash (``count_table``). A
+block of documents explodes its n-grams, adds up equal ones, and joins the table
+through one exchange of distinct n-grams, packed: plain rows of a hash, a block
+and a count take more disk than the text itself several times over. Each bucket of
+the table adds up the counts of all blocks and answers each block. A longer
+order joins only n-grams whose two shorter parts are frequent enough, since
+others cannot be. Scores are summed per document. Nothing is sampled, so what is
+gathered follows the corpus. A very long text is a block of its own.
 
 The score of a word after its context is c(context word) / c(context) for the
 longest context of at most ``order`` - 1 words inside the document whose n-gram
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from fieldweave.llm.common import Blocks, WordHashes, hashed, replies, window_hashes
+from fieldweave.llm.common import Blocks, WordHashes, hashed, received, replies, window_hashes
 
 _MEMORY = WordHashes()
 #: The key under which blocks add up their numbers of words.
@@ -42,20 +45,46 @@ def grams(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return hashes[at], at + k - 1
 
 
-def _add_up(kind: int, keys: list[np.ndarray], extra: list) -> list[bytes]:
-    """The corpus count of each key that was asked."""
-    everything = np.concatenate(keys)
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in extra]).astype(np.float64)
-    _, of = np.unique(everything, return_inverse=True)
-    sums = np.bincount(of, weights=counts).astype(np.uint64)[of]  # exact below 2**53
-    out, at = [], 0
-    for k in keys:
-        out.append(sums[at : at + len(k)].tobytes())
-        at += len(k)
-    return out
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all blocks, the place of each key that was asked, and the corpus count of each distinct key."""
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(of, weights=np.concatenate(counts).astype(np.float64)).astype(np.uint64)  # exact below 2**53
+    return distinct, of, sums
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = 2, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 2**23, bucket_bytes: int = 12 * 2**20) -> DataFrame:
+def _add_up(kind: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """The corpus count of each key that was asked, for each block."""
+    _, of, sums = _totals(keys, counts)
+    return np.split(sums[of], np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _question(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, count = np.unique(keys, return_counts=True)
+    return distinct, count.astype(np.uint32)
+
+
+def count_table(docs: DataFrame, *, text: str = "text", order: int = 3, block_bytes: int = 2**23, bucket_bytes: int = 12 * 2**20) -> DataFrame:
+    """(k, gram, n): how often each k-gram, named by its hash, occurs in the corpus, for k from 1 to ``order``; partitioned by hash."""
+    blocks = Blocks(docs.select(F.col(text)), text, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
+    arrow = pa.schema([("k", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def ask(table: pa.Table):
+        words, starts = hashed(table, text, _MEMORY)
+        return [_question(grams(words, starts, k)[0]) for k in range(1, order + 1)]
+
+    def rows(table: pa.Table) -> pa.Table:
+        _, kinds, keys, counts = received(table, np.uint32)
+        parts = []
+        for kind in sorted(set(kinds)):
+            mine = [i for i, x in enumerate(kinds) if x == kind]
+            distinct, _, sums = _totals([keys[i] for i in mine], [counts[i] for i in mine])
+            parts.append(pa.table({"k": np.full(len(sums), kind + 1, np.int32), "gram": distinct.view(np.int64), "n": sums.view(np.int64)}, schema=arrow))
+        return pa.concat_tables(parts)
+
+    return blocks.ask(ask).groupBy("_bucket").applyInArrow(rows, "k int, gram long, n long")
+
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 2**23, bucket_bytes: int = 12 * 2**20) -> DataFrame:
     """(doc_id, n_words, n_backoff, score_micro, mean_log_score) of each row.
 
     ``n_backoff`` counts words scored with less context than they have,
@@ -75,7 +104,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
         for k in range(1, upto + 1):
             keys, ends = pruned(words, starts, k, levels)
             distinct, of = np.unique(keys, return_inverse=True)
-            sums = np.frombuffer(replies(told, kind_of(k)), np.uint64)
+            sums = replies(told, kind_of(k), np.uint64)
             assert len(sums) == len(distinct), "answers and n-grams differ"
             at = np.zeros(len(words), np.uint64)
             at[ends] = sums[of]
@@ -89,26 +118,22 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
             keys, ends = keys[may], ends[may]
         return keys, ends
 
-    def question(keys: np.ndarray):
-        distinct, count = np.unique(keys, return_counts=True)
-        return distinct, count.astype(np.uint32)
-
     def first(table: pa.Table):
         words, starts = hashed(table, text, _MEMORY)
-        asked = [question(grams(words, starts, 1)[0]), question(grams(words, starts, 2)[0]) if order > 1 else (np.empty(0, np.uint64), None)]
+        asked = [_question(grams(words, starts, 1)[0]), _question(grams(words, starts, 2)[0]) if order > 1 else (np.empty(0, np.uint64), None)]
         return [*asked, (np.zeros(1, np.uint64), np.array([len(words)], np.uint32))]
 
     def next_order(k: int):
         def ask(table: pa.Table, told: pa.Table):
             words, starts = hashed(table, text, _MEMORY)
-            return [question(pruned(words, starts, k, counted(words, starts, told, k - 1))[0])]
+            return [_question(pruned(words, starts, k, counted(words, starts, told, k - 1))[0])]
 
         return ask
 
     def final(table: pa.Table, told: pa.Table) -> pa.Table:
         words, starts = hashed(table, text, _MEMORY)
         levels = counted(words, starts, told, order)
-        total = float(np.frombuffer(replies(told, TOTAL), np.uint64)[0])
+        total = float(replies(told, TOTAL, np.uint64)[0])
         n = len(words)
         place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
         most = np.minimum(place + 1, order)
@@ -127,7 +152,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
         mean = [s / 1e6 / w if w else None for s, w in zip(score_micro.tolist(), lengths.tolist(), strict=True)]
         return pa.table({doc_id: table.column(doc_id), "n_words": lengths, "n_backoff": backs[starts[1:]] - backs[starts[:-1]], "score_micro": score_micro, "mean_log_score": mean}, schema=arrow)
 
-    told = Blocks.answer(blocks.ask(first), _add_up)
+    told = Blocks.answer(blocks.ask(first), _add_up, np.uint32)
     for k in range(3, order + 1):
-        told = told.unionByName(Blocks.answer(blocks.ask(next_order(k), told), _add_up).withColumn("kind", F.lit(k)))
+        told = told.unionByName(Blocks.answer(blocks.ask(next_order(k), told), _add_up, np.uint32).withColumn("kind", F.lit(k)))
     return blocks.finish(told, final, schema)

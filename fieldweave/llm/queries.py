@@ -14,15 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff bigram scores of all documents under all documents."""
-    return lm_score.score(table(spark, sf_dir, "documents"))
-
-
-def op1_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff trigram scores of all documents under all documents: two steps of backoff."""
     return lm_score.score(table(spark, sf_dir, "documents"), order=3)
 
 
+def op1_bigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff bigram scores of all documents under all documents."""
+    return lm_score.score(table(spark, sf_dir, "documents"), order=2)
+
+
 def op2_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives with revisits, and read back."""
     records = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
@@ -99,7 +99,7 @@ TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
     "op1_stupid_backoff": op1_stupid_backoff,
-    "op1_trigram_backoff": op1_trigram_backoff,
+    "op1_bigram_backoff": op1_bigram_backoff,
     "op2_boundary_chain": op2_boundary_chain,
     "op3_decision_list": op3_decision_list,
     "op4_recompression": op4_recompression,
@@ -122,7 +122,7 @@ words AS (
 """
 
 ORACLES: dict[str, str] = {
-    "op1_stupid_backoff": f"""
+    "op1_bigram_backoff": f"""
 WITH {_WORDS},
 pairs AS (SELECT doc_id, rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS p FROM words),
 uni AS (SELECT w, count(*) AS c FROM words GROUP BY w),
@@ -140,7 +140,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(nb, 0)::BIGINT AS n_b
        coalesce(micro, 0)::BIGINT AS score_micro, micro::BIGINT / 1e6 / n AS mean_log_score
 FROM rows LEFT JOIN sums USING (rid)
 """,
-    "op1_trigram_backoff": f"""
+    "op1_stupid_backoff": f"""
 WITH {_WORDS},
 runs AS (SELECT doc_id, rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY rid ORDER BY i) AS o FROM words),
 uni AS (SELECT w, count(*) AS c FROM words GROUP BY w),

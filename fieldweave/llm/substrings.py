@@ -13,7 +13,7 @@ to know it. A window of ``width`` words that covers an extent holds this symbol
 in all its occurrences. So a window can repeat in another document only if all
 symbols whose extents it covers, keyed with the words of their extents, occur
 in two documents. A first exchange counts the documents of each keyed symbol;
-only windows that pass go, as hashes of their words, to a second exchange that
+only windows that pass go, as 64-bit hashes of their words, to a second exchange that
 verifies them and finds the smallest document id of each. Windows that cover no
 extent always go. The exchanges send distinct keys of a block of documents
 once, so a passage that a third of all documents share costs a row a block.
@@ -21,7 +21,8 @@ once, so a passage that a third of all documents share costs a row a block.
 Contract of the results: the words of a text are its maximal runs outside 0x20
 and 0x09-0x0D. A word is removed if it is covered by a window whose words also
 start in a document with a smaller id, judged on the input. Null and empty
-texts have no words. Rows that share an id never remove from one another. A row
+texts have no words, an empty table gives no rows, and a very long text is a block of
+its own. Rows that share an id never remove from one another. A row
 without an id keeps all its words and removes none. Input columns are kept;
 those named as an output column give way to it.
 """
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fieldweave.llm.common import Blocks, WordHashes, combine, hashed, replies, texts_of, window_hashes
 
@@ -137,40 +139,32 @@ def _per_symbol(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, low != high, of
 
 
-def _count_documents(kind: int, keys: list[np.ndarray], extra: list) -> list[bytes]:
+def _count_documents(kind: int, keys: list[np.ndarray], extra: list) -> list[np.ndarray]:
     """One byte a key: 1 if two documents have it, in one block or in several."""
     everything = np.concatenate(keys)
-    several = np.concatenate([np.frombuffer(x, np.uint8) for x in extra])
+    several = np.concatenate(extra)
     _, of, count = np.unique(everything, return_inverse=True, return_counts=True)
     shared = count > 1
     shared[of[several > 0]] = True
-    flags, out, at = shared[of].astype(np.uint8), [], 0
-    for k in keys:
-        out.append(flags[at : at + len(k)].tobytes())
-        at += len(k)
-    return out
+    return np.split(shared[of].astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
 
 
-def _smallest(kind: int, keys: list[np.ndarray], extra: list) -> list[bytes]:
-    """Bits in the order asked: 1 if a smaller document id has the window too."""
-    everything = np.concatenate(keys)
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
-    order = np.lexsort((ids, everything))
-    sorted_keys = everything[order]
-    fresh = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
-    least = np.empty(len(ids), np.int64)
-    least[order] = ids[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    flags, out, at = (least < ids).astype(np.uint8), [], 0
-    for k in keys:
-        out.append(flags[at : at + len(k)].tobytes())
-        at += len(k)
-    return out
-
-
-def dedup_map(docs: DataFrame, fn: Callable[[pa.Table, list, list, list], pa.Table], schema: str, *, doc_id: str, text: str, width: int, rounds: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
-    """``fn(rows, words, n_removed, kept words)`` over blocks of documents, as judged by the module's rule."""
-    dealt = docs.withColumn("_order", F.coalesce(F.col(doc_id).cast("long"), F.lit(0))).withColumn("_known", F.col(doc_id).isNotNull())
-    blocks = Blocks(dealt, text, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
+def _smallest(kind: int, keys: list[np.ndarray], extra: list) -> list[np.ndarray]:
+    """One byte a key: 1 if a smaller document id has the window too."""
+    everything, ids = np.concatenate(keys), np.concatenate(extra)
+    _, of = np.unique(everything, return_inverse=True)
+    least = np.full(int(of.max()) + 1 if len(of) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, ids)
+    return np.split((least[of] < ids).astype(np.uint8), np.cumsum([len(k) for k in keys])[:-1])
+
+
+def dedup_map(docs: DataFrame, fn: Callable[[dict, list, list, list], pa.Table], schema, *, doc_id: str, text: str, width: int, rounds: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """``fn(columns, words, n_removed, kept words)`` over blocks of documents, as judged by the module's rule."""
+    # input columns travel under names of their own, so that none clashes with the marks
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    marks = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_order"), F.col(doc_id).isNotNull().alias("_known"), *(F.col(c).alias(n) for c, n in names.items()))
+    text = names[text]
+    blocks = Blocks(marks, text, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
 
     def prepare(table: pa.Table):
         words, starts = hashed(table, text, _MEMORY)
@@ -196,7 +190,7 @@ def dedup_map(docs: DataFrame, fn: Callable[[pa.Table, list, list, list], pa.Tab
         fits = right - left <= width
         key, left, right = key[fits], left[fits], right[fits]
         distinct, of = np.unique(key, return_inverse=True)
-        shared = np.frombuffer(replies(told, 0), np.uint8)
+        shared = replies(told, 0, np.uint8)
         assert len(shared) == len(distinct), "answers and symbols differ"
         alone = shared[of] == 0
         at = passing(len(words), starts, width, left[alone], right[alone])
@@ -213,7 +207,7 @@ def dedup_map(docs: DataFrame, fn: Callable[[pa.Table, list, list, list], pa.Tab
         second = told.filter(pa.compute.equal(told.column("kind"), 1))
         hashes, at, doc, starts = candidates(table, first)
         (distinct, low), of = _least_in_block(hashes, doc[at])
-        smaller = np.frombuffer(replies(second, 1), np.uint8)
+        smaller = replies(second, 1, np.uint8)
         assert len(smaller) == len(distinct), "answers and windows differ"
         gone = (smaller[of] > 0) | (low[of] < doc[at])
         cover = np.zeros(int(starts[-1]) + width + 1, np.int64)
@@ -238,10 +232,10 @@ def dedup_map(docs: DataFrame, fn: Callable[[pa.Table, list, list, list], pa.Tab
                 counts.append(len(tokens))
                 lost.append(n)
                 kept.append(b" ".join(tokens_kept))
-        return fn(table, counts, lost, kept)
+        return fn({c: table.column(n) for c, n in names.items()}, counts, lost, kept)
 
-    told = Blocks.answer(blocks.ask(symbols), _count_documents)
-    verified = Blocks.answer(blocks.ask(windows, told), _smallest).withColumn("kind", F.lit(1))
+    told = Blocks.answer(blocks.ask(symbols), _count_documents, np.uint8)
+    verified = Blocks.answer(blocks.ask(windows, told), _smallest, np.int64).withColumn("kind", F.lit(1))
     return blocks.finish(told.unionByName(verified), final, schema)
 
 
@@ -261,13 +255,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """
     others = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rows = docs.select(*others)
-    schema = rows.schema.add("n_words", "long").add("n_removed", "long")
+    schema = StructType(list(rows.schema)).add("n_words", "long").add("n_removed", "long")
     arrow = to_arrow_schema(schema)
 
-    def fn(table: pa.Table, counts: list, lost: list, kept: list) -> pa.Table:
-        before = table.column(text).to_pylist()
+    def fn(given: dict, counts: list, lost: list, kept: list) -> pa.Table:
+        before = given[text].to_pylist()
         after = [b if not n else k.decode() for b, n, k in zip(before, lost, kept, strict=True)]
-        columns = {c: table.column(c) for c in others} | {text: after, "n_words": counts, "n_removed": lost}
+        columns = given | {text: after, "n_words": counts, "n_removed": lost}
         return pa.table({f.name: columns[f.name] for f in arrow}, schema=arrow)
 
     return dedup_map(rows, fn, schema, doc_id=doc_id, text=text, width=width, rounds=rounds, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
@@ -281,8 +275,8 @@ def repeat_digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     schema = rows.select(doc_id).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     arrow = to_arrow_schema(schema)
 
-    def fn(table: pa.Table, counts: list, lost: list, kept: list) -> pa.Table:
-        columns = {doc_id: table.column(doc_id), "n_words": counts, "n_removed": lost, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
+    def fn(given: dict, counts: list, lost: list, kept: list) -> pa.Table:
+        columns = {doc_id: given[doc_id], "n_words": counts, "n_removed": lost, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
         return pa.table(columns, schema=arrow)
 
     return dedup_map(rows, fn, schema, doc_id=doc_id, text=text, width=width, rounds=rounds, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
