@@ -20,8 +20,21 @@ _VERSION = (
 )
 _SEP = "\x01"
 _CUT = _SEP.join(f"${g}" for g in range(1, 11))
-_NUMBER = "decimal(38,0)"
-_LAST = "9" * 37
+_NUMBER = "struct<size: int, digits: string>"
+
+
+def _number(digits: Column) -> Column:
+    """An orderable form of a whole number of any length: how many digits it has without leading zeros, and those."""
+    bare = F.ltrim(digits, F.lit("0"))
+    return F.struct(F.length(bare).alias("size"), bare.alias("digits"))
+
+
+def _bound(size: int) -> Column:
+    """Before all numbers (-1) or after them."""
+    return F.struct(F.lit(size).alias("size"), F.lit("").alias("digits"))
+
+
+_NONE, _LAST = -1, 2**31 - 1
 
 
 def version_key(value: Column) -> Column:
@@ -34,20 +47,20 @@ def version_key(value: Column) -> Column:
             return F.lower(F.get(p, F.lit(i)))
 
         def number(i: int) -> Column:
-            return F.coalesce(F.nullif(text(i), F.lit("")), F.lit("0")).cast(_NUMBER)
+            return _number(F.coalesce(text(i), F.lit("")))
 
-        release = F.transform(F.split(F.regexp_replace(text(1), r"(\.0+)+$", ""), r"\."), lambda x: x.cast(_NUMBER))
+        release = F.transform(F.split(F.regexp_replace(text(1), r"(\.0+)+$", ""), r"\."), _number)
         pre, post, dev = text(2), (text(4) != "") | (text(5) != ""), text(7) != ""
         rank = (
             F.when(pre.isin("a", "alpha"), 0).when(pre.isin("b", "beta"), 1).when(pre != "", 2).when(dev & ~post, -1).otherwise(3)
         )
-        post_n = F.when(text(4) != "", number(4)).when(text(5) != "", number(6)).otherwise(F.lit(-1).cast(_NUMBER))
+        post_n = F.when(text(4) != "", number(4)).when(text(5) != "", number(6)).otherwise(_bound(_NONE))
         local = F.when(
             text(9) != "",
             F.transform(
                 F.split(text(9), "[-_.]"),
                 lambda x: F.struct(
-                    F.when(x.rlike(r"^\d+$"), x).otherwise("-1").cast(_NUMBER).alias("n"),
+                    F.when(x.rlike(r"^\d+$"), _number(x)).otherwise(_bound(_NONE)).alias("n"),
                     F.when(x.rlike(r"^\d+$"), "").otherwise(x).alias("s"),
                 ),
             ),
@@ -58,7 +71,7 @@ def version_key(value: Column) -> Column:
             rank.alias("pre"),
             number(3).alias("pre_n"),
             post_n.alias("post"),
-            F.when(dev, number(8)).otherwise(F.lit(_LAST).cast(_NUMBER)).alias("dev"),
+            F.when(dev, number(8)).otherwise(_bound(_LAST)).alias("dev"),
             local.alias("local"),
         )
 

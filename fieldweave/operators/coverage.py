@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave import constants as K
-from fieldweave.functions.text import cve_year, ratio, stripped
+from fieldweave.functions.text import cve_year, ratio, stripped, truthy
+from fieldweave.operators.align import matches
 
 COUNTERS = ("nvd_nonempty", "matched_ghsa_nonempty", "matched_both_nonempty", "matched_nvd_only", "matched_ghsa_only", "matched_both_empty")
 
@@ -46,15 +47,32 @@ def presence(aligned: DataFrame) -> DataFrame:
     return flags.select("year", "matched", "multi", F.inline("f"))
 
 
+def presence_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    """What ``presence`` gives for ``align(left, right)``, from a flag for each field and id of the right side; no record moves."""
+    right_flags = [field_present(F.struct(*right.columns), f) for f in K.COVERAGE]
+    found = (
+        right.where(truthy(F.col("cve_id")))
+        .select(F.col("cve_id").alias("_key"), *[v.alias(f"_{i}") for i, v in enumerate(right_flags)])
+        .groupBy("_key")
+        .agg(F.count("*").alias("_n"), *[F.bool_or(f"_{i}").alias(f"_{i}") for i in range(len(right_flags))])
+    )
+    left_flags = [field_present(F.struct(*left.columns), f) for f in K.COVERAGE]
+    rows = left.select("cve_id", *[v.alias(f"_l{i}") for i, v in enumerate(left_flags)])
+    joined = rows.join(found, rows["cve_id"] == found["_key"], "left")
+    entries = [F.struct(F.lit(name).alias("field"), F.col(f"_l{i}").alias("nvd_has"), F.coalesce(f"_{i}", F.lit(False)).alias("ghsa_has")) for i, name in enumerate(K.COVERAGE.values())]
+    n = F.coalesce("_n", F.lit(0))
+    return joined.select(cve_year(F.col("cve_id")).alias("year"), (n > 0).alias("matched"), (n > 1).alias("multi"), F.inline(F.array(*entries)))
+
+
 def _counts() -> list[Column]:
     m, n, g = F.col("matched"), F.col("nvd_has"), F.col("ghsa_has")
     tests = (n, m & g, m & n & g, m & n & ~g, m & ~n & g, m & ~n & ~g)
     return [F.count_if(t).alias(c) for c, t in zip(COUNTERS, tests, strict=True)]
 
 
-def field_coverage(aligned: DataFrame) -> DataFrame:
-    """(field, six counters, six rates); the first rate is over all rows, the others over matched rows."""
-    counted = presence(aligned).groupBy("field").agg(F.count("*").alias("total_rows"), F.count_if("matched").alias("matched_rows"), *_counts())
+def field_coverage(present: DataFrame) -> DataFrame:
+    """(field, six counters, six rates) of ``presence``; the first rate is over all rows, the others over matched rows."""
+    counted = present.groupBy("field").agg(F.count("*").alias("total_rows"), F.count_if("matched").alias("matched_rows"), *_counts())
     return with_rates(counted)
 
 
@@ -63,9 +81,9 @@ def with_rates(counted: DataFrame) -> DataFrame:
     return counted.select("field", *COUNTERS, *rates)
 
 
-def year_coverage(aligned: DataFrame) -> DataFrame:
-    """(year, total_rows, matched_rows, matched_rate), sorted by year."""
-    counted = aligned.groupBy(cve_year(F.col("cve_id")).alias("year")).agg(F.count("*").alias("total_rows"), F.count_if(F.size("ghsa") > 0).alias("matched_rows"))
+def year_coverage(rows: DataFrame) -> DataFrame:
+    """(year, total_rows, matched_rows, matched_rate) of ``align`` or ``counted``, sorted by year."""
+    counted = rows.groupBy(cve_year(F.col("cve_id")).alias("year")).agg(F.count("*").alias("total_rows"), F.count_if(matches(rows) > 0).alias("matched_rows"))
     return counted.withColumn("matched_rate", ratio(F.col("matched_rows"), F.col("total_rows"))).orderBy("year")
 
 

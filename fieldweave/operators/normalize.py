@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from fieldweave import constants as K
 from fieldweave.functions.text import cpe_part, first_with_prefix, or_empty, sorted_set, truthy
 from fieldweave.functions.urls import host
-from fieldweave.schemas import AFFECTED, AFFECTED_FIELDS, NODE_DEPTH, RECORD
+from fieldweave.schemas import AFFECTED, AFFECTED_FIELDS, RECORD
 
 _AFFECTED_LIST = f"array<{AFFECTED}>"
 
@@ -52,19 +53,35 @@ def weakness_ids(weaknesses: Column) -> Column:
     return or_empty(sorted_set(F.filter(values, lambda v: v.startswith("CWE-"))))
 
 
-def _node_matches(node: Column, depth: int, kind: str) -> Column:
+def _node_matches(node: Column, kind: StructType) -> Column:
     """Matches of a node, then of its children, in pre-order."""
-    own = or_empty(node["cpeMatch"], kind)
-    if not depth:
+    matches = kind["cpeMatch"].dataType.simpleString()
+    own = or_empty(node["cpeMatch"], matches)
+    if not _goes_on(kind):
         return own
-    below = F.flatten(F.transform(node["children"], lambda c: _node_matches(c, depth - 1, kind)))
-    return F.concat(own, or_empty(below, kind))
+    below = F.flatten(F.transform(node["children"], lambda c: _node_matches(c, kind["children"].dataType.elementType)))
+    return F.concat(own, or_empty(below, matches))
 
 
-def cpe_matches(configurations: Column, kind: str) -> Column:
-    """All matches of the configuration trees in pre-order."""
-    per = F.transform(configurations, lambda c: F.flatten(F.transform(c["nodes"], lambda n: _node_matches(n, NODE_DEPTH, kind))))
-    return or_empty(F.flatten(F.array_compact(per)), kind)
+def _goes_on(kind: StructType) -> bool:
+    return "children" in kind.names and isinstance(kind["children"].dataType, ArrayType)
+
+
+def cpe_matches(configurations: Column, kind: StructType) -> Column:
+    """All matches of the configuration trees in pre-order; ``kind`` is the type of a node, with as many levels as it has."""
+    per = F.transform(configurations, lambda c: F.flatten(F.transform(c["nodes"], lambda n: _node_matches(n, kind))))
+    return or_empty(F.flatten(F.array_compact(per)), kind["cpeMatch"].dataType.simpleString())
+
+
+def too_deep(configurations: Column, kind: StructType) -> Column:
+    """Whether some node has children below the last level of its type."""
+
+    def deeper(node: Column, at: StructType) -> Column:
+        if _goes_on(at):
+            return F.exists(node["children"], lambda c: deeper(c, at["children"].dataType.elementType))
+        return node["children"].isNotNull() & (node["children"] != "[]")
+
+    return F.coalesce(F.exists(configurations, lambda c: F.exists(c["nodes"], lambda n: deeper(n, kind))), F.lit(False))
 
 
 def match_affected(matches: Column) -> Column:
@@ -93,7 +110,6 @@ def match_affected(matches: Column) -> Column:
 def nvd_records(cves: DataFrame) -> DataFrame:
     """Rows of ``cve`` structs to shared records."""
     c = F.col("cve")
-    matches_type = _match_type(cves)
     staged = cves.select(c.alias("c"), chosen_metric(c["metrics"]).alias("m"))
     c, m = F.col("c"), F.col("m")
     data = m["entry"]["cvssData"]
@@ -109,14 +125,13 @@ def nvd_records(cves: DataFrame) -> DataFrame:
         severity=F.struct(m["key"].alias("metric_key"), data["baseScore"].alias("score"), data["baseSeverity"].alias("label"), data["vectorString"].alias("vector"), m["entry"]["source"].alias("source")),
         cwe_ids=weakness_ids(c["weaknesses"]),
         references=references(c["references"]),
-        affected=match_affected(cpe_matches(c["configurations"], matches_type)),
+        affected=match_affected(cpe_matches(c["configurations"], node_type(cves))),
         source_specific=_specific(vuln_status=c["vulnStatus"]),
     )
 
 
-def _match_type(cves: DataFrame) -> str:
-    nodes = cves.schema["cve"].dataType["configurations"].dataType.elementType["nodes"].dataType.elementType
-    return nodes["cpeMatch"].dataType.simpleString()
+def node_type(cves: DataFrame) -> StructType:
+    return cves.schema["cve"].dataType["configurations"].dataType.elementType["nodes"].dataType.elementType
 
 
 def _specific(**fields: Column) -> Column:

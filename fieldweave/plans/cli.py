@@ -7,13 +7,15 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from fieldweave.operators import coverage
-from fieldweave.operators.align import align, match_counts, one_to_one
+from fieldweave.operators.align import align, one_to_one
 from fieldweave.operators.compare import compare_pairs, status_counts
 from fieldweave.operators.normalize import ghsa_records, nvd_records
 from fieldweave.session import build_session
 from fieldweave.sources import feeds, sinks
+from fieldweave.sources.files import write_text
 
 PROJECT = Path(__file__).resolve().parents[2]
 
@@ -30,7 +32,7 @@ def build_corpus(spark: SparkSession, raw_dir: str, output_dir: str, pattern: st
     nvd_path, ghsa_path, aligned_path = (f"{output_dir}/{n}" for n in ("nvd_normalized", "ghsa_normalized", "aligned_by_cve"))
     nvd_records(feed).write.mode("overwrite").parquet(nvd_path)
     nvd = spark.read.parquet(nvd_path)
-    manifest = {"nvd_files": [f.rsplit("/", 1)[-1] for f in files], "nvd_records": sinks.write_jsonl(nvd, f"{nvd_path}.jsonl")}
+    manifest = {"nvd_files": [f.rsplit("/", 1)[-1] for f in files], "nvd_records": sinks.write_jsonl(nvd, f"{nvd_path}.jsonl")["rows"]}
     manifest["nvd_year_counts"] = {r["year"]: r["records"] for r in feeds.feed_year_counts(feed).collect()}
     manifest |= {"ghsa_records": 0, "ghsa_year_counts": {}, "aligned_rows": 0, "matched_rows": 0}
     try:
@@ -40,14 +42,14 @@ def build_corpus(spark: SparkSession, raw_dir: str, output_dir: str, pattern: st
     else:
         ghsa_records(advisories).write.mode("overwrite").parquet(ghsa_path)
         ghsa = spark.read.parquet(ghsa_path)
-        manifest["ghsa_records"] = sinks.write_jsonl(ghsa, f"{ghsa_path}.jsonl")
+        manifest["ghsa_records"] = sinks.write_jsonl(ghsa, f"{ghsa_path}.jsonl")["rows"]
         manifest["ghsa_year_counts"] = {r["year"]: r["records"] for r in feeds.advisory_year_counts(ghsa).collect()}
         align(nvd, ghsa).write.mode("overwrite").parquet(aligned_path)
         aligned = spark.read.parquet(aligned_path)
-        manifest["aligned_rows"] = sinks.write_jsonl(aligned, f"{aligned_path}.jsonl")
-        manifest["matched_rows"] = match_counts(aligned).first()["matched_rows"]
+        seen = sinks.write_jsonl(aligned, f"{aligned_path}.jsonl", matched_rows=F.count_if(F.size("ghsa") > 0))
+        manifest |= {"aligned_rows": seen["rows"], "matched_rows": seen["matched_rows"]}
     manifest["include_unreviewed"] = include_unreviewed
-    sinks.write_document(manifest, f"{output_dir}/manifest.json")
+    sinks.write_document(spark, manifest, f"{output_dir}/manifest.json")
     return manifest
 
 
@@ -56,17 +58,17 @@ def build_discrepancies(spark: SparkSession, aligned_path: str, output_dir: str)
     compared = compare_pairs(one_to_one(_aligned(spark, aligned_path)))
     compared.write.mode("overwrite").parquet(f"{output_dir}/field_discrepancies")
     written = spark.read.parquet(f"{output_dir}/field_discrepancies")
-    pairs = sinks.write_jsonl(written, f"{output_dir}/field_discrepancies.jsonl")
+    pairs = sinks.write_jsonl(written, f"{output_dir}/field_discrepancies.jsonl")["rows"]
     stats = sinks.statistics(aligned_path, pairs, status_counts(written))
-    sinks.write_document(stats, f"{output_dir}/field_discrepancy_stats.json")
+    sinks.write_document(spark, stats, f"{output_dir}/field_discrepancy_stats.json")
     return stats
 
 
 def build_coverage(spark: SparkSession, aligned_path: str, output_dir: str) -> dict:
     """Aligned rows to the coverage summary, as JSON and Markdown."""
     summary = {"input_path": aligned_path} | coverage.summary(_aligned(spark, aligned_path))
-    sinks.write_document(summary, f"{output_dir}/field_coverage.json")
-    Path(output_dir, "field_coverage.md").write_text(sinks.coverage_markdown(summary), encoding="utf-8")
+    sinks.write_document(spark, summary, f"{output_dir}/field_coverage.json")
+    write_text(spark, f"{output_dir}/field_coverage.md", sinks.coverage_markdown(summary))
     return summary
 
 
@@ -86,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
     corpus.add_argument("--include-unreviewed", action="store_true")
     for name in ("discrepancies", "coverage"):
         sub = commands.add_parser(name)
-        sub.add_argument("--input", default="data/processed/aligned_by_cve")
+        sub.add_argument("--input", "--aligned-path", dest="input", default="data/processed/aligned_by_cve")
         sub.add_argument("--output-dir", default=f"results/{name}")
     args = parser.parse_args(argv)
     spark = build_session()

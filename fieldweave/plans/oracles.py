@@ -144,7 +144,7 @@ def _stats(where: str = "TRUE") -> str:
     return f"WITH {PAIRS}, {SEVERITY}, {PUBLISHED}, {CWE}, {REFERENCES}, {AFFECTED}, allf AS ({parts}) SELECT field, {counts} FROM allf WHERE {where} GROUP BY field"
 
 
-_PLACE = "printf('%03d/%012d/%012d', l_linenumber, l_partkey, l_suppkey)"
+_PLACE = "printf('%03d/%012d/%012d/%020.4f', l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _SIZE = f"{ORDERS}, {PAIRS}, sizes AS (SELECT lefts.cve_id, count(l_orderkey) AS n FROM lefts LEFT JOIN pairs USING (cve_id) GROUP BY lefts.cve_id)"
 _YEAR = "CASE WHEN starts_with(cve_id, 'CVE-') THEN split_part(cve_id, '-', 2) ELSE 'unknown' END"
@@ -179,7 +179,7 @@ urls AS (SELECT page_id, au AS host, sc || '://' || au || pa || CASE WHEN qu <>
 
 ORACLES = {
     "align_left_join": f"""WITH {ORDERS}, {PAIRS},
-      g AS (SELECT cve_id, count(*) AS n, string_agg(coalesce(r_label, '-'), '|' ORDER BY {_ORDER}) AS labels, string_agg(substr({_PLACE}, 1, 29), '|' ORDER BY {_ORDER}) AS paths FROM pairs GROUP BY cve_id)
+      g AS (SELECT cve_id, count(*) AS n, string_agg(coalesce(r_label, '-'), '|' ORDER BY {_ORDER}) AS labels, string_agg({_PLACE}, '|' ORDER BY {_ORDER}) AS paths FROM pairs GROUP BY cve_id)
       SELECT lefts.cve_id, coalesce(n, 0)::BIGINT AS n_ghsa, coalesce(labels, '') AS labels, coalesce(paths, '') AS paths FROM lefts LEFT JOIN g USING (cve_id)""",
     "align_matched_counts": f"""WITH {_SIZE}, c AS (SELECT count(*) AS total_rows, count(*) FILTER (n > 0) AS matched_rows, count(*) FILTER (n > 1) AS multi_rows FROM sizes)
       SELECT total_rows, matched_rows, multi_rows, total_rows - matched_rows AS unmatched_rows, {_R6.format('matched_rows', 'total_rows')} AS matched_rate, {_R6.format('multi_rows', 'matched_rows')} AS multi_rate FROM c""",
@@ -209,7 +209,7 @@ ORACLES = {
         CASE WHEN r_start IS NULL THEN '' ELSE 'right' END AS ghsa_packages, len(b) AS ghsa_spans FROM s""",
     "url_canonical": f"WITH {_PAGE} SELECT page_id, canonical, host FROM urls",
     "url_host_counts": f"WITH {_PAGE} SELECT host, count(*) AS pages FROM urls GROUP BY host",
-    "reference_set_per_host": f"WITH {_PAGE} SELECT host, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS urls FROM urls GROUP BY host",
+    "reference_set_per_host": f"WITH {_PAGE} SELECT host, canonical AS url, count(*) AS pages FROM urls WHERE canonical IS NOT NULL GROUP BY host, canonical",
     "href_extract": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS u FROM pages),
       x AS (SELECT page_id, unnest(u) AS url, generate_subscripts(u, 1) AS pos FROM l)
       SELECT page_id, pos::BIGINT AS pos, url, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS host FROM x""",
@@ -231,6 +231,23 @@ ORACLES = {
       r AS (SELECT *, unnest(CASE WHEN p % 4 = 0 THEN CASE WHEN p % 3 = 0 THEN [] ELSE [0] END WHEN p % 4 = 1 THEN [1] ELSE [1, 2] END) AS k FROM l)
       SELECT l_orderkey, l_linenumber, 'pkg' || (p % 50)::VARCHAR AS package_name, CASE WHEN k > 0 AND p % 3 = 0 THEN '1.' || (p % 5)::VARCHAR END AS version,
         CASE k WHEN 1 THEN '1.' || (p % 4)::VARCHAR WHEN 2 THEN '0' END AS introduced, CASE k WHEN 1 THEN '2.' || (p % 3)::VARCHAR END AS fixed, CASE k WHEN 1 THEN '2.' || (p % 3)::VARCHAR END AS version_end_excluding FROM r""",
+    "feed_affected": """WITH k AS (SELECT p_partkey AS p, unnest([1, 2, 3, 4, 5]) AS i FROM part),
+      kept AS (SELECT p, i, i::VARCHAR AS q, (p % 5)::VARCHAR AS v, '1.' || (p % 4)::VARCHAR AS lo, '2.' || ((p + i) % 3)::VARCHAR AS hi FROM k WHERE i = 1 OR (i = 2 AND p % 2 = 0) OR (i IN (3, 4) AND p % 3 = 0) OR (i = 5 AND p % 4 = 0))
+      SELECT p AS p_partkey, (row_number() OVER (PARTITION BY p ORDER BY i) - 1)::BIGINT AS pos, 'cpe:2.3:a:v:q' || q || ':' || v || ':*' AS criteria, 'v' AS vendor, 'q' || q AS product, v AS version,
+        CASE WHEN (p + i) % 3 < 2 THEN lo END AS introduced, CASE WHEN (p + i) % 3 = 0 THEN lo END AS version_start_including, CASE WHEN (p + i) % 3 = 1 THEN lo END AS version_start_excluding,
+        CASE WHEN (p + i) % 4 = 0 THEN hi END AS version_end_including, CASE WHEN (p + i) % 4 = 1 THEN hi END AS version_end_excluding, p % 2 = 0 AS vulnerable FROM kept""",
+    "nvd_record": """SELECT 'nvd' AS source, id AS source_id, id AS cve_id, coalesce(id, '') AS aliases, CASE WHEN k % 4 <> 0 THEN 'order ' || s END AS summary, day AS published, day AS last_modified,
+        CASE WHEN k % 3 = 0 THEN 'cvssMetricV31' WHEN k % 5 <> 0 THEN 'cvssMetricV2' END AS metric_key, CASE WHEN k % 3 = 0 THEN 9.8::DOUBLE WHEN k % 5 <> 0 THEN 5.0::DOUBLE END AS score,
+        CASE WHEN k % 3 = 0 THEN 'CRITICAL' END AS label, CASE WHEN k % 3 = 0 OR k % 5 <> 0 THEN 'v' || s END AS vector, 'CWE-' || (k % 9)::VARCHAR AS cwe_ids,
+        'https://H' || (k % 5)::VARCHAR || '.ex.org/a h' || (k % 5)::VARCHAR || '.ex.org s t' AS refs, 'acme p' || (k % 7)::VARCHAR || ' 1' AS affected, o_orderstatus AS vuln_status
+      FROM (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS s, o_orderdate::DATE::VARCHAR AS day, CASE WHEN o_orderkey % 13 <> 0 THEN 'CVE-2024-' || o_orderkey::VARCHAR END AS id, o_orderstatus FROM orders)""",
+    "ghsa_record": """WITH l AS (SELECT *, 'GHSA-' || l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS id, l_linenumber AS n, l_partkey AS p FROM lineitem)
+      SELECT 'ghsa' AS source, id AS source_id, CASE WHEN p % 3 = 1 THEN 'CVE-2024-' || l_orderkey::VARCHAR END AS cve_id,
+        CASE p % 3 WHEN 0 THEN 'X-1' WHEN 1 THEN 'X-1|CVE-2024-' || l_orderkey::VARCHAR || '|CVE-9' ELSE '' END AS aliases, 'line ' || l_returnflag AS summary, l_shipdate::DATE::VARCHAR || 'T00:00:00Z' AS published,
+        CASE WHEN n % 2 = 0 THEN 'CVSS_V3' END AS metric_key, CASE WHEN n > 2 THEN 'HIGH' END AS label, CASE WHEN n % 2 = 0 THEN 'v' || p::VARCHAR END AS vector, 'CWE-' || (p % 4)::VARCHAR || '|CWE-9' AS cwe_ids,
+        'https://ex.com/a ex.com' AS refs,
+        CASE WHEN p % 4 = 0 AND p % 5 = 0 THEN '' ELSE 'pkg' || (p % 50)::VARCHAR || ' npm' || CASE WHEN p % 4 <> 0 THEN CASE WHEN p % 5 = 0 THEN ' 1.0' ELSE '' END || ' 0 2.' || (p % 3)::VARCHAR ELSE '' END END AS affected,
+        n % 3 = 0 AS github_reviewed, 'advisories/' || id || '.json' AS relative_path FROM l""",
     "version_point_in_range": f"WITH {PAIRS}, {SPANS} SELECT {_KEYS}, coalesce({COVERED}, FALSE) AS covered FROM spans",
     "json_props": """SELECT event_type, count((props::JSON ->> 'k')::BIGINT) AS parsed, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS total FROM events GROUP BY event_type""",
     "year_file_counts": "SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS records FROM orders GROUP BY 1",

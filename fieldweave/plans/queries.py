@@ -20,8 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return al.align(adapter.left_records(spark, sf_dir), adapter.right_records(spark, sf_dir))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return adapter.left_records(spark, sf_dir), adapter.right_records(spark, sf_dir)
 
 
 def _joined(values: Column) -> Column:
@@ -35,14 +35,14 @@ def _keyed(pairs: DataFrame, result: Column, *extra: str) -> DataFrame:
 
 def align_left_join(spark, sf_dir):
     """Every order with its lines in path order."""
-    a = _aligned(spark, sf_dir)
+    a = al.align(*_sides(spark, sf_dir))
     labels = F.transform("ghsa", lambda g: F.coalesce(g["severity"]["label"], F.lit("-")))
-    paths = F.transform("ghsa", lambda g: F.substring(g["source_id"], F.lit(1), F.lit(29)))
+    paths = F.transform("ghsa", lambda g: g["source_id"])
     return a.select("cve_id", F.size("ghsa").cast("long").alias("n_ghsa"), _joined(labels).alias("labels"), _joined(paths).alias("paths"))
 
 
 def align_matched_counts(spark, sf_dir):
-    counts = al.match_counts(_aligned(spark, sf_dir))
+    counts = al.match_counts(al.counted(*_sides(spark, sf_dir)))
     return counts.select(
         "*",
         (F.col("total_rows") - F.col("matched_rows")).alias("unmatched_rows"),
@@ -60,16 +60,16 @@ def align_coverage_docs(spark, sf_dir):
 
 
 def one_to_one_pairs(spark, sf_dir):
-    pairs = al.one_to_one(_aligned(spark, sf_dir))
+    pairs = al.one_to_one_of(*_sides(spark, sf_dir))
     return pairs.select("cve_id", F.col("nvd.severity.label").alias("nvd_label"), F.col("ghsa.severity.label").alias("ghsa_label"), F.col("ghsa.published").alias("ghsa_published"))
 
 
 def year_match_rate(spark, sf_dir):
-    return coverage.year_coverage(_aligned(spark, sf_dir))
+    return coverage.year_coverage(al.counted(*_sides(spark, sf_dir)))
 
 
 def field_presence(spark, sf_dir):
-    return coverage.field_coverage(_aligned(spark, sf_dir))
+    return coverage.field_coverage(coverage.presence_of(*_sides(spark, sf_dir)))
 
 
 def severity_canonical(spark, sf_dir):
@@ -110,7 +110,7 @@ def discrepancy_stats(spark, sf_dir):
 
 def discrepancy_stats_one_to_one(spark, sf_dir):
     """Status counts over the pairs that alignment leaves one to one."""
-    return compare.status_counts(compare.compare_pairs(al.one_to_one(_aligned(spark, sf_dir))))
+    return compare.status_counts(compare.compare_pairs(al.one_to_one_of(*_sides(spark, sf_dir))))
 
 
 def unified_view_flat(spark, sf_dir):
@@ -142,8 +142,9 @@ def url_host_counts(spark, sf_dir):
 
 
 def reference_set_per_host(spark, sf_dir):
+    """The set of canonical URLs of each host, a row for each."""
     pages = _table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), urls.canonical_url(F.col("url")).alias("u"))
-    return pages.groupBy("host").agg(_joined(F.array_sort(F.collect_set("u"))).alias("urls"))
+    return pages.where("u is not null").groupBy("host", F.col("u").alias("url")).agg(F.count("*").alias("pages"))
 
 
 def href_extract(spark, sf_dir):
@@ -231,6 +232,102 @@ def affected_explode(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "package_name", "version", "introduced", "fixed", "version_end_excluding")
 
 
+def _match(i: int) -> Column:
+    """A configuration match of a part."""
+    p = F.col("p_partkey")
+    start, end, at = F.concat(F.lit("1."), (p % 4).cast("string")), F.concat(F.lit("2."), ((p + i) % 3).cast("string")), p + i
+    return F.struct(
+        F.concat(F.lit(f"cpe:2.3:a:v:q{i}:"), (p % 5).cast("string"), F.lit(":*")).alias("criteria"),
+        (p % 2 == 0).alias("vulnerable"),
+        F.when(at % 3 == 0, start).alias("versionStartIncluding"),
+        F.when(at % 3 == 1, start).alias("versionStartExcluding"),
+        F.when(at % 4 == 0, end).alias("versionEndIncluding"),
+        F.when(at % 4 == 1, end).alias("versionEndExcluding"),
+    )
+
+
+def feed_affected(spark, sf_dir):
+    """Configuration trees of four levels from parts, walked in pre-order into affected rows."""
+    p = F.col("p_partkey")
+    leaf = F.struct(F.array(_match(4)).alias("cpeMatch"))
+    bare = F.struct(F.filter(F.array(_match(4)), lambda m: F.lit(False)).alias("cpeMatch"), F.array(leaf).alias("children"))
+    inner = F.array(F.struct(F.array(_match(3)).alias("cpeMatch"), F.array(bare).alias("children")))
+    root = F.struct(F.when(p % 2 == 0, F.array(_match(1), _match(2))).otherwise(F.array(_match(1))).alias("cpeMatch"), F.when(p % 3 == 0, inner).alias("children"))
+    other = F.struct(F.array(_match(5)).alias("cpeMatch"), F.when(F.lit(False), inner).alias("children"))
+    trees = F.array(F.struct(F.array(root).alias("nodes")), F.struct(F.when(p % 4 == 0, F.array(other)).alias("nodes")))
+    parts = _table(spark, sf_dir, "part").select("p_partkey", trees.alias("c"))
+    kind = parts.schema["c"].dataType.elementType["nodes"].dataType.elementType
+    rows = parts.select("p_partkey", F.posexplode(normalize.match_affected(normalize.cpe_matches(F.col("c"), kind))).alias("pos", "a"))
+    told = ("criteria", "vendor", "product", "version", "introduced", "version_start_including", "version_start_excluding", "version_end_including", "version_end_excluding", "vulnerable")
+    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), *[F.col(f"a.{c}").alias(c) for c in told])
+
+
+def nvd_record(spark, sf_dir):
+    """Feed rows from orders, as shared records."""
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+
+    def entry(source: str, kind: str, score: float, label: str | None) -> Column:
+        data = F.struct(F.lit(score).alias("baseScore"), F.lit(label).cast("string").alias("baseSeverity"), F.concat(F.lit("v"), key).alias("vectorString"))
+        return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("type"), data.alias("cvssData"))
+
+    def said(lang: str, value: Column) -> Column:
+        return F.struct(F.lit(lang).alias("lang"), value.alias("value"))
+
+    old = F.array(entry("z", "Primary", 5.0, None))
+    new = F.when(k % 3 == 0, F.array(entry("x", "Secondary", 1.0, "LOW"), entry("y", K.PRIMARY_TYPE, 9.8, "CRITICAL")))
+    metrics = F.struct(F.filter(old, lambda m: F.lit(False)).alias(K.METRIC_KEYS[0]), new.alias(K.METRIC_KEYS[1]), F.when(F.lit(False), old).alias(K.METRIC_KEYS[2]), F.when(k % 5 != 0, old).alias(K.METRIC_KEYS[3]))
+    matched = F.struct(
+        F.concat(F.lit("cpe:2.3:a:acme:p"), (k % 7).cast("string"), F.lit(":1")).alias("criteria"), F.lit(True).alias("vulnerable"),
+        *[F.lit(None).cast("string").alias(c) for c in ("versionStartIncluding", "versionStartExcluding", "versionEndIncluding", "versionEndExcluding")],
+    )
+    day = F.to_date("o_orderdate").cast("string")
+    cve = F.struct(
+        F.when(k % 13 != 0, F.concat(F.lit("CVE-2024-"), key)).alias("id"),
+        day.alias("published"),
+        day.alias("lastModified"),
+        F.col("o_orderstatus").alias("vulnStatus"),
+        F.array(said("es", F.lit("hola")), said("en", F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("order "), key)))).alias("descriptions"),
+        metrics.alias("metrics"),
+        F.array(F.struct(F.array(said("en", F.concat(F.lit("CWE-"), (k % 9).cast("string"))), said("en", F.lit("NVD-CWE-noinfo"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(F.concat(F.lit("https://H"), (k % 5).cast("string"), F.lit(".ex.org/a")).alias("url"), F.lit("s").alias("source"), F.array(F.lit("t")).alias("tags"))).alias("references"),
+        F.array(F.struct(F.array(F.struct(F.array(matched).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+    )
+    records = normalize.nvd_records(_table(spark, sf_dir, "orders").select(cve.alias("cve")))
+    return records.select(
+        "source", "source_id", "cve_id", _joined(F.col("aliases")).alias("aliases"), "summary", "published", "last_modified", F.col("severity.metric_key").alias("metric_key"), F.col("severity.score").alias("score"),
+        F.col("severity.label").alias("label"), F.col("severity.vector").alias("vector"), _joined(F.col("cwe_ids")).alias("cwe_ids"), _joined(F.transform("references", lambda r: F.concat_ws(" ", r["url"], r["host"], r["source"], F.array_join(r["tags"], ",")))).alias("refs"),
+        _joined(F.transform("affected", lambda a: F.concat_ws(" ", a["vendor"], a["product"], a["version"]))).alias("affected"), F.col("source_specific.vuln_status").alias("vuln_status"),
+    )
+
+
+def ghsa_record(spark, sf_dir):
+    """Advisory rows from lines, as shared records."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    name = F.concat(F.lit("GHSA-"), F.col("l_orderkey").cast("string"), F.lit("-"), n.cast("string"))
+    alias = F.concat(F.lit("CVE-2024-"), F.col("l_orderkey").cast("string"))
+    event = lambda what, value: F.create_map(F.lit(what), value)
+    bounds = F.array(F.struct(F.array(event("introduced", F.lit("0")), event("fixed", F.concat(F.lit("2."), (part % 3).cast("string")))).alias("events")))
+    package = F.struct(F.concat(F.lit("pkg"), (part % 50).cast("string")).alias("name"), F.lit("npm").alias("ecosystem"))
+    item = F.struct(package.alias("package"), F.when(part % 4 != 0, bounds).alias("ranges"), F.when(part % 5 == 0, F.array(F.lit("1.0"))).alias("versions"))
+    day = F.concat(F.to_date("l_shipdate").cast("string"), F.lit("T00:00:00Z"))
+    rows = _table(spark, sf_dir, "lineitem").select(
+        name.alias("id"), F.when(part % 3 == 0, F.array(F.lit("X-1"))).when(part % 3 == 1, F.array(F.lit("X-1"), alias, F.lit("CVE-9"))).alias("aliases"), F.concat(F.lit("line "), F.col("l_returnflag")).alias("summary"),
+        day.alias("published"), day.alias("modified"), F.when(n % 2 == 0, F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.concat(F.lit("v"), part.cast("string")).alias("score")))).alias("severity"),
+        F.array(F.struct(F.lit("WEB").alias("type"), F.lit("https://ex.com/a").alias("url"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("array<string>").alias("tags"))).alias("references"),
+        F.array(item).alias("affected"),
+        F.struct(F.when(n > 2, "HIGH").alias("severity"), F.array(F.lit("CWE-9"), F.concat(F.lit("CWE-"), (part % 4).cast("string"))).alias("cwe_ids"), (n % 3 == 0).alias("github_reviewed"), day.alias("github_reviewed_at"), F.lit(None).cast("string").alias("nvd_published_at")).alias("database_specific"),
+        F.concat(F.lit("advisories/"), name, F.lit(".json")).alias("relative_path"),
+    )
+    records = normalize.ghsa_records(rows)
+    return records.select(
+        "source", "source_id", "cve_id", _joined(F.col("aliases")).alias("aliases"), "summary", "published", F.col("severity.metric_key").alias("metric_key"), F.col("severity.label").alias("label"), F.col("severity.vector").alias("vector"),
+        _joined(F.col("cwe_ids")).alias("cwe_ids"), _joined(F.transform("references", lambda r: F.concat_ws(" ", r["url"], r["host"]))).alias("refs"),
+        _joined(F.transform("affected", lambda a: F.concat_ws(" ", a["package_name"], a["ecosystem"], a["version"], a["introduced"], a["fixed"]))).alias("affected"),
+        F.col("source_specific.github_reviewed").alias("github_reviewed"), F.col("source_specific.relative_path").alias("relative_path"),
+    )
+
+
 def version_point_in_range(spark, sf_dir):
     """Pairs whose left side is a point version inside a range on the right."""
     pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
@@ -277,6 +374,6 @@ QUERIES = {
         align_left_join, align_matched_counts, align_coverage_docs, one_to_one_pairs, year_match_rate, field_presence, severity_canonical, cmp_severity,
         cmp_published, cmp_cwe, cmp_references, cmp_affected, discrepancy_stats, discrepancy_stats_one_to_one, unified_view_flat, url_canonical,
         url_host_counts, reference_set_per_host, href_extract, text_normalize, prefix_filter, cpe_split, metric_choice, first_alias, cwe_extract,
-        affected_explode, version_point_in_range, json_props, year_file_counts, latest_file_per_year, sorted_span_dedup,
+        affected_explode, feed_affected, nvd_record, ghsa_record, version_point_in_range, json_props, year_file_counts, latest_file_per_year, sorted_span_dedup,
     )
 }

@@ -10,24 +10,29 @@ _MATCH = (
     "struct<criteria: string, vulnerable: boolean, versionStartIncluding: string, versionStartExcluding: string,"
     " versionEndIncluding: string, versionEndExcluding: string>"
 )
-#: Levels of ``children`` below a configuration's nodes that the schema holds.
+#: Levels of ``children`` below a configuration's nodes that a first reading holds; readers double it until all fit.
 NODE_DEPTH = 6
 
 
 def _node(depth: int) -> str:
-    below = f", children: array<{_node(depth - 1)}>" if depth else ""
-    return f"struct<cpeMatch: array<{_MATCH}>{below}>"
+    below = f"array<{_node(depth - 1)}>" if depth else "string"  # what lies deeper, as it stands
+    return f"struct<cpeMatch: array<{_MATCH}>, children: {below}>"
 
 
-CVE = (
-    "struct<id: string, published: string, lastModified: string, vulnStatus: string,"
-    f" descriptions: array<{_TEXT}>,"
-    f" metrics: struct<cvssMetricV40: {_METRIC}, cvssMetricV31: {_METRIC}, cvssMetricV30: {_METRIC}, cvssMetricV2: {_METRIC}>,"
-    f" weaknesses: array<struct<description: array<{_TEXT}>>>,"
-    " `references`: array<struct<url: string, source: string, tags: array<string>>>,"
-    f" configurations: array<struct<nodes: array<{_node(NODE_DEPTH)}>>>>"
-)
-FEED = f"vulnerabilities array<struct<cve: {CVE}>>"
+def cve_type(depth: int = NODE_DEPTH) -> str:
+    """A feed's record with configuration nodes of so many levels."""
+    return (
+        "struct<id: string, published: string, lastModified: string, vulnStatus: string,"
+        f" descriptions: array<{_TEXT}>,"
+        f" metrics: struct<cvssMetricV40: {_METRIC}, cvssMetricV31: {_METRIC}, cvssMetricV30: {_METRIC}, cvssMetricV2: {_METRIC}>,"
+        f" weaknesses: array<struct<description: array<{_TEXT}>>>,"
+        " `references`: array<struct<url: string, source: string, tags: array<string>>>,"
+        f" configurations: array<struct<nodes: array<{_node(depth)}>>>>"
+    )
+
+
+def feed_type(depth: int = NODE_DEPTH) -> str:
+    return f"vulnerabilities array<struct<cve: {cve_type(depth)}>>"
 
 ADVISORY = (
     "id string, aliases array<string>, summary string, published string, modified string,"

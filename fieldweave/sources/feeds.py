@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,7 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave import constants as K
-from fieldweave.schemas import ADVISORY, ALIGNED, CVE, FEED, RECORD
+from fieldweave.operators.normalize import node_type, too_deep
+from fieldweave.schemas import ADVISORY, ALIGNED, NODE_DEPTH, RECORD, cve_type, feed_type
+from fieldweave.sources.files import exists, opened
+
+
+#: Members of an archive leave their task in batches of about so many bytes.
+BATCH_BYTES = 2**22
 
 
 def feed_files(spark: SparkSession, raw_dir: str, pattern: str = "nvdcve-2.0-*.json*") -> list[str]:
@@ -36,16 +43,29 @@ def choose_files(listing: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file_name, cve) of plain and zipped feed documents; malformed documents fail the read."""
+    """(file_name, cve) of plain and zipped feed documents; malformed documents fail the read.
+
+    Configuration nodes are read to any depth: while some lie deeper than the
+    schema goes, it is doubled. That takes a scan of the feed each time.
+    """
+    depth = NODE_DEPTH
+    while True:
+        rows = _read_feed(spark, files, depth)
+        if rows.where(too_deep(F.col("cve.configurations"), node_type(rows))).isEmpty():
+            return rows
+        depth *= 2
+
+
+def _read_feed(spark: SparkSession, files: list[str], depth: int) -> DataFrame:
     plain, zipped = [f for f in files if not f.endswith(".zip")], [f for f in files if f.endswith(".zip")]
     parts = []
     if plain:
-        docs = spark.read.schema(FEED).option("multiLine", True).option("mode", "FAILFAST").json(plain)
+        docs = spark.read.schema(feed_type(depth)).option("multiLine", True).option("mode", "FAILFAST").json(plain)
         parts.append(docs.select(F.col("_metadata.file_name").alias("file_name"), F.explode("vulnerabilities.cve").alias("cve")))
     if zipped:
         held = spark.read.format("binaryFile").load(zipped).select(F.col("path"), "content")
         rows = held.mapInArrow(_unzipped, "file_name string, body string").repartition("file_name", "body")
-        parts.append(rows.select("file_name", F.from_json("body", CVE, {"mode": "FAILFAST"}).alias("cve")))
+        parts.append(rows.select("file_name", F.from_json("body", cve_type(depth), {"mode": "FAILFAST"}).alias("cve")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -69,10 +89,8 @@ def wanted_prefixes(include_unreviewed: bool) -> list[str]:
 
 def read_advisory_tree(spark: SparkSession, root: str, include_unreviewed: bool = False) -> DataFrame:
     """Advisories below ``root``, with ``relative_path``; only the wanted folders are listed."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    system = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     folders = [f"{root.rstrip('/')}/{p}" for p in wanted_prefixes(include_unreviewed)]
-    folders = [f for f in folders if system.exists(jvm_path(f))]
+    folders = [f for f in folders if exists(spark, f)]
     if not folders:
         raise FileNotFoundError(f"no advisory folder below {root}")
     read = spark.read.schema(ADVISORY).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
@@ -81,18 +99,30 @@ def read_advisory_tree(spark: SparkSession, root: str, include_unreviewed: bool
 
 
 def read_advisory_archive(spark: SparkSession, archive: str, include_unreviewed: bool = False) -> DataFrame:
-    """Advisories of a tar.gz whose members stand below one root folder; spread out after the single read."""
+    """Advisories of a tar.gz whose members stand below one root folder; spread out after the single read.
+
+    A compressed archive can be read from its start only, so one task unpacks it;
+    Spark reads it as one value, which holds 2 GB at most. Larger ones are unpacked
+    to a tree first (``extract_archive``).
+    """
     prefixes = tuple(wanted_prefixes(include_unreviewed))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+                    paths, bodies, size = [], [], 0
                     for member in tar:
                         path = member.name.partition("/")[2]
                         if member.isfile() and path.endswith(".json") and path.startswith(prefixes):
-                            body = tar.extractfile(member).read().decode()
-                            yield pa.RecordBatch.from_pydict({"relative_path": [path], "body": [body]})
+                            paths.append(path)
+                            bodies.append(tar.extractfile(member).read().decode())
+                            size += member.size
+                        if size > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pydict({"relative_path": paths, "body": bodies})
+                            paths, bodies, size = [], [], 0
+                    if paths:
+                        yield pa.RecordBatch.from_pydict({"relative_path": paths, "body": bodies})
 
     held = spark.read.format("binaryFile").load(archive).select("content")
     rows = held.mapInArrow(members, "relative_path string, body string").repartition("relative_path")
@@ -108,28 +138,29 @@ def _typed(ddl: str) -> str:
 
 def read_advisories(spark: SparkSession, tree: str | None, archive: str | None, include_unreviewed: bool = False) -> DataFrame:
     """The tree if it is valid, else the archive."""
-    if tree and is_valid_tree(tree):
+    if tree and is_valid_tree(spark, tree):
         return read_advisory_tree(spark, tree, include_unreviewed)
-    if archive and is_valid_archive(archive):
+    if archive and is_valid_archive(spark, archive):
         return read_advisory_archive(spark, archive, include_unreviewed)
     raise FileNotFoundError("no valid advisory folder or archive")
 
 
-def is_valid_tree(root: str) -> bool:
-    return (Path(root) / "advisories").is_dir()
+def is_valid_tree(spark: SparkSession, root: str) -> bool:
+    """Whether there is a folder of advisories below ``root``, in any file system Spark reads."""
+    return exists(spark, f"{root.rstrip('/')}/advisories", folder=True)
 
 
-def is_valid_archive(path: str, folder: str = "/advisories/") -> bool:
-    """Whether a tar.gz reads to its end and holds a JSON file below ``folder``."""
+def is_valid_archive(spark: SparkSession, path: str, folder: str = "/advisories/") -> bool:
+    """Whether a tar.gz, in any file system Spark reads, reads to its end and holds a JSON file below ``folder``."""
+    if not exists(spark, path):
+        return False
     try:
-        if Path(path).stat().st_size == 0:
-            return False
         found = False
-        with tarfile.open(path, "r:gz") as tar:
+        with opened(spark, path) as stream, tarfile.open(fileobj=stream, mode="r|gz") as tar:
             for member in tar:
                 found |= member.name.endswith(".json") and folder in member.name
         return found
-    except (tarfile.TarError, EOFError, OSError):
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
         return False
 
 

@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave import constants as K
+from fieldweave.sources.files import write_text
 
 
-def write_jsonl(df: DataFrame, path: str) -> int:
-    """Write JSON lines and return how many, counted by the write itself; nulls are spelled out."""
+def write_jsonl(df: DataFrame, path: str, **counters: Column) -> dict:
+    """Write JSON lines and return ``rows`` and the named aggregates, counted by the write itself; nulls are spelled out."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-    return seen.get["rows"]
+    told = [F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counters.items()]]
+    df.observe(seen, *told).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return seen.get
 
 
-def write_document(content: dict, path: str) -> None:
-    """A pretty-printed JSON document."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(content, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+def write_document(spark: SparkSession, content: dict, path: str) -> None:
+    """A pretty-printed JSON document, in any file system Spark writes to."""
+    write_text(spark, path, json.dumps(content, indent=2, ensure_ascii=False) + "\n")
 
 
 def statistics(input_path: str, pairs: int, counts: DataFrame) -> dict:
@@ -33,8 +33,8 @@ def statistics(input_path: str, pairs: int, counts: DataFrame) -> dict:
 def coverage_markdown(summary: dict) -> str:
     """The coverage summary as Markdown.
 
-    The first rate of the field table has all rows as its denominator, the
-    others matched rows; the heading says so.
+    Headings and labels are fixed values, but for the heading of the field table: the first rate of it has all rows
+    as its denominator, the others matched rows, and the heading says so.
     """
 
     def table(head: list[str], rows: list[list[str]]) -> list[str]:

@@ -6,7 +6,8 @@ import zipfile
 
 import pytest
 
-from fieldweave.operators.align import align, match_counts, one_to_one
+from fieldweave.operators import coverage
+from fieldweave.operators.align import align, counted, match_counts, one_to_one, one_to_one_of
 from fieldweave.operators.normalize import ghsa_records, nvd_records
 from fieldweave.plans import cli
 from fieldweave.sources import feeds
@@ -118,8 +119,8 @@ def test_archive_equals_tree(spark, raw):
         tar = ghsa_records(feeds.read_advisory_archive(spark, str(raw / "a.tar.gz"), flag))
         assert sorted(map(str, tree.collect())) == sorted(map(str, tar.collect()))
         assert tree.count() == 4 + flag
-    assert feeds.is_valid_archive(str(raw / "a.tar.gz")) and not feeds.is_valid_archive(str(raw / "nvdcve-2.0-2023.json"))
-    assert feeds.is_valid_tree(str(raw / "tree")) and not feeds.is_valid_tree(str(raw))
+    assert feeds.is_valid_archive(spark, str(raw / "a.tar.gz")) and not feeds.is_valid_archive(spark, str(raw / "nvdcve-2.0-2023.json"))
+    assert feeds.is_valid_tree(spark, str(raw / "tree")) and not feeds.is_valid_tree(spark, str(raw))
 
 
 def test_alignment(spark, raw):
@@ -130,6 +131,25 @@ def test_alignment(spark, raw):
     assert got == [("CVE-2023-0001", ["GHSA-1"]), ("CVE-2023-0002", both), ("CVE-2023-0002", both), ("CVE-2023-0003", []), ("CVE-2024-0001", [])]
     assert tuple(match_counts(aligned).first()) == (5, 3, 2)
     assert [r["cve_id"] for r in one_to_one(aligned).collect()] == ["CVE-2023-0001"]
+    ghsa = ghsa_records(feeds.read_advisory_tree(spark, str(raw / "tree")))
+    assert one_to_one_of(nvd, ghsa).collect() == one_to_one(aligned).collect()
+    assert match_counts(counted(nvd, ghsa)).collect() == match_counts(aligned).collect()
+    assert coverage.year_coverage(counted(nvd, ghsa)).collect() == coverage.year_coverage(aligned).collect()
+    assert sorted(coverage.presence_of(nvd, ghsa).collect()) == sorted(coverage.presence(aligned).collect())
+
+
+def test_nodes_of_any_depth(spark, tmp_path):
+    def nested(depth, at=0):
+        own = {"cpeMatch": [match(criteria=f"cpe:2.3:a:v:p:{at}")]}
+        return own | ({"children": [nested(depth, at + 1)]} if at < depth else {})
+
+    deep = cve("CVE-2023-0001", configurations=[{"nodes": [nested(11)]}, {"nodes": [nested(1)]}])
+    (tmp_path / "nvdcve-2.0-2023.json").write_text(json.dumps({"vulnerabilities": [deep, cve("CVE-2023-0002")]}))
+    with zipfile.ZipFile(tmp_path / "nvdcve-2.0-2024.json.zip", "w") as z:
+        z.writestr("nvdcve-2.0-2024.json", json.dumps({"vulnerabilities": [deep]}))
+    for glob in ("*2023*", "*2024*"):
+        rows = nvd_records(feeds.read_feed(spark, feeds.feed_files(spark, str(tmp_path), glob))).where("cve_id = 'CVE-2023-0001'").collect()
+        assert [a["version"] for r in rows for a in r["affected"]] == [*map(str, range(12)), "0", "1"]
 
 
 def test_command_line(spark, raw, tmp_path):

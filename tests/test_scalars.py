@@ -51,6 +51,8 @@ def test_parse_iso_agrees_with_python(spark):
     rows = [
         "2023-01-01T00:15:07.380", "2023-01-01T00:15:07Z", "2023-01-01T10:00:00+05:30", "2023-01-01T10", "2023-01-01 10:00", "2023-01-01", "20230101", "2023", "2023-01", "2023-1-1",
         " 2023-01-01", "10:00", "2023-01-01T24:00:00", "2023-02-30", "2023-01-01x10:00", "2023-01-01T10:00:00+0530", "2023-01-01T10:00:00-05", "2023-01-01T10:00:00.123456789", "2023-01-01T10:00:00,5",
+        "20230101T101507", "20230101T1015", "20230101 101507.25Z", "20230101T10:15", "2023-01-01T1015", "2023-01-01T10:1507", "2023-W01", "2023-W01-3", "2023W013", "2020-W53-7", "2023-W53-1", "2023-W00-1",
+        "2023-W01-8", "2023W01T10:00Z", "2023-W10-2T101500+0200", "20231301", "2023-01-01Z", "20230101Z", "2023-W01-3Z", "2023-W1-3", "20230101T1",
         "n/a", "", None,
     ]
 
@@ -71,6 +73,7 @@ def test_version_keys_order_as_the_public_scheme(spark):
     rng = random.Random(3)
     pieces = ["", "a1", "b", "rc2", ".post1", "-2", ".dev3", "+l.1", "+ab", "a1.dev2", "rc1.post2.dev3", "_beta_2", ".preview"]
     rows = [f"{rng.choice(['', '', 'v', '1!'])}{'.'.join(str(rng.choice([0, 0, 1, 2, 10])) for _ in range(rng.randint(1, 4)))}{rng.choice(pieces)}" for _ in range(120)]
+    rows += ["1." + "9" * 40, "1." + "0" * 50 + "1" + "0" * 40, f"1.0+{'7' * 45}", f"1.0.dev{'3' * 60}", f"{'8' * 39}!1.0"]
     rows += ["1.x", "1.0.0.RELEASE", "1.0.0-SNAPSHOT", "2023-01-01", "1.0-1", "20230101", "", " 1.0 ", "1.0\n", ""]
 
     def parsed(x):
