@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, stage, texts_of, window_hashes
@@ -339,11 +339,14 @@ def _visits(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
 
 
 def _central(families: DataFrame, buckets: DataFrame, centres: int) -> DataFrame:
-    """The nodes of each family, with ``central`` set on those that share their buckets with most."""
+    """The nodes of each family, with ``central`` set on those that share their buckets with most.
+
+    They are the best of each of ``centres`` parts of a family, so the best of all is among them.
+    """
     shared = buckets.groupBy("node").agg(F.sum("sharing").alias("shared"))
-    by_family = Window.partitionBy("family").orderBy(F.desc("shared"), "node")  # tasks pass on ``centres`` of a family at most
-    best = families.join(shared, "node").withColumn("place", F.row_number().over(by_family)).where(F.col("place") <= centres)
-    return families.join(best.select("node", F.lit(True).alias("central")), "node", "left").withColumn("central", F.coalesce("central", F.lit(False)))
+    parts = families.join(shared, "node").groupBy("family", F.pmod(F.xxhash64("node"), F.lit(centres)))
+    best = parts.agg(F.max_by("node", F.struct("shared", "node")).alias("node")).select("node", F.lit(True).alias("central"))
+    return families.join(best, "node", "left").withColumn("central", F.coalesce("central", F.lit(False)))
 
 
 def classes(
