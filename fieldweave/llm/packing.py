@@ -108,7 +108,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets
     dealt = (
         sized.withColumn("bucket", bucket.cast("int"))
         .join(F.broadcast(table), "bucket")  # at most ``buckets`` rows
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.col("shards")))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.spark_partition_id()), F.col("shards")))
     )
     in_shard = Window.partitionBy("bucket", "shard").orderBy("n_tokens", "doc_id")
     placed = (

@@ -11,8 +11,10 @@ the driver. ``verdict`` is the ordered conditional expression of the rules.
 Null texts have no words. Statistics of a text without words are 0. Labels that
 are null, or of documents that are not there, take no part; a document with
 several labels has the smallest. Without labels there are no rules and every
-document passes them. Rows are judged one by one, so repeated rows agree.
-Columns other than those named are not read.
+document passes them; empty tables give no rows. Rows are judged one by one, so
+repeated rows agree. Whole texts are read; a very long one takes time and memory
+of its task in proportion to its words. Columns other than those named are not
+read by ``judge`` and are kept as they are by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -233,10 +235,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     Rules are learned on all labelled documents. A row is judged by its own
     text, so rows that share an id may fare differently.
     """
-    t = F.col(text)
-    marked = docs.withColumn("_mark", F.xxhash64(doc_id, text))
-    stats = stage(statistics(docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("mark")).alias("_key"), t), doc_id="_key", text=text), "quality")
-    plain = stats.select(F.col("doc_id.id").alias("doc_id"), *stats.columns[1:])
-    rules = learn(stage(label(plain, labels), "quality-labelled"))
-    bad = stats.where(verdict(rules).isNotNull()).select(F.col("doc_id.mark").alias("_bad")).distinct()
-    return marked.join(bad, marked["_mark"] == bad["_bad"], "left_anti").drop("_mark")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    judged = stage(statistics(whole, doc_id="row"), "quality")  # each row with its statistics, so that no row moves
+    stats = judged.select(F.col(f"doc_id.`{doc_id}`").alias("doc_id"), *judged.columns[1:])
+    rules = learn(stage(label(stats, labels), "quality-labelled"))
+    return judged.where(verdict(rules).isNull()).select("doc_id.*")

@@ -159,6 +159,28 @@ def test_deduplicate(docs, nothing):
     assert near_dup.deduplicate(nothing).count() == near_dup.classes(nothing).count() == 0
 
 
+def test_deduplicate_keeps_columns_of_any_name(docs):
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_gone", "group", "label", "sig", "component_id", "family", "rows"))])
+    kept = near_dup.deduplicate(odd)
+    assert kept.dtypes == odd.dtypes and {tuple(r)[6:] for r in kept.collect()} == {tuple(range(7))}
+
+
+def test_a_family_of_many_classes_in_small_tiles(spark):
+    """A chain of texts, each like its neighbours only, some links of it just too weak; many classes meet in one group."""
+    rng = random.Random(12)
+    words = [str(rng.randrange(10**6)) for _ in range(60)]
+    texts = []
+    for i in range(150):
+        for at in rng.sample(range(60), 2 if i % 5 else 6):
+            words[at] = str(rng.randrange(10**6))
+        texts.append((i, " ".join(words)))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dup.classes(df, width=2, tile=8, set_tile=4, centres=2).collect()
+    want = classes(texts, 2, (80, 100))
+    assert sorted(str(tuple(r)) for r in got) == want and len({r["component_id"] for r in got}) > 20
+
+
 def test_bayes_bounds_rarely_drop_similar_pairs():
     least = near_dup.least_matches(0.8, 1e-6)
     assert least == sorted(least) and len(least) == near_dup.SIZE // near_dup.BATCH
@@ -359,6 +381,53 @@ def test_learned_rules_hold_out(judged_corpus):
     assert kept.columns == docs.columns and {None, 900} <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_columns_of_any_name_are_kept(judged_corpus):
+    docs, labels = judged_corpus
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("_mark", "bad", "grow", "length", "row", "_key", "n_words", "w"))])
+    kept = quality.keep_good(odd, labels)
+    assert kept.dtypes == odd.dtypes
+    assert {tuple(r)[2:] for r in kept.collect()} == {tuple(range(8))} and kept.count() == quality.keep_good(docs, labels).count()
+
+
+def test_a_rule_grows_by_the_threshold_of_best_gain_and_is_cut_back(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        a, b = rng.random(), rng.random()
+        rows.append((a, b, a > 0.7 and b <= 0.4, i % 3 != 0))
+    df = spark.createDataFrame(rows, "a double, b double, bad boolean, grow boolean")
+    rules = quality.learn(df, features=("a", "b"), bins=32, precision=0.9)
+    first = {c.feature: (c.above, c.threshold) for c in rules[0]}
+    assert first["a"][0] and abs(first["a"][1] - 0.7) < 0.03 and not first["b"][0] and abs(first["b"][1] - 0.4) < 0.03
+    held = [r for r in rows if not r[3]]
+    caught = {tuple(r) for r in df.where("not grow").where(quality.verdict(rules).isNotNull()).collect()}
+    assert sum(r in caught for r in held if r[2]) >= 0.9 * sum(r[2] for r in held) and sum(r[2] for r in caught) >= 0.95 * len(caught)
+    # the best first threshold against all others
+    cuts = {"a": [0.2, 0.7, 0.9], "b": [0.1, 0.4, 0.8]}
+    binned = df.select("*", *[quality._bin_of(F.col(f), cuts[f]).alias(f"_{f}") for f in cuts])
+    best = quality._grow(binned.where("grow"), "bad", ("a", "b"), cuts, 1)
+    grown = [r for r in rows if r[3]]
+    bad, good = sum(r[2] for r in grown), sum(not r[2] for r in grown)
+
+    def gain(c):
+        hit = [r for r in grown if (r["ab".index(c.feature)] > c.threshold) == c.above]
+        p = sum(r[2] for r in hit)
+        return p * (quality._quality(p, len(hit) - p) - quality._quality(bad, good))
+
+    every = [quality.Condition(f, up, t) for f in cuts for t in cuts[f] for up in (True, False)]
+    assert best == (max(every, key=gain),)
+    # conditions that only fit the rows they grew on are cut
+    rule = (quality.Condition("a", True, 0.7), quality.Condition("b", False, 0.4), quality.Condition("a", True, 0.95))
+    assert quality._prune(df.where("not grow"), "bad", rule, 0.9, 5) == rule[:2]
+    assert quality._prune(df.where("not grow"), "bad", rule[:1], 0.9, 5) == ()
+
+
+def test_earlier_rules_decide(spark):
+    rules = [(quality.Condition("a", True, 5.0),), (quality.Condition("a", True, 1.0),), (quality.Condition("b", False, 0.0),)]
+    df = spark.createDataFrame([(9.0, 1.0), (3.0, -1.0), (0.0, -1.0), (0.0, 1.0)], "a double, b double")
+    assert [r["v"] for r in df.select(quality.verdict(rules).alias("v")).collect()] == [0, 1, 2, None]
+
+
 def test_no_labels_no_rules(spark, judged_corpus, nothing):
     docs, labels = judged_corpus
     none = labels.limit(0)
