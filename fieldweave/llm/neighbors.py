@@ -210,6 +210,7 @@ def search(
 
         return work
 
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(per_row(points, ["pid", "v"], "cell long, bucket long, pid long", hash_points), "placed")
     chunks = stage(placed.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
     group = F.xxhash64("cell", "part").alias("group")
@@ -217,13 +218,12 @@ def search(
     nobody = [F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("buckets")]
     held = cut.join(points.select("pid", "v", "ids"), "pid").select(group, "bucket", "v", "ids", *nobody)
     asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
-    visits = per_row(asked, ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries).join(chunks.drop("n"), "cell")
+    visits = per_row(asked.repartition(count, "qid"), ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries).join(chunks.drop("n"), "cell")
     visits = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid", "buckets")
     anywhere = F.lit(None).cast("long").alias("bucket")
     came = visits.join(asked, "qid").select(group, anywhere, "v", F.array("id").alias("ids"), "qid", "buckets")
 
     id_kind = rows.schema[key].dataType.simpleString()
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rank(batches):
         current, held, ready = None, [], None

@@ -10,10 +10,12 @@ files hold at most ``records_a_file`` records. Offsets are those of the text.
 Reading splits archives at every occurrence of the version line, in parallel.
 Such a place is only a candidate, since payloads may hold the line too. Each
 task emits its candidates with the offset of their successor, which the content
-length tells. Pointer jumping from the start of each file keeps the candidates
+length tells. A place is known by its file and offset alone, since where files are
+split may differ from one reading to the next. Pointer jumping from the start of each file keeps the candidates
 on its chain: a round doubles the length of the jumps, so a file of n records
 takes log2 n rounds of joins. Payloads that hold the line themselves are put
-together again from their pieces, found by ranges of offsets.
+together again from their pieces, found by ranges of offsets; for them, the files
+that hold such payloads are read a second time, each in one task.
 
 Null payloads are empty. Null ids and addresses leave their header field out; a
 record without an id is a response only if all equal payloads have none.
@@ -29,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import new_path, stage
+from fieldweave.llm.common import lookup, new_path, stage
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -59,9 +61,9 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     path = path or new_path(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     sha = base32_sha1(F.col("html").cast("binary"))
-    ids = rows.where(F.octet_length("html") >= revisit_from).select("page_id", sha.alias("sha"))
-    first = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    again = ids.join(first, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct()
+    ids = stage(rows.where(F.octet_length("html") >= revisit_from).select("page_id", sha.alias("sha")), "digests")
+    first = stage(ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "first")
+    again = lookup(ids, first, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to").distinct()
     full = rows.withColumn("sha", sha).withColumn("size", F.octet_length("html"))
     # the payload moves by page, never by digest: a popular payload stays spread out
     known = full.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
@@ -88,7 +90,7 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between occurrences of the version line, with its file, block and order."""
+    """What stands between occurrences of the version line, with its file, and its block and order in this reading."""
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(
         F.col("_metadata.file_path").alias("file"),
@@ -108,7 +110,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     cut = _pieces(spark, path).withColumn("header", F.substring_index("value", head_end, 1))
     body_at = F.octet_length("header") + GAP_BYTES
     length = F.regexp_extract(F.col("header"), r"(?im)^Content-Length:[ \t]*(\d{1,15})[ \t]*\r?$", 1).try_cast("long")
-    seen = cut.select(
+    # where files are split is settled here: blocks and order mean nothing in another reading
+    seen = stage(cut.select(
         "file",
         "block",
         "at",
@@ -126,7 +129,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             (length.isNotNull()) & (F.octet_length("value") >= body_at + length),
             base32_sha1(F.substring(F.col("value").cast("binary"), body_at + 1, length.cast("int"))),
         ).alias("sha"),
-    )
+    ), "pieces")
     width = len(MAGIC)
     in_block = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = seen.withColumn("inside", F.coalesce(F.sum(F.col("size") + width).over(in_block), F.lit(0)))
@@ -134,7 +137,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     placed = placed.join(blocks, ["file", "block"]).withColumn("offset", F.col("base") + F.col("inside") - width)
-    return placed.where("offset >= 0").withColumn("next", F.col("offset") + width + F.col("body_at") + F.col("length") + GAP_BYTES).drop("base", "inside")
+    return placed.where("offset >= 0").withColumn("next", F.col("offset") + width + F.col("body_at") + F.col("length") + GAP_BYTES).drop("base", "inside", "block", "at")
 
 
 def reachable(nodes: DataFrame, rounds_a_stage: int = 3) -> DataFrame:
@@ -176,8 +179,11 @@ def _assembled(spark: SparkSession, path: str, split: DataFrame, inner: DataFram
     """Digests of payloads that hold the version line, from the pieces that lie in their range."""
     cells = split.select("file", F.col("offset").alias("record"), F.col("next").alias("end"), F.explode(F.sequence(F.floor(F.col("offset") / CELL), F.floor(F.col("next") / CELL))).alias("cell"))
     owned = inner.withColumn("cell", F.floor(F.col("offset") / CELL)).join(cells, ["file", "cell"]).where("offset > record and offset < end")
-    parts = owned.select("file", "block", "at", "record", "offset").unionByName(split.select("file", "block", "at", F.col("offset").alias("record"), "offset"))
-    pieces = _pieces(spark, path).join(parts, ["file", "block", "at"])
+    parts = owned.select("file", "record", "offset").unionByName(split.select("file", F.col("offset").alias("record"), "offset"))
+    before = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    again = _pieces(spark, path).join(split.select("file").distinct(), "file", "left_semi")
+    sizes = F.sum(F.octet_length("value").cast("long") + len(MAGIC)).over(before)
+    pieces = again.withColumn("offset", F.coalesce(sizes, F.lit(0)) - len(MAGIC)).join(parts, ["file", "offset"])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC)
     joined = pieces.groupBy("file", F.col("record").alias("offset")).agg(text.alias("value"))
     sized = joined.join(split.select("file", "offset", "body_at", "length"), ["file", "offset"])
