@@ -13,7 +13,7 @@ and escapes control strings inside roles and texts by a backslash, which
 Null roles and texts are empty, and a null list is an empty one. Turns of one conversation are ordered by seq
 (null first), then role and text; repeated rows are repeated turns. A null
 conversation id is a conversation of its own. A record of an unknown layout
-gives one row of ``unmatched`` and no turn. Empty tables give no rows; columns
+gives one row of ``unmatched`` and no turn; formatting counts it. Empty tables give no rows; columns
 that are not named are not read.
 """
 
@@ -149,14 +149,18 @@ def unescape(value: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
-    """(key, formatted, loss_mask): one marked string for each conversation.
+    """(key, formatted, loss_mask, unmatched): one marked string for each conversation.
 
     ``loss_mask`` has an entry (turn, start, length) for each assistant text, in
-    code points from the start of that turn's marked piece.
+    code points from the start of that turn's marked piece. ``unmatched`` counts the
+    records of the conversation that no layout reads; if all are such, it has no
+    marked string (null) and an empty mask.
     """
     piece = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS), escape(F.col("text")), F.lit(END))
-    rows = turns.where(F.col("layout") != "unmatched").select(
+    known = F.col("layout") != "unmatched"
+    rows = turns.select(
         key,
+        known.alias("known"),
         F.struct(
             F.col("seq"),
             F.coalesce("role", F.lit("")).alias("role"),
@@ -166,17 +170,18 @@ def format_turns(turns: DataFrame, *, key: str = "conv_id") -> DataFrame:
             F.length(escape(F.col("text"))).alias("length"),
         ).alias("t"),
     )
-    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("t"))
+    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("known"), F.col("t")))).alias("t"), F.count_if(~F.col("known")).alias("unmatched"))
     marked = F.transform("t", lambda t, i: F.struct(i.alias("turn"), t.start.alias("start"), t.length.alias("length"), (t.role == "assistant").alias("on")))
     return grouped.select(
         key,
-        F.array_join(F.transform("t", lambda t: t.piece), "").alias("formatted"),
+        F.when(F.size("t") > 0, F.array_join(F.transform("t", lambda t: t.piece), "")).alias("formatted"),
         F.transform(F.filter(marked, lambda m: m.on), lambda m: F.struct(m.turn, m.start, m.length)).alias("loss_mask"),
+        "unmatched",
     )
 
 
 def read_back(formatted: DataFrame, *, key: str = "conv_id") -> DataFrame:
-    """(key, turns array of (role, text), loss_text): what a formatted string says, unescaped."""
+    """(key, turns array of (role, text), loss_text): what a formatted string says, unescaped; null turns if there is none."""
     pieces = F.split("formatted", F.lit(r"(?<=<\|end\|>)"))
     cut = formatted.select(key, "loss_mask", F.filter(pieces, lambda p: p != "").alias("pieces"))
 

@@ -76,6 +76,41 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], said.schema)
     record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
     records = said.unionByName(trap).select("conv_id", record.alias("record"))
+    return _chat_digest(records)
+
+
+def op9_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each written in one of six record layouts by its id, formatted and read back."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    layout, spelled = F.pmod("conv_id", F.lit(6)), {"ignoreNullFields": "false"}
+    turns = said.where(layout == 0).select("conv_id", F.to_json(F.struct("turn", "role", "text"), spelled).alias("record"))
+    order = F.struct("turn", F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"))
+    whole = said.where(layout != 0).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "role", "text"))).alias("t"))
+
+    def first(role: str):
+        return F.get(F.filter("t", lambda t: t.role == role), F.lit(0))["text"]
+
+    def listed(role: str, text: str, name=lambda r: r):
+        return F.transform("t", lambda t: F.struct(name(t.role).alias(role), t.text.alias(text)))
+
+    def public(role):
+        return F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+
+    ask, tell = first("user"), first("assistant")
+    kinds = [
+        F.struct(ask.alias("prompt"), tell.alias("completion")),
+        F.struct(ask.alias("prompt"), tell.alias("response")),
+        F.struct(ask.alias("instruction"), F.lit("in").alias("input"), tell.alias("output")),
+        F.struct(listed("role", "content").alias("messages"), F.col("conv_id").alias("id")),
+        F.struct(listed("from", "value", public).alias("conversations")),
+    ]
+    record = F.to_json(kinds[4], spelled)
+    for i, kind in enumerate(kinds[:4], 1):
+        record = F.when(layout == i, F.to_json(kind, spelled)).otherwise(record)
+    return _chat_digest(turns.unionByName(whole.select("conv_id", record.alias("record"))))
+
+
+def _chat_digest(records: DataFrame) -> DataFrame:
     formatted = chat.format_turns(chat.canonical_turns(records))
     digest = chat.read_back(formatted.withColumn("conv_id", F.struct("conv_id", F.length("formatted").alias("chars"))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
@@ -108,6 +143,7 @@ QUERIES = {
     "op7_bayes_minhash": op7_bayes_minhash,
     "op8_crf_secrets": op8_crf_secrets,
     "op9_chat_format": op9_chat_format,
+    "op9_chat_layouts": op9_chat_layouts,
     "op10_multiprobe": op10_multiprobe,
 }
 
@@ -187,6 +223,24 @@ marked AS (SELECT words.rid, words.i, words.w, gone.rid IS NOT NULL AS r FROM wo
 kept AS (SELECT rid, count(*) AS n, count(*) FILTER (r) AS lost, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT r), '') AS t FROM marked GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(lost, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid)
+""",
+    "op9_chat_layouts": r"""
+WITH said AS (SELECT conv_id, conv_id % 6 AS k, turn, role AS r0, text AS t0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+firsts AS (
+  SELECT conv_id, k, first(t0 ORDER BY turn NULLS FIRST, text) FILTER (r0 = 'user') AS u, first(t0 ORDER BY turn NULLS FIRST, text) FILTER (r0 = 'assistant') AS a
+  FROM said WHERE k IN (1, 2, 3) GROUP BY conv_id, k),
+rows AS (
+  SELECT conv_id, turn, role, text FROM said WHERE k IN (0, 4, 5)
+  UNION ALL SELECT conv_id, 0, 'user', CASE WHEN k < 3 THEN coalesce(u, '') ELSE concat_ws(chr(10), u, 'in') END FROM firsts
+  UNION ALL SELECT conv_id, 1, 'assistant', coalesce(a, '') FROM firsts),
+esc AS (SELECT *, regexp_replace(replace(role, '\', '\\'), '(<)([|]|/?s>|</?SYS>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS er,
+               regexp_replace(replace(text, '\', '\\'), '(<)([|]|/?s>|</?SYS>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS et FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(er) + length(et) + 23)::BIGINT AS formatted_chars
+FROM esc GROUP BY conv_id
 """,
     "op9_chat_format": r"""
 WITH said AS (

@@ -112,7 +112,8 @@ def test_layouts_and_round_trip(spark):
     turns = chat.canonical_turns(df)
     assert {r["conv_id"] for r in turns.where("layout = 'unmatched'").collect()} == {50, 51, 52}
     formatted = chat.format_turns(turns)
-    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss_text"]) for r in chat.read_back(formatted).collect()}
+    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss_text"]) for r in chat.read_back(formatted.where("formatted is not null")).collect()}
+    assert {r["conv_id"]: r["unmatched"] for r in formatted.where("unmatched > 0 or formatted is null").collect()} == {50: 1, 51: 1, 52: 1}
     expected = {i: (t, "".join(x for role, x in t if role == "assistant")) for i, _, t in RECORDS if t}
     assert got == expected
     trap = formatted.where("conv_id = 9").first()["formatted"]
@@ -157,7 +158,7 @@ def test_nulls_and_other_fields_keep_the_layout(spark):
     got = {r["conv_id"]: (r["layout"], r["n"]) for r in turns.groupBy("conv_id", "layout").agg(F.count("*").alias("n")).collect()}
     wrong = [(x, name, n, got.get(i)) for i, (name, x, n) in enumerate(cases) if got.get(i) != (name, n)]
     assert not wrong
-    said = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_turns(turns)).collect()}
+    said = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"] or []] for r in chat.read_back(chat.format_turns(turns)).collect()}
     at = {json.dumps(x): i for i, (_, x, _) in enumerate(cases)}
     assert said[at[json.dumps({"prompt": "p", "response": None})]] == [("user", "p"), ("assistant", "")]
     assert said[at[json.dumps({"instruction": None, "input": "x", "output": "o"})]] == [("user", "x"), ("assistant", "o")]
