@@ -6,7 +6,7 @@ and updates two leaves, the merged part and its live left neighbour, so a piece
 of n bytes takes O(n log n) steps however long it is. Pieces are the matches of
 the pre-tokenization pattern; common short pieces are remembered by a worker.
 
-Null and empty texts give no ids. Rows are handled one by one, so repeated rows
+Null and empty texts give no ids, empty tables no rows. Rows are handled one by one, so repeated rows
 give repeated results, and no other column is read.
 """
 
@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fieldweave.llm.common import per_row
 
@@ -26,10 +28,13 @@ from fieldweave.llm.common import per_row
 REMEMBERED_PIECES, SHORT = 300_000, 48
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def read_ranks(content: bytes) -> dict[bytes, int]:
     """A rank file: base64 of a token's bytes and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, content.splitlines())))}
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(Path(path).read_bytes())
 
 
 class PairTree:
@@ -97,9 +102,9 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec(dict):
     """Piece to ids; remembers short pieces."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
-        self.ranks = load_ranks(path)
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.digits_of = {rank: str(rank) for rank in self.ranks.values()}
@@ -122,20 +127,29 @@ class Codec(dict):
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of this worker; it is set up once for a vocabulary and kept from task to task."""
-    key = (path, pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(path, pattern)
-    return _CODECS[key]
+def codecs(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+    """Gives a worker its codec, set up once for a vocabulary and kept from task to task.
+
+    The driver reads the rank file and broadcasts it: it is as large as the vocabulary, whatever the texts.
+    """
+    content = Path(path).read_bytes()
+    key, held = (hashlib.sha256(content).hexdigest(), pattern), spark.sparkContext.broadcast(content)
+
+    def codec() -> Codec:
+        if key not in _CODECS:
+            _CODECS.clear()
+            _CODECS[key] = Codec(read_ranks(held.value), pattern)
+        return _CODECS[key]
+
+    return codec
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every text; null text: no ids."""
+    codec = codecs(docs.sparkSession, path, pattern)
 
     def make():
-        tool = codec(path, pattern)
+        tool = codec()
 
         def work(batch: pa.RecordBatch) -> dict:
             return {doc_id: batch.column(0), "ids": [tool.encode(x or "") for x in batch.column(1).to_pylist()]}
@@ -147,9 +161,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id",
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text binary): the bytes that the ids stand for; null ids: empty."""
+    codec = codecs(encoded.sparkSession, path, pattern)
 
     def make():
-        tool = codec(path, pattern)
+        tool = codec()
 
         def work(batch: pa.RecordBatch) -> dict:
             return {doc_id: batch.column(0), "text": [tool.decode(x or []) for x in batch.column(1).to_pylist()]}
@@ -165,9 +180,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_i
     (doc_id, n_tokens, ids_sha256, decoded_sha256): the digests are lowercase
     hex of the ids in decimal joined by commas, and of the decoded bytes.
     """
+    codec = codecs(docs.sparkSession, path, pattern)
 
     def make():
-        tool = codec(path, pattern)
+        tool = codec()
 
         def work(batch: pa.RecordBatch) -> dict:
             counts, id_digests, byte_digests = [], [], []

@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,33 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return out
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what is staged inside once it is left, but for the tables put into the list that it gives.
+
+    To be left when everything that reads the others has run.
+    """
+    kept: list[DataFrame] = []
+    _SCRATCH.append([])
+    try:
+        yield kept
+    finally:
+        stay, place = {df.staged_at for df in kept}, spark._jvm.org.apache.hadoop.fs.Path
+        for path in _SCRATCH.pop():
+            if path not in stay:
+                place(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(place(path), True)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
 
 
 # --- joins on keys that many rows may share -------------------------------------

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import stage
+from fieldweave.llm.common import scratch, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds are written to the shared folder. A link of a node to itself says
     nothing. Empty edges give no rows.
     """
+    with scratch(edges.sparkSession) as kept:
+        labels = _labels(edges)
+        kept.append(labels)
+    return labels
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     links = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     while True:
         links = stage(_large_star(_small_star(links)), "links")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, stage, texts_of, window_hashes
+from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, scratch, stage, texts_of, window_hashes
 from fieldweave.llm.graph import components
 
 ROWS, BANDS, BATCH = 5, 32, 32
@@ -349,46 +349,8 @@ def _central(families: DataFrame, buckets: DataFrame, centres: int) -> DataFrame
     return families.join(best, "node", "left").withColumn("central", F.coalesce("central", F.lit(False)))
 
 
-def classes(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    width: int = 5,
-    threshold: tuple[int, int] = (80, 100),
-    miss: float = 1e-6,
-    tile: int = 1024,
-    set_tile: int = 256,
-    centres: int = 32,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row.
-
-    ``component_id`` is the smallest id of the row's class; a row is kept if that
-    is its own id.
-    """
-    least = least_matches(threshold[0] / threshold[1], miss)
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            count, node, sigs, bands = [], [], [], []
-            for known, raw in zip(batch.column(0).is_valid().to_pylist(), texts_of(batch.column(1)), strict=True):
-                values = shingles(raw, width)
-                count.append(len(values))
-                if not len(values) or not known:
-                    node.append(None)
-                    sigs.append(None)
-                    bands.append(None)
-                    continue
-                sig = signature(values)
-                node.append(node_of(values))
-                sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
-                bands.append(band_keys(sig))
-            return {"doc_id": batch.column(0), "n_shingles": count, "node": node, "sig": sigs, "bands": bands}
-
-        return work
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(per_row(rows, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
+def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tuple[int, int], least: list[int], tile: int, set_tile: int, centres: int) -> DataFrame:
+    """(node, component, n): the smallest id of each node's class, and how many rows the node has; written."""
     per_node = signed.where("node is not null").groupBy("node")
     nodes = stage(per_node.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     sigs = nodes.select("node", "sig")
@@ -441,7 +403,52 @@ def classes(
     # class of each node, then of each row
     labelled = stage(nodes.select("node", "doc_id", "n").join(verified, "node", "left").withColumn("label", F.coalesce("label", "node")), "classes")
     of_label = stage(labelled.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")), "components")
-    of_node = stage(lookup(labelled.withColumnRenamed("n", "rows"), of_label, "label").select("node", "component", F.col("rows").alias("n")), "components")
+    return stage(lookup(labelled.withColumnRenamed("n", "rows"), of_label, "label").select("node", "component", F.col("rows").alias("n")), "components")
+
+
+def classes(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    threshold: tuple[int, int] = (80, 100),
+    miss: float = 1e-6,
+    tile: int = 1024,
+    set_tile: int = 256,
+    centres: int = 32,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row.
+
+    ``component_id`` is the smallest id of the row's class; a row is kept if that
+    is its own id.
+    """
+    least = least_matches(threshold[0] / threshold[1], miss)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            count, node, sigs, bands = [], [], [], []
+            for known, raw in zip(batch.column(0).is_valid().to_pylist(), texts_of(batch.column(1)), strict=True):
+                values = shingles(raw, width)
+                count.append(len(values))
+                if not len(values) or not known:
+                    node.append(None)
+                    sigs.append(None)
+                    bands.append(None)
+                    continue
+                sig = signature(values)
+                node.append(node_of(values))
+                sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
+                bands.append(band_keys(sig))
+            return {"doc_id": batch.column(0), "n_shingles": count, "node": node, "sig": sigs, "bands": bands}
+
+        return work
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    signed = stage(per_row(rows, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
+    with scratch(docs.sparkSession) as kept:
+        of_node = _class_of_node(rows, signed, width, threshold, least, tile, set_tile, centres)
+        kept.append(of_node)
     joined = lookup(signed.select("doc_id", "n_shingles", "node"), of_node, "node", "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

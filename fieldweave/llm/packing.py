@@ -1,7 +1,9 @@
 """Packing by optimal length buckets.
 
 One pass counts lengths in cells (exact up to 256, then 128 to each doubling, so
-the histogram holds a few thousand rows for any corpus). Dynamic programming
+the histogram holds a few thousand rows for any corpus). Bounds fall on the longest
+length of a cell, so the padded total is at most 129/128 of the least possible, and
+the least if no length is above 256. Dynamic programming
 over the histogram chooses the bucket boundaries that minimise padding; inside
 each bucket, documents of a shard fill batches of at most ``budget`` tokens
 counted with padding. A bucket is dealt to as many shards as keep each near
@@ -10,7 +12,8 @@ shard closes its own last batch, which is the only batch it leaves unfilled.
 
 Null and empty texts have length 0 and take part in the first bucket. A text
 longer than the budget is a batch of its own; nothing is cut. Repeated rows are
-packed as often as they come. An empty table gives no batches.
+packed as often as they come. An empty table gives no batches. Tokens are words
+unless ``length`` says otherwise. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -76,14 +79,15 @@ def choose_bounds(longest: np.ndarray, counts: np.ndarray, buckets: int) -> list
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 16, budget: int = 65_536, shard_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 16, budget: int = 65_536, shard_rows: int = 20_000, length: Column | None = None) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_len, shard, batch, slot, batch_rows, padding) for each row.
 
     ``bucket_len`` is the length that the rows of a bucket are padded to; a batch
     is named by (bucket, shard, batch) and holds ``slot`` 0 to ``batch_rows`` - 1.
+    ``length`` is the number of tokens of a row, over the columns of ``docs``; its words by default.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("n_tokens"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), (word_count(F.col(text)) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("n_tokens"))
     cells = (
         sized.groupBy(cell_of(F.col("n_tokens")).alias("cell"))
         .agg(F.max("n_tokens").alias("longest"), F.count("*").alias("rows"))

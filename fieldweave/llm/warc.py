@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import lookup, new_path, stage
+from fieldweave.llm.common import lookup, new_path, scratch, stage
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -163,8 +163,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     ``sha`` is the digest of the payload as read, ``told_digest`` what the header says.
     """
-    found = stage(candidates(spark, path), "candidates")
-    chain = stage(reachable(found), "chain").withColumn("kept", F.lit(True))
+    with scratch(spark) as kept:
+        found = stage(candidates(spark, path), "candidates")
+        chain = stage(reachable(found), "chain")
+        kept += [found, chain]
+    chain = chain.withColumn("kept", F.lit(True))
     marked = found.join(chain, ["file", "offset"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     records = marked.where("kept")
     split = records.where(F.col("sha").isNull() & (F.col("length") > 0))

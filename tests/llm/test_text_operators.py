@@ -279,7 +279,7 @@ def test_bpe_equals_the_library(docs, texts, nothing):
 
 def test_bpe_of_odd_pieces():
     tiktoken = pytest.importorskip("tiktoken")
-    codec = bpe.Codec(RANKS, PATTERN)
+    codec = bpe.Codec(bpe.load_ranks(RANKS), PATTERN)
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     rng = random.Random(2)
     odd = ["", "a" * 20_000, "=" * 3000, "<|endoftext|>", "日本語🎉‍" * 50]
