@@ -11,7 +11,11 @@ Parquet and read again. All but the last return the columns of ``documents``.
 4. secret scans: every secret's span gives way to a mark;
 5. packing: token-budget batches in optimal length buckets.
 
-``n_chars`` follows the text. Other columns pass through as they are.
+``n_chars`` follows the text. Other columns pass through as they are, whatever
+their names. Null and empty texts and texts of a few words pass every stage (a
+null text stays null); rows without an id are kept by near-dedup and lose no
+passage; repeated rows fall in one class, of which near-dedup keeps the smallest
+id with all its rows. Very long texts are read whole. Empty tables give no batches.
 """
 
 from __future__ import annotations
