@@ -134,7 +134,7 @@ class Chunk:
 def sizes_for(points: int) -> tuple[int, int]:
     """(hashes, probes) for so many points: recall of 0.95 on isotropic vectors of 64 components, the hardest case, more on clustered ones."""
     hashes = max(4, round(math.log2(max(2, points)) / 2 + 1.2))
-    return hashes, round(36 * 1.85 ** (hashes - 6))
+    return hashes, max(48, round(36 * 1.85 ** (hashes - 6)))
 
 
 def search(

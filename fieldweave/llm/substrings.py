@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldweave.llm.common import Blocks, WordHashes, combine, hashed, replies, texts_of, window_hashes
 
@@ -247,21 +247,21 @@ def _least_in_block(hashes: np.ndarray, doc: np.ndarray):
     return (distinct, low), of
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, rounds: int = 3, block_bytes: int = 2**22, bucket_bytes: int = 12 * 2**20) -> DataFrame:
-    """The documents with repeated windows taken out of ``text``, with ``n_words`` and ``n_removed``.
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 13, rounds: int = 3, counts: bool = True, block_bytes: int = 2**22, bucket_bytes: int = 12 * 2**20) -> DataFrame:
+    """The documents with repeated windows taken out of ``text``, with ``n_words`` and ``n_removed`` if ``counts``.
 
     A text that loses nothing stays as it is; one that loses words is its kept
-    words joined by one space. Other columns are kept.
+    words joined by one space. Other columns are kept, and without ``counts`` all are.
     """
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    rows = docs.select(*others)
-    schema = StructType(list(rows.schema)).add("n_words", "long").add("n_removed", "long")
+    told = ("n_words", "n_removed") if counts else ()
+    rows = docs.select(*(c for c in docs.columns if c not in told))
+    schema = StructType([*rows.schema, *(StructField(c, LongType()) for c in told)])
     arrow = to_arrow_schema(schema)
 
-    def fn(given: dict, counts: list, lost: list, kept: list) -> pa.Table:
+    def fn(given: dict, words: list, lost: list, kept: list) -> pa.Table:
         before = given[text].to_pylist()
         after = [b if not n else k.decode() for b, n, k in zip(before, lost, kept, strict=True)]
-        columns = given | {text: after, "n_words": counts, "n_removed": lost}
+        columns = given | {text: after} | dict(zip(told, (words, lost), strict=False))
         return pa.table({f.name: columns[f.name] for f in arrow}, schema=arrow)
 
     return dedup_map(rows, fn, schema, doc_id=doc_id, text=text, width=width, rounds=rounds, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
