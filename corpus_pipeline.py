@@ -43,8 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.remove_repeats(docs, width=50, rounds=4)
-    return _measured(cut.select(*docs.columns))
+    return _measured(substrings.remove_repeats(docs, width=50, rounds=4, counts=False))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
