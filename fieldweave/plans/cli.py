@@ -15,6 +15,7 @@ from fieldweave.operators.compare import compare_pairs, status_counts
 from fieldweave.operators.normalize import ghsa_records, nvd_records
 from fieldweave.session import build_session
 from fieldweave.sources import feeds, sinks
+from fieldweave.sources import fetch as fetching
 from fieldweave.sources.files import write_text
 
 PROJECT = Path(__file__).resolve().parents[2]
@@ -79,6 +80,12 @@ def _aligned(spark: SparkSession, path: str):
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="fieldweave")
     commands = parser.add_subparsers(dest="command", required=True)
+    snapshot = commands.add_parser("fetch", help="download the advisory snapshot to this machine")
+    snapshot.add_argument("--url", default=fetching.ARCHIVE_URL)
+    snapshot.add_argument("--archive", default="data/raw/advisory-database.tar.gz")
+    snapshot.add_argument("--extract-dir", default="data/raw/advisory-database")
+    snapshot.add_argument("--skip-extract", action="store_true")
+    snapshot.add_argument("--retries", type=int, default=5)
     corpus = commands.add_parser("corpus", help="normalize and align raw feeds")
     corpus.add_argument("--raw-dir", default="data/raw")
     corpus.add_argument("--output-dir", default="data/processed")
@@ -91,6 +98,11 @@ def main(argv: list[str] | None = None) -> None:
         sub.add_argument("--input", "--aligned-path", dest="input", default="data/processed/aligned_by_cve")
         sub.add_argument("--output-dir", default=f"results/{name}")
     args = parser.parse_args(argv)
+    if args.command == "fetch":
+        print(fetching.fetch(resolved(args.archive), url=args.url, retries=args.retries), file=sys.stderr)
+        if not args.skip_extract:
+            feeds.extract_archive(resolved(args.archive), resolved(args.extract_dir))
+        return
     spark = build_session()
     if args.command == "corpus":
         build_corpus(spark, resolved(args.raw_dir), resolved(args.output_dir), args.nvd_glob, resolved(args.ghsa_archive), resolved(args.ghsa_dir), args.include_unreviewed)
