@@ -4,14 +4,15 @@ Links are kept as (lo, hi), the smaller node first. A small star ties the smalle
 neighbours of a node to the least of them; a large star ties a node to what the
 least neighbour of its own smaller neighbour is. Neither adds links, and both
 keep what is connected, so links never grow in number. They end as stars around
-the smallest node of each component. No list of neighbours is ever collected;
-what a popular node brings to a join are rows of two numbers, which adaptive
-execution splits.
+the smallest node of each component. A small star needs no join: links come as
+forests, in which a task names at most one smaller neighbour of a node, so these
+are as many as the tasks at most, however many larger neighbours it has. Those of
+a popular node are split by adaptive execution, as rows of two numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import scratch, stage
@@ -39,20 +40,18 @@ def _labels(edges: DataFrame) -> DataFrame:
     return stage(links.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots), "labels")
 
 
-def _least(links: DataFrame, name: str) -> DataFrame:
-    return links.groupBy(F.col("hi").alias(name)).agg(F.min("lo").alias("least"))
-
-
 def _small_star(links: DataFrame) -> DataFrame:
     def link(end: str) -> Column:
         return F.struct(F.col("least").alias("lo"), F.col(end).alias("hi"))
 
     other = F.col("lo") != F.col("least")
-    return links.join(_least(links, "hi"), "hi").select(F.inline(F.when(other, F.array(link("hi"), link("lo"))).otherwise(F.array(link("hi"))))).distinct()
+    known = links.withColumn("least", F.min("lo").over(Window.partitionBy("hi")))
+    return known.select(F.inline(F.when(other, F.array(link("hi"), link("lo"))).otherwise(F.array(link("hi"))))).distinct()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    return links.join(_least(links, "lo"), "lo", "left").select(F.coalesce("least", "lo").alias("lo"), "hi").distinct()
+    least = links.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("least"))
+    return links.join(least, "lo", "left").select(F.coalesce("least", "lo").alias("lo"), "hi").distinct()
 
 
 def _unsettled(links: DataFrame) -> DataFrame:

@@ -321,6 +321,11 @@ def _exact_visits(least: list[int], threshold: tuple[int, int]) -> Callable[[pa.
     return begin
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """The links that labels stand for: one of each node to its label."""
+    return labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+
+
 def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
     """``rows`` of keys that several share, with the number ``n`` of their rows and their tiles, and as ``group`` their tile."""
     sizes = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("sharing", F.col("n")), "sizes")
@@ -361,7 +366,7 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
     large = buckets.where("tiles > 1")
     if not large.isEmpty():
         extra = stage(_visited(_visits(large, "key", likely).join(sigs, "node"), _may_be(least, "label", "label")), "visits")
-        likely = likely if extra.isEmpty() else components(found.unionByName(extra))
+        likely = likely if extra.isEmpty() else components(_stars(likely).unionByName(extra))
     # the sets of provisional groups, from one document of each node
     homes = nodes.join(likely, "node").select("doc_id", "node", "sig")
 
@@ -399,7 +404,7 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
         residents = home.withColumnRenamed("home", "group").join(pairs.select("group").distinct(), "group", "left_semi").withColumn("visits", F.lit(False))
         come = residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(sets, "node").join(verified, "node", "left")
         extra = stage(_visited(come.withColumn("label", F.coalesce("label", "node")), _exact_visits(least, threshold)), "visits")
-        verified = verified if extra.isEmpty() else components(found.unionByName(extra))
+        verified = verified if extra.isEmpty() else components(_stars(verified).unionByName(extra))
     # class of each node, then of each row
     labelled = stage(nodes.select("node", "doc_id", "n").join(verified, "node", "left").withColumn("label", F.coalesce("label", "node")), "classes")
     of_label = stage(labelled.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")), "components")
