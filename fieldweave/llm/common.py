@@ -182,14 +182,21 @@ def per_row(docs: DataFrame, columns: list[str], schema: str | StructType, make)
 
 
 # --- blocks of documents ----------------------------------------------------------
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of an array by significance: leading zeros stand together, where the shuffle's compression takes them out."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """An array packed: its bytes by significance, so that alike ones stand together, compressed; the length goes before."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True) if raw else b""
 
 
-def unplanes(raw, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+def unplanes(packed, kind) -> np.ndarray:
+    view = memoryview(packed)
+    if not len(view):
+        return np.empty(0, kind)
+    raw = _ZSTD.decompress(view[8:], decompressed_size=int.from_bytes(view[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 class Blocks:
