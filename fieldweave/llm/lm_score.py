@@ -7,7 +7,7 @@ and a count take more disk than the text itself several times over. Each bucket
 the table adds up the counts of all blocks and answers each block. A longer
 order joins only n-grams whose two shorter parts are frequent enough, since
 others cannot be. Scores are summed per document. Nothing is sampled, so what is
-gathered follows the corpus. A very long text is a block of its own.
+gathered follows the corpus. A block is as long as its longest text at least.
 
 The score of a word after its context is c(context word) / c(context) for the
 longest context of at most ``order`` - 1 words inside the document whose n-gram

@@ -21,8 +21,8 @@ once, so a passage that a third of all documents share costs a row a block.
 Contract of the results: the words of a text are its maximal runs outside 0x20
 and 0x09-0x0D. A word is removed if it is covered by a window whose words also
 start in a document with a smaller id, judged on the input. Null and empty
-texts have no words, an empty table gives no rows, and a very long text is a block of
-its own. Rows that share an id never remove from one another. A row
+texts have no words, an empty table gives no rows, and a block is as long as its longest
+text at least. Rows that share an id never remove from one another. A row
 without an id keeps all its words and removes none. Input columns are kept;
 those named as an output column give way to it.
 """

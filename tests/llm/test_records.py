@@ -3,12 +3,13 @@
 import base64
 import hashlib
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.llm import chat, graph, neighbors, warc
+from fieldweave.llm import chat, common, graph, neighbors, warc
 
 HEADER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 PAGES = [
@@ -84,6 +85,28 @@ def test_chain_skips_what_is_not_on_it(spark):
     assert sorted(tuple(r) for r in warc.reachable(nodes).collect()) == [("f", 0), ("f", 10), ("f", 30)]
 
 
+def test_lookup_of_heavy_and_null_keys(spark, capsys):
+    rows = [(1, i) for i in range(600)] + [(None, i) for i in range(100)] + [(k, k) for k in range(2, 302)]
+    facts = [(1, 600, "a"), *[(k, 1, f"f{k}") for k in range(2, 200)]]
+    many = common.stage(spark.createDataFrame(rows, "k long, v long"), "rows")
+    told = common.stage(spark.createDataFrame(facts, "k long, n long, name string"), "facts")
+    name = {k: x for k, _, x in facts}
+    for how in ("inner", "left"):
+        out = common.lookup(many, told, "k", how)
+        want = [(k, v, name.get(k)) for k, v in rows if how == "left" or k in name]
+        assert out.columns == ["k", "v", "name"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    common.lookup(many, told, "k").explain()
+    assert "LeftAnti" in capsys.readouterr().out  # heavy keys take another way
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with common.scratch(spark) as kept:
+        gone, stays = common.stage(spark.range(3), "a"), common.stage(spark.range(4), "b")
+        kept.append(stays)
+    assert stays.count() == 4
+    assert Path(stays.staged_at).exists() and not Path(gone.staged_at).exists()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 9), (7, 8), (8, 8), (20, 19), (19, 18), (18, 17), (17, 16)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
