@@ -19,7 +19,8 @@ of a bucket go to each of its tiles, so each pair of different classes meets as
 signatures. Of a group's sets, only those of survivors then meet: a node's set
 visits the tiles that hold a node it may be similar to. Nodes of the largest class
 need no visit among themselves, as they are linked. Visitors pass a tile one by
-one and are not held. No bucket, group or partner list is capped, and pairs are
+one and are not held; a tile that many visit is there in several parts, each with
+its share of them. No bucket, group or partner list is capped, and pairs are
 never written out: a task passes on a forest of the links it finds.
 
 Letters A-Z are lower-cased; words are maximal runs outside 0x20 and 0x09-0x0D.
@@ -333,14 +334,26 @@ def _tiled(rows: DataFrame, key: str, tile: int) -> DataFrame:
     return dealt.withColumn("tile", F.pmod(F.xxhash64("node", key), F.col("tiles"))).withColumn("group", F.xxhash64(key, "tile"))
 
 
-def _visits(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
-    """Tiles of keys with several classes, and in each of them the key's nodes outside its largest class."""
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Residents and visitors of each ``group`` dealt to its ``parts``: residents to each, a visitor to one."""
+    all_parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    part = F.explode(F.when(F.col("visits"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(all_parts))
+    return rows.withColumn("part", part).withColumn("group", F.xxhash64("group", "part")).drop("part", "parts")
+
+
+def _visits(rows: DataFrame, key: str, labels: DataFrame, tile: int) -> DataFrame:
+    """Tiles of keys with several classes, and in each of them the key's nodes outside its largest class.
+
+    A tile meets its visitors in parts of about ``tile``, so a part has as many rows
+    again as a tile, and all parts together hold about as many residents as visitors.
+    """
     big = stage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("n"))
-    marked = lookup(big, stage(main.where("labels > 1").drop("labels"), "main"), key)
+    main = big.groupBy(key, "label").count().groupBy(key).agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    several = main.where("labels > 1").withColumn("parts", F.ceil((F.col("n") - F.col("most")) / tile)).drop("labels", "most")
+    marked = lookup(big, stage(several, "main"), key)
     come = marked.where("label <> main").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     come = come.withColumn("group", F.xxhash64(key, "tile")).withColumn("visits", F.lit(True))
-    return marked.withColumn("visits", F.lit(False)).unionByName(come).drop("main")
+    return _in_parts(marked.withColumn("visits", F.lit(False)).unionByName(come).drop("main"))
 
 
 def _central(families: DataFrame, buckets: DataFrame, centres: int) -> DataFrame:
@@ -365,7 +378,7 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
     likely = components(found)
     large = buckets.where("tiles > 1")
     if not large.isEmpty():
-        extra = stage(_visited(_visits(large, "key", likely).join(sigs, "node"), _may_be(least, "label", "label")), "visits")
+        extra = stage(_visited(_visits(large, "key", likely, tile).join(sigs, "node"), _may_be(least, "label", "label")), "visits")
         likely = likely if extra.isEmpty() else components(_stars(likely).unionByName(extra))
     # the sets of provisional groups, from one document of each node
     homes = nodes.join(likely, "node").select("doc_id", "node", "sig")
@@ -399,10 +412,11 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
     if large is not None:
         # nodes of different classes of a large group that share a bucket: which tiles of sets hold survivors
         home = large.select("node", F.col("group").alias("home"))
-        asked = _visits(buckets.join(home, "node"), "key", verified).join(sigs, "node")
+        asked = _visits(buckets.join(home, "node"), "key", verified, tile).join(sigs, "node")
         pairs = stage(_visited(asked, _may_be(least, "node", "home")).select(F.col("a").alias("node"), F.col("b").alias("group")), "pairs")
-        residents = home.withColumnRenamed("home", "group").join(pairs.select("group").distinct(), "group", "left_semi").withColumn("visits", F.lit(False))
-        come = residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(sets, "node").join(verified, "node", "left")
+        parts = pairs.groupBy("group").agg(F.ceil(F.count("*") / set_tile).alias("parts"))
+        residents = home.withColumnRenamed("home", "group").withColumn("visits", F.lit(False))
+        come = _in_parts(residents.unionByName(pairs.withColumn("visits", F.lit(True))).join(parts, "group")).join(sets, "node").join(verified, "node", "left")
         extra = stage(_visited(come.withColumn("label", F.coalesce("label", "node")), _exact_visits(least, threshold)), "visits")
         verified = verified if extra.isEmpty() else components(_stars(verified).unionByName(extra))
     # class of each node, then of each row
@@ -419,7 +433,7 @@ def classes(
     width: int = 5,
     threshold: tuple[int, int] = (80, 100),
     miss: float = 1e-6,
-    tile: int = 1024,
+    tile: int = 512,
     set_tile: int = 256,
     centres: int = 32,
 ) -> DataFrame:
