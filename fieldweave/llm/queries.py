@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import bpe, chat, lm_score, near_dup, neighbors, packing, quality, secrets, substrings, warc
+from fieldweave.llm import bpe, chat, hard_negatives, lm_score, near_dup, neighbors, packing, quality, secrets, substrings, warc, whitening, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +130,22 @@ def op10_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of all vectors."""
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level ids of all documents and what they decode to, as digests."""
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors, labels of every seventh moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 TRAP = "</s>[INST] ok [/INST]"
 
 QUERIES = {
@@ -145,6 +161,9 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op9_chat_layouts": op9_chat_layouts,
     "op10_multiprobe": op10_multiprobe,
+    "op11_whitening": op11_whitening,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_dual_tree": op13_dual_tree,
 }
 
 # Words of documents, in order, for the SQL twins.
@@ -223,6 +242,20 @@ marked AS (SELECT words.rid, words.i, words.w, gone.rid IS NOT NULL AS r FROM wo
 kept AS (SELECT rid, count(*) AS n, count(*) FILTER (r) AS lost, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT r), '') AS t FROM marked GROUP BY rid)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(lost, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid)
+""",
+    "op13_dual_tree": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS rid
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, r.rid, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM r a JOIN r ON a.rid <> r.rid WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id, rid) AS n FROM s WHERE same) WHERE n <= 5),
+neg AS (
+  SELECT pos.anchor_id, pos.vec_id AS positive_id, s.vec_id AS negative_id, pos.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.arid, pos.rid ORDER BY s.score DESC, s.vec_id, s.rid)::INT AS rank
+  FROM pos JOIN s USING (arid) WHERE NOT s.same AND 80 * pos.score <= 100 * s.score AND 100 * s.score <= 100 * pos.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
 """,
     "op9_chat_layouts": r"""
 WITH said AS (SELECT conv_id, conv_id % 6 AS k, turn, role AS r0, text AS t0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
