@@ -37,6 +37,11 @@ def _bound(size: int) -> Column:
 _NONE, _LAST = -1, 2**31 - 1
 
 
+def _release(dotted: Column) -> Column:
+    """The numbers between dots, without zeros at the end."""
+    return F.transform(F.split(F.regexp_replace(dotted, r"(\.0+)+$", ""), r"\."), _number)
+
+
 def version_key(value: Column) -> Column:
     """Orderable key of a version; null for null, empty and invalid ones."""
     # one pass of the expression cuts the string into its ten parts
@@ -49,7 +54,7 @@ def version_key(value: Column) -> Column:
         def number(i: int) -> Column:
             return _number(F.coalesce(text(i), F.lit("")))
 
-        release = F.transform(F.split(F.regexp_replace(text(1), r"(\.0+)+$", ""), r"\."), _number)
+        release = _release(text(1))
         pre, post, dev = text(2), (text(4) != "") | (text(5) != ""), text(7) != ""
         rank = (
             F.when(pre.isin("a", "alpha"), 0).when(pre.isin("b", "beta"), 1).when(pre != "", 2).when(dev & ~post, -1).otherwise(3)
@@ -75,7 +80,12 @@ def version_key(value: Column) -> Column:
             local.alias("local"),
         )
 
-    return F.when(F.coalesce(value.rlike(_VERSION), F.lit(False)), let(parts, keyed))
+    # most versions are dotted numbers and need no more than their parts
+    plain = F.struct(
+        _number(F.lit("")).alias("epoch"), _release(value).alias("release"), F.lit(3).alias("pre"), _number(F.lit("")).alias("pre_n"),
+        _bound(_NONE).alias("post"), _bound(_LAST).alias("dev"), F.array().cast(f"array<struct<n: {_NUMBER}, s: string>>").alias("local"),
+    )
+    return F.when(value.rlike(r"^\d+(?:\.\d+)*$"), plain).when(F.coalesce(value.rlike(_VERSION), F.lit(False)), let(parts, keyed))
 
 
 SPAN = (

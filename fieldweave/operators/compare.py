@@ -198,9 +198,16 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def statuses(pairs: DataFrame) -> DataFrame:
+    """(cve_id, a status column for each compared field): what ``compare_pairs`` says of statuses, without notes and values."""
+    return normalized(pairs).select("cve_id", *[v["status"].alias(k) for k, v in discrepancies().items()])
+
+
 def long_form(compared: DataFrame) -> DataFrame:
-    """(cve_id, field, status) with a row for each compared field."""
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col("field_discrepancies")[f]["status"].alias("status")) for f in K.COMPARED])
+    """(cve_id, field, status) with a row for each compared field, of ``compare_pairs`` or ``statuses``."""
+    whole = "field_discrepancies" in compared.columns
+    status = {f: F.col("field_discrepancies")[f]["status"] if whole else F.col(f) for f in K.COMPARED}
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), s.alias("status")) for f, s in status.items()])
     return compared.select("cve_id", F.inline(entries))
 
 

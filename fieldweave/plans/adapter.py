@@ -52,6 +52,35 @@ RIGHT = {
     "r_fixed": f"CASE WHEN l_partkey % 6 = 4 THEN '2.' || {_n('(l_partkey + 1) % 4')} || '.0' WHEN l_partkey % 6 IN (1, 2) THEN '2.' || {_n('l_partkey % 4')} || '.0' END",
     "r_two": "l_partkey % 6 = 4",
 }
+
+def _pick(of: str, values: str) -> str:
+    """SQL that takes a letter of ``values`` by a number."""
+    return f"substr('{values}', CAST({of} % {len(values)} AS INT) + 1, 1)"
+
+
+def _vector(head: str, n: str, minor: str = "") -> str:
+    """SQL of a vector whose metrics follow from the number ``n`` at different strides."""
+    return f"'{head}' || {minor}" + " || ".join(
+        f"'{'/' if i else ''}{name}:' || {_pick(f'({n} + CAST(floor({n} / {stride}) AS BIGINT))', values)}"
+        for i, (name, values, stride) in enumerate((("AV", "NALP", 3), ("AC", "LH", 5), ("PR", "NLH", 7), ("UI", "NR", 11), ("S", "UC", 13), ("C", "HLN", 17), ("I", "HLN", 19), ("A", "HLN", 23)))
+    )
+
+
+def _old_vector(n: str) -> str:
+    return " || ".join(
+        f"'{'/' if i else ''}{name}:' || {_pick(f'({n} + CAST(floor({n} / {stride}) AS BIGINT))', values)}"
+        for i, (name, values, stride) in enumerate((("AV", "LAN", 3), ("AC", "HML", 5), ("Au", "MSN", 7), ("C", "NPC", 11), ("I", "NPC", 13), ("A", "NPC", 17)))
+    )
+
+
+#: Score vectors of both sides: of version 3 with either minor number, of version 2, and some that lack a metric or are null.
+VECTORS = {
+    "l_vector": f"CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN {_old_vector('o_orderkey')} ELSE "
+    + _vector("CVSS:3.", "o_orderkey", "CAST(o_orderkey % 2 AS STRING) || '/' || ") + " END",
+    "r_vector": "CASE WHEN l_linenumber % 7 = 6 THEN 'CVSS:3.1/AV:N/AC:L' WHEN l_linenumber % 7 = 5 THEN " + _old_vector("(o_orderkey + l_partkey % 3)")
+    + " ELSE " + _vector("CVSS:3.1/", "(o_orderkey + l_partkey % 3)") + " END",
+    "l_score": "CAST(o_orderkey % 101 AS DOUBLE) / 10",
+}
 KEYS = ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -131,13 +160,19 @@ def right_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record(joined.selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in RIGHT.items()]), **_right_columns())
 
 
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its order."""
+    orders, lines = _tables(spark, sf_dir)
+    # one narrow shuffle spreads the rows: what follows is a map stage that costs far more than it reads
+    # (a number of parts is not reduced by their size)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return lines.repartition(parts, "l_orderkey").join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+
+
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(keys, cve_id, nvd, ghsa): every line with its order, as a pair of shared records."""
-    orders, lines = _tables(spark, sf_dir)
     scalars = {**LEFT, **RIGHT}
-    # one narrow shuffle spreads the rows: what follows is a map stage that costs far more than it reads
-    joined = lines.repartition("l_orderkey").join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    joined = joined.selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in scalars.items()])
+    pairs = joined(spark, sf_dir).selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in scalars.items()])
 
     def struct(parts: dict) -> Column:
         fields = {
@@ -147,4 +182,4 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RECORD])
 
-    return joined.select(*KEYS, "cve_id", struct(_left_columns()).alias("nvd"), struct(_right_columns()).alias("ghsa"))
+    return pairs.select(*KEYS, "cve_id", struct(_left_columns()).alias("nvd"), struct(_right_columns()).alias("ghsa"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from fieldweave.plans import oracles, queries
+from fieldweave.plans import oracles, queries, study
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
@@ -47,4 +47,4 @@ def test_entry(spark):
 def test_entry_works_without_the_corpus_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else real(name, *a))
-    assert set(entry.queries()) == set(queries.QUERIES)
+    assert set(entry.queries()) == {*queries.QUERIES, *study.QUERIES}
