@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import near_dup, packing, quality, secrets, substrings
-from fieldweave.llm.common import stage
+from fieldweave.llm.common import scratch, stage
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -67,10 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; of the tables between them the one that the result reads stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
-    return docs
+    *first, (_, last) = STAGES
+    with scratch(spark) as kept:
+        for name, step in first:
+            with scratch(spark) as written:
+                docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+                written.append(docs)
+        kept.append(docs)
+    return last(spark, docs, sf_dir)

@@ -13,13 +13,16 @@ and escapes control strings inside roles and texts by a backslash, which
 Null roles and texts are empty, and a null list is an empty one. Turns of one conversation are ordered by seq
 (null first), then role and text; repeated rows are repeated turns. A null
 conversation id is a conversation of its own. A record of an unknown layout
-gives one row of ``unmatched`` and no turn; formatting counts it. Empty tables give no rows; columns
+gives one row of ``unmatched`` and no turn; formatting counts it. Texts may be as long as a row can
+hold: a record above the size of a variant (some 16 MB) is read as texts by name instead, whose
+types are taken to be the declared ones. Empty tables give no rows; columns
 that are not named are not read.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,43 @@ CONTROL = r"(<)([|]|/?s>|</?SYS>)|(\[)(/?INST\])"
 TURNS = "array<struct<seq: bigint, role: string, text: string>>"
 
 
+@dataclass(frozen=True)
+class Source:
+    """How SQL reads a parsed record: a text or a whole number at a name, and the turns of a list of objects."""
+
+    text: str
+    number: str
+    items: str
+    item_text: str
+
+    def field(self, name: str) -> str:
+        return self.text.format(name)
+
+    def turn(self, seq: str, role: str, text: str) -> str:
+        return f"named_struct('seq', cast({seq} as bigint), 'role', {role}, 'text', {text})"
+
+    def said(self, seq: int, role: str, text: str) -> str:
+        return self.turn(str(seq), f"'{role}'", text)
+
+    def listed(self, name: str, role: str, text: str) -> str:
+        return f"transform({self.items.format(name)}, (m, i) -> {self.turn('i', self.item_text.format(role), self.item_text.format(text))})"
+
+
+ITEMS = "array<map<string, string>>"
+#: Strings of any length that a row can hold.
+LONG = "map('maxStringLen', '2147483647')"
+VARIANT = Source("try_variant_get(v, '$.{0}', 'string')", "try_variant_get(v, '$.{0}', 'bigint')", "try_variant_get(v, '$.{0}', 'array<variant>')", "try_variant_get(m, '$.{0}', 'string')")
+#: A record that no variant can hold, as texts by name.
+TEXTS = Source("try_element_at(x, '{0}')", "try_cast(try_element_at(x, '{0}') as bigint)", f"from_json(try_element_at(x, '{{0}}'), '{ITEMS}', {LONG})", "try_element_at(m, '{0}')")
+
+
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: sample records that show its shapes, and its mapping to turns."""
+    """A record layout: sample records that show its shapes, and its mapping to turns, as SQL over a source."""
 
     name: str
     samples: tuple[str, ...]
-    turns: str  # SQL over the variant ``v``
+    turns: Callable[[Source], str]
 
     @property
     def fields(self) -> dict:
@@ -52,36 +85,29 @@ class Layout:
         return out
 
 
-def _turn(seq: int, role: str, text: str) -> str:
-    return f"named_struct('seq', cast({seq} as bigint), 'role', '{role}', 'text', {text})"
+def _two(ask: str, tell: str) -> Callable[[Source], str]:
+    return lambda s: f"array({s.said(0, 'user', s.field(ask))}, {s.said(1, 'assistant', s.field(tell))})"
 
 
-def _field(path: str) -> str:
-    return f"try_variant_get(v, '$.{path}', 'string')"
+def _told(s: Source) -> str:
+    """An instruction and its input as one text, and the output."""
+    ask = f"concat_ws(char(10), {s.field('instruction')}, nullif({s.field('input')}, ''))"
+    return f"array({s.said(0, 'user', ask)}, {s.said(1, 'assistant', s.field('output'))})"
 
 
-def _listed(path: str, role: str, text: str) -> str:
-    return (
-        f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), (m, i) -> named_struct('seq', cast(i as bigint), "
-        f"'role', try_variant_get(m, '$.{role}', 'string'), 'text', try_variant_get(m, '$.{text}', 'string')))"
-    )
+def _public(s: Source) -> str:
+    role = "case t.role when 'human' then 'user' when 'gpt' then 'assistant' else t.role end"
+    return f"transform({s.listed('conversations', 'from', 'value')}, t -> {s.turn('t.seq', role, 't.text')})"
 
 
 LAYOUTS = (
-    Layout("turn", ('{"turn":1,"role":"a","text":"b"}',),
-           "array(named_struct('seq', try_variant_get(v, '$.turn', 'bigint'), 'role', " + _field("role") + ", 'text', " + _field("text") + "))"),
-    Layout("prompt", ('{"prompt":"a","completion":"b"}',),
-           f"array({_turn(0, 'user', _field('prompt'))}, {_turn(1, 'assistant', _field('completion'))})"),
-    Layout("response", ('{"prompt":"a","response":"b"}',),
-           f"array({_turn(0, 'user', _field('prompt'))}, {_turn(1, 'assistant', _field('response'))})"),
-    Layout("instruction", ('{"instruction":"a","input":"b","output":"c"}', '{"instruction":"a","output":"c"}'),
-           f"array({_turn(0, 'user', 'concat_ws(char(10), ' + _field('instruction') + ', nullif(' + _field('input') + chr(44) + chr(39) * 2 + '))')}, {_turn(1, 'assistant', _field('output'))})"),
-    Layout("messages", ('{"messages":[{"role":"a","content":"b"}]}', '{"messages":[]}'),
-           _listed("messages", "role", "content")),
-    Layout("conversations", ('{"conversations":[{"from":"a","value":"b"}]}', '{"conversations":[]}'),
-           "transform(" + _listed("conversations", "from", "value") + ", t -> named_struct('seq', t.seq, 'role', "
-           "case t.role when 'human' then 'user' when 'gpt' then 'assistant' else t.role end, 'text', t.text))"),
-)
+    Layout("turn", ('{"turn":1,"role":"a","text":"b"}',), lambda s: f"array({s.turn(s.number.format('turn'), s.field('role'), s.field('text'))})"),
+    Layout("prompt", ('{"prompt":"a","completion":"b"}',), _two("prompt", "completion")),
+    Layout("response", ('{"prompt":"a","response":"b"}',), _two("prompt", "response")),
+    Layout("instruction", ('{"instruction":"a","input":"b","output":"c"}', '{"instruction":"a","output":"c"}'), _told),
+    Layout("messages", ('{"messages":[{"role":"a","content":"b"}]}', '{"messages":[]}'), lambda s: s.listed("messages", "role", "content")),
+    Layout("conversations", ('{"conversations":[{"from":"a","value":"b"}]}', '{"conversations":[]}'), _public),
+)
 
 
 def _type(value: str, path: str) -> str:
@@ -89,10 +115,20 @@ def _type(value: str, path: str) -> str:
     return f"schema_of_variant(try_variant_get({value}, '$.{path}', 'variant'))"
 
 
+def _type_of_text(name: str, kind: str | set) -> str:
+    """SQL of the type at a name of the texts ``x``, in the variant's words: what the layouts declare, as texts have none."""
+    value = f"try_element_at(x, '{name}')"
+    items = TEXTS.items.format(name)
+    told = f"'{kind}'" if isinstance(kind, str) else f"case when size({items}) = 0 then 'ARRAY<VOID>' when size({items}) > 0 then 'ARRAY<OBJECT<>>' else 'STRING' end"
+    return f"case when map_contains_key(x, '{name}') then case when {value} is null then 'VOID' else {told} end end"
+
+
 def _members(name: str, path: str) -> str:
     """SQL of the types, other than VOID, of a field of the members of a list; MISSING if no member has it."""
     kinds = f"array_distinct(filter(transform(try_variant_get(v, '$.{name}', 'array<variant>'), m -> {_type('m', path)}), t -> t is not null))"
-    return f"transform(array({kinds}), k -> case when size(k) = 0 then 'MISSING' when k = array('VOID') then 'STRING' else array_join(array_sort(array_remove(k, 'VOID')), '|') end)[0]"
+    told = f"transform(array({kinds}), k -> case when size(k) = 0 then 'MISSING' when k = array('VOID') then 'STRING' else array_join(array_sort(array_remove(k, 'VOID')), '|') end)[0]"
+    of_texts = f"case when exists({TEXTS.items.format(name)}, m -> map_contains_key(m, '{path}')) then 'STRING' else 'MISSING' end"
+    return f"case when x is null then {told} else {of_texts} end"
 
 
 def _shape(name: str, kind: str | set) -> Column:
@@ -112,10 +148,12 @@ def fingerprint(layout: Layout) -> Column:
 
 
 def typed(records: DataFrame, columns: list[Column], record: str, layouts: tuple[Layout, ...]) -> DataFrame:
-    """The columns, the record as variant ``v``, and the type of each field that some layout reads."""
-    names = sorted({name for x in layouts for name in x.fields})
-    parsed = records.select(*columns, F.try_parse_json(F.col(record)).alias("v"))
-    return parsed.select("*", *(F.expr(_type("v", name)).alias(f"_is_{name}") for name in names))
+    """The columns, the record as variant ``v`` or else as texts ``x``, and the type of each field that some layout reads."""
+    kinds = {name: kind for layout in layouts for name, kind in layout.fields.items()}
+    parsed = records.select(*columns, F.try_parse_json(F.col(record)).alias("v"), F.col(record).alias("_record"))
+    texts = F.when(F.col("v").isNull(), F.expr(f"from_json(_record, 'map<string, string>', {LONG})"))
+    both = parsed.select("*", texts.alias("x")).drop("_record")
+    return both.select("*", *(F.expr(f"case when x is null then {_type('v', name)} else {_type_of_text(name, kinds[name])} end").alias(f"_is_{name}") for name in sorted(kinds)))
 
 
 def canonical_turns(records: DataFrame, *, key: str = "conv_id", record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -135,7 +173,7 @@ def canonical_turns(records: DataFrame, *, key: str = "conv_id", record: str = "
             for empty in more:
                 mine = mine & (~F.col(f"_fits_{j}") | empty)
         layout = F.when(mine, F.lit(x.name)).otherwise(layout)
-        turns = F.when(mine, F.expr(x.turns).cast(TURNS)).otherwise(turns)
+        turns = F.when(mine, F.when(F.col("x").isNull(), F.expr(x.turns(VARIANT)).cast(TURNS)).otherwise(F.expr(x.turns(TEXTS)).cast(TURNS))).otherwise(turns)
     return marked.select(key, layout.alias("layout"), F.inline(turns).alias("seq", "role", "text"))
 
 

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -60,31 +61,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return out
 
 
-_SCRATCH: list[list[str]] = []
+#: What the operator at work in this thread has staged; threads of one driver have scopes of their own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Deletes what is staged inside once it is left, but for the tables put into the list that it gives.
 
-    To be left when everything that reads the others has run.
+    To be left when everything that reads the others has run. What stays passes to the scope around it.
     """
     kept: list[DataFrame] = []
-    _SCRATCH.append([])
+    outer, mine = _SCOPE.get(), []
+    token = _SCOPE.set(mine)
     try:
         yield kept
     finally:
+        _SCOPE.reset(token)
         stay, place = {df.staged_at for df in kept}, spark._jvm.org.apache.hadoop.fs.Path
-        for path in _SCRATCH.pop():
+        for path in mine:
             if path not in stay:
                 place(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(place(path), True)
-            elif _SCRATCH:
-                _SCRATCH[-1].append(path)
+            elif outer is not None:
+                outer.append(path)
 
 
 # --- joins on keys that many rows may share -------------------------------------

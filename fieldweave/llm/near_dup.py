@@ -370,7 +370,7 @@ def _central(families: DataFrame, buckets: DataFrame, centres: int) -> DataFrame
 def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tuple[int, int], least: list[int], tile: int, set_tile: int, centres: int) -> DataFrame:
     """(node, component, n): the smallest id of each node's class, and how many rows the node has; written."""
     per_node = signed.where("node is not null").groupBy("node")
-    nodes = stage(per_node.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = stage(per_node.agg(F.min(F.struct("doc_id", "told")).alias("home"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select("node", "home.doc_id", "home.told", "n", "sig", "bands"), "nodes")
     sigs = nodes.select("node", "sig")
     banded = stage(nodes.select("node", F.explode("bands").alias("key")), "bands")
     buckets = stage(_tiled(banded, "key", tile), "buckets")
@@ -380,8 +380,8 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
     if not large.isEmpty():
         extra = stage(_visited(_visits(large, "key", likely, tile).join(sigs, "node"), _may_be(least, "label", "label")), "visits")
         likely = likely if extra.isEmpty() else components(_stars(likely).unionByName(extra))
-    # the sets of provisional groups, from one document of each node
-    homes = nodes.join(likely, "node").select("doc_id", "node", "sig")
+    # the sets of provisional groups, from one document of each node; id and hash of the text tell it from others of its id
+    homes = nodes.join(likely, "node").select("doc_id", "told", "node", "sig")
 
     def make_sets():
         def work(batch: pa.RecordBatch) -> dict:
@@ -389,7 +389,7 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
             node, sig = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for at, raw in enumerate(texts_of(batch.column(0))):
                 values = shingles(raw, width)
-                if node_of(values) == node[at]:  # else another row of this id
+                if node_of(values) == node[at]:  # else another text of this id and hash
                     out["node"].append(node[at])
                     out["sig"].append(sig[at])
                     out["set"].append(values.tobytes())
@@ -397,7 +397,7 @@ def _class_of_node(rows: DataFrame, signed: DataFrame, width: int, threshold: tu
 
         return work
 
-    held = per_row(homes.join(rows, "doc_id"), ["text", "node", "sig"], "node long, sig binary, set binary", make_sets)
+    held = per_row(homes.join(rows, ["doc_id", "told"]), ["text", "node", "sig"], "node long, sig binary, set binary", make_sets)
     sets = stage(held, "sets").dropDuplicates(["node"])
     tiles = stage(_tiled(likely.withColumnRenamed("label", "family"), "family", set_tile), "tiles")
     several = tiles.where("tiles > 1")
@@ -459,12 +459,12 @@ def classes(
                 node.append(node_of(values))
                 sigs.append((sig & np.uint64(255)).astype(np.uint8).tobytes())
                 bands.append(band_keys(sig))
-            return {"doc_id": batch.column(0), "n_shingles": count, "node": node, "sig": sigs, "bands": bands}
+            return {"doc_id": batch.column(0), "told": batch.column(2), "n_shingles": count, "node": node, "sig": sigs, "bands": bands}
 
         return work
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(per_row(rows, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("told"))
+    signed = stage(per_row(rows, ["doc_id", "text", "told"], "doc_id long, told long, n_shingles long, node long, sig binary, bands array<long>", make), "signatures")
     with scratch(docs.sparkSession) as kept:
         of_node = _class_of_node(rows, signed, width, threshold, least, tile, set_tile, centres)
         kept.append(of_node)

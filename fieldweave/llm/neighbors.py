@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Equal vectors are one point, so copies cost nothing: a point keeps the ``k`` + 1
-smallest of its ids, which is all that a list of k nearest can hold of them. Points are scaled to length one, where
+Equal vectors are one point, so copies cost nothing: a point keeps the ids of the ``k`` + 1
+rows of smallest id, which is all that a list of k nearest can hold of them. Points are scaled to length one, where
 Euclidean distance orders as cosine does. Each of ``tables`` tables hashes a
 point by ``hashes`` Gaussian (2-stable) projections cut into slots of ``width``.
 A query visits, in each table, its own bucket and perturbed buckets in the order
@@ -21,8 +21,8 @@ candidate if there are fewer.
 The chunks of a table hold every row, and queries are exact within what they
 visit. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part. Ties go to the smaller id. Rows that repeat
-an id with another vector are rows of their own, of which a query lists the
-nearest; a query never meets a row of its own id. Empty tables give no rows. Other columns are not read.
+an id are rows of their own, with the same vector or another, and a query leaves out one row only, its
+own; so it may list its own id. Rows that repeat both id and vector are one query. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from fieldweave.llm.common import lookup, per_row, runs, stage
+from fieldweave.llm.common import lookup, per_row, runs, scratch, stage
 
 
 def usable(vector: Column) -> Column:
@@ -99,8 +99,8 @@ class Chunk:
         self.buckets = np.array(buckets, np.int64)[order] if self.known else None
         self.x = np.array(table.column(2).to_pylist(), np.float64).reshape(-1, dim)[order]
         self.norm = np.sqrt((self.x * self.x).sum(1))
-        ids = table.column(3).to_pylist()
-        self.ids = [ids[i] for i in order.tolist()]
+        ids, pids = table.column(3).to_pylist(), table.column(6).to_pylist()
+        self.ids, self.pids = [ids[i] for i in order.tolist()], [pids[i] for i in order.tolist()]
 
     def places(self, buckets: list[int] | None) -> np.ndarray:
         """Places of the points of these buckets; of all points for None."""
@@ -110,25 +110,19 @@ class Chunk:
         lo, hi = np.searchsorted(self.buckets, wanted), np.searchsorted(self.buckets, wanted, side="right")
         return np.concatenate([np.arange(i, j) for i, j in zip(lo.tolist(), hi.tolist(), strict=True) if j > i] or [np.empty(0, np.int64)])
 
-    def nearest(self, x: np.ndarray, own, buckets: list[int] | None, k: int) -> list[tuple[float, object]]:
-        """(cosine, id) of the k nearest in these buckets, without the query's own id."""
+    def nearest(self, x: np.ndarray, own, buckets: list[int] | None, k: int) -> list[tuple[float, object, int, int]]:
+        """(-cosine, id, point, place of the row in it) of the k nearest rows in these buckets, without the query's own row."""
         at, most = self.places(buckets), k + 1
         rough = (self.x[at] @ x) / self.norm[at] if len(at) else np.empty(0)  # in the order of cosine
-        while True:
-            if len(at) > most:
-                edge = np.partition(rough, -most)[-most]
-                pick = at[rough >= edge - 1e-9 * np.sqrt(x @ x)]
-            else:
-                pick = at
-            cosine = (self.x[pick] * x).sum(1) / (self.norm[pick] * np.sqrt((x * x).sum()))
-            best: dict = {}
-            for c, j in zip(cosine.tolist(), pick.tolist(), strict=True):
-                for v in self.ids[j]:
-                    if v != own:
-                        best[v] = max(c, best.get(v, c))
-            if len(best) >= k or len(pick) == len(at):
-                return [(-c, v) for c, v in heapq.nsmallest(k, [(-c, v) for v, c in best.items()])]
-            most *= 4  # points that share their ids
+        if len(at) > most:
+            edge = np.partition(rough, -most)[-most]
+            at = at[rough >= edge - 1e-9 * np.sqrt(x @ x)]
+        cosine = (self.x[at] * x).sum(1) / (self.norm[at] * np.sqrt((x * x).sum()))
+        rows = []
+        for c, j in zip(cosine.tolist(), at.tolist(), strict=True):
+            mine = self.ids[j].index(own) if own in self.ids[j] and np.array_equal(self.x[j], x) else None
+            rows += [(-c, v, self.pids[j], i) for i, v in enumerate(self.ids[j]) if i != mine]
+        return heapq.nsmallest(k, rows)
 
 
 def sizes_for(points: int) -> tuple[int, int]:
@@ -163,110 +157,112 @@ def search(
     def prepared(df: DataFrame) -> DataFrame:
         return df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(usable(F.col("v")) & (F.size("v") == dim))
 
-    # copies: the k + 1 smallest ids of each vector; tasks pass on no more than that
-    of_vector = Window.partitionBy("v").orderBy("id")
-    few = prepared(rows).dropDuplicates(["v", "id"]).withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= k + 1)
-    points = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    points = stage(points.withColumn("pid", F.xxhash64("v")), "points")
-    total = points.count()
-    hashes, probes = hashes or sizes_for(total)[0], probes or sizes_for(total)[1]
-    a, b = projections(dim, tables, hashes, width, seed)
-    regions = max(1, math.ceil(1.25 * total / chunk))  # most then hold fewer than ``chunk``
-
-    def hash_points():
-        def work(batch: pa.RecordBatch) -> dict:
-            x = _unit(batch.column(1), dim)
-            slots = np.floor((x @ a.T + b) / width).reshape(len(x), tables, hashes)
-            keys = np.concatenate([_keys(slots[:, t]) for t in range(tables)])
-            cells = np.repeat(np.arange(tables), len(x)) * regions + keys % regions
-            return {"cell": cells, "bucket": keys, "pid": np.tile(batch.column(0).to_numpy(), tables)}
-
-        return work
-
-    def hash_queries():
-        def work(batch: pa.RecordBatch) -> dict:
-            x = _unit(batch.column(1), dim)
-            reach = x @ a.T + b
-            slots = np.floor(reach / width)
-            low = reach - slots * width
-            edges = np.stack([low, width - low], axis=2)
-            out = {"cell": [], "buckets": [], "qid": []}
-            for i, q in enumerate(batch.column(0).to_pylist()):
-                for t in range(tables):
-                    part = slice(t * hashes, (t + 1) * hashes)
-                    sets = perturbations(edges[i, part], probes)
-                    visited = np.tile(slots[i, part], (len(sets), 1))
-                    for row, moves in enumerate(sets):
-                        for at, step in moves:
-                            visited[row, at] += step
-                    keys = _keys(visited)
-                    of = keys % regions
-                    order = np.argsort(of, kind="stable")
-                    for lo, hi in runs(of[order]):
-                        out["cell"].append(t * regions + int(of[order[lo]]))
-                        out["buckets"].append(keys[order[lo:hi]])
-                        out["qid"].append(q)
-            return out
-
-        return work
-
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(per_row(points, ["pid", "v"], "cell long, bucket long, pid long", hash_points), "placed")
-    chunks = stage(placed.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
-    group = F.xxhash64("cell", "part").alias("group")
-    cut = lookup(placed, chunks, "cell").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
-    nobody = [F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("buckets")]
-    held = cut.join(points.select("pid", "v", "ids"), "pid").select(group, "bucket", "v", "ids", *nobody)
-    asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
-    visits = per_row(asked.repartition(count, "qid"), ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries).join(chunks.drop("n"), "cell")
-    visits = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid", "buckets")
-    anywhere = F.lit(None).cast("long").alias("bucket")
-    came = visits.join(asked, "qid").select(group, anywhere, "v", F.array("id").alias("ids"), "qid", "buckets")
-
-    id_kind = rows.schema[key].dataType.simpleString()
-
-    def rank(batches):
-        current, held, ready = None, [], None
-        for batch in batches:
-            groups, asks = batch.column(0).to_numpy(), ~np.asarray(batch.column(4).is_null())
-            out = {"qid": [], "query_id": [], "found": [], "score": []}
-            for lo, hi in runs(groups):
-                if groups[lo] != current:
-                    current, held, ready = groups[lo], [], None
-                split = lo + int(np.searchsorted(asks[lo:hi], True))
-                if split > lo:
-                    held.append(batch.slice(lo, split - lo))
-                if split < hi and held:
-                    ready = ready or Chunk(held, dim)
-                    come = batch.slice(split, hi - split)
-                    vectors = np.array(come.column(2).to_pylist(), np.float64).reshape(-1, dim)
-                    for x, ids, q, buckets in zip(vectors, come.column(3).to_pylist(), come.column(4).to_pylist(), come.column(5).to_pylist(), strict=True):
-                        for c, v in ready.nearest(x, ids[0], buckets, k):
+    with scratch(rows.sparkSession) as kept:
+        # copies: the k + 1 smallest ids of each vector; tasks pass on no more than that
+        of_vector = Window.partitionBy("v").orderBy("id")
+        few = prepared(rows).withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= k + 1)
+        points = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        points = stage(points.withColumn("pid", F.xxhash64("v")), "points")
+        total = points.count()
+        hashes, probes = hashes or sizes_for(total)[0], probes or sizes_for(total)[1]
+        a, b = projections(dim, tables, hashes, width, seed)
+        regions = max(1, math.ceil(1.25 * total / chunk))  # most then hold fewer than ``chunk``
+
+        def hash_points():
+            def work(batch: pa.RecordBatch) -> dict:
+                x = _unit(batch.column(1), dim)
+                slots = np.floor((x @ a.T + b) / width).reshape(len(x), tables, hashes)
+                keys = np.concatenate([_keys(slots[:, t]) for t in range(tables)])
+                cells = np.repeat(np.arange(tables), len(x)) * regions + keys % regions
+                return {"cell": cells, "bucket": keys, "pid": np.tile(batch.column(0).to_numpy(), tables)}
+
+            return work
+
+        def hash_queries():
+            def work(batch: pa.RecordBatch) -> dict:
+                x = _unit(batch.column(1), dim)
+                reach = x @ a.T + b
+                slots = np.floor(reach / width)
+                low = reach - slots * width
+                edges = np.stack([low, width - low], axis=2)
+                out = {"cell": [], "buckets": [], "qid": []}
+                for i, q in enumerate(batch.column(0).to_pylist()):
+                    for t in range(tables):
+                        part = slice(t * hashes, (t + 1) * hashes)
+                        sets = perturbations(edges[i, part], probes)
+                        visited = np.tile(slots[i, part], (len(sets), 1))
+                        for row, moves in enumerate(sets):
+                            for at, step in moves:
+                                visited[row, at] += step
+                        keys = _keys(visited)
+                        of = keys % regions
+                        order = np.argsort(of, kind="stable")
+                        for lo, hi in runs(of[order]):
+                            out["cell"].append(t * regions + int(of[order[lo]]))
+                            out["buckets"].append(keys[order[lo:hi]])
                             out["qid"].append(q)
-                            out["query_id"].append(ids[0])
-                            out["found"].append(v)
-                            out["score"].append(c)
-            yield pa.RecordBatch.from_pydict(out, schema=result)
-
-    ddl = f"qid long, query_id {id_kind}, found {id_kind}, score double"
-    result = to_arrow_schema(StructType.fromDDL(ddl))
-
-    def nearest_of(held: DataFrame, came: DataFrame) -> DataFrame:
-        """(qid, query_id, top): the k best that each query meets in the chunks it visits."""
-        # the points of a chunk come before the queries that visit it
-        dealt = held.unionByName(came).repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
-        best = dealt.mapInArrow(rank, ddl).groupBy("qid", "query_id", "found").agg(F.max("score").alias("score"))
-        # k of each chunk at most reach a query, so its list is bounded by probes, tables and chunks
-        return best.groupBy("qid", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("found")))), 1, k).alias("top"))
-
-    top = stage(nearest_of(held, came), "nearest")
-    full = top.where(F.size("top") >= k)
-    # queries that found too few, those that found none among them, meet all points: each chunk passes on its k best
-    short = stage(asked.join(full.select("qid"), "qid", "left_anti"), "short")
-    if not short.isEmpty():
-        part = F.pmod(F.xxhash64("pid"), F.lit(regions)).alias("group")
-        all_held = points.select(part, anywhere, "v", "ids", *nobody)
-        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(regions - 1).cast("long"))).alias("group")
-        all_came = short.select(every_part, anywhere, "v", F.array("id").alias("ids"), "qid", nobody[1])
-        full = full.unionByName(nearest_of(all_held, all_came))
+                return out
+
+            return work
+
+        count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = stage(per_row(points, ["pid", "v"], "cell long, bucket long, pid long", hash_points), "placed")
+        chunks = stage(placed.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chunk).alias("chunks")), "chunks")
+        group = F.xxhash64("cell", "part").alias("group")
+        cut = lookup(placed, chunks, "cell").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("chunks")))
+        nobody = [F.lit(None).cast("long").alias("qid"), F.lit(None).cast("array<bigint>").alias("buckets")]
+        held = cut.join(points.select("pid", "v", "ids"), "pid").select(group, "bucket", "v", "ids", *nobody, "pid")
+        asked = stage(prepared(queries).dropDuplicates(["id", "v"]).withColumn("qid", F.xxhash64("id", "v")), "queries")
+        visits = per_row(asked.repartition(count, "qid"), ["qid", "v"], "cell long, buckets array<long>, qid long", hash_queries).join(chunks.drop("n"), "cell")
+        visits = visits.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"), "qid", "buckets")
+        anywhere = F.lit(None).cast("long").alias("bucket")
+        came = visits.join(asked, "qid").select(group, anywhere, "v", F.array("id").alias("ids"), "qid", "buckets", nobody[0].alias("pid"))
+
+        id_kind = rows.schema[key].dataType.simpleString()
+
+        def rank(batches):
+            current, held, ready = None, [], None
+            for batch in batches:
+                groups, asks = batch.column(0).to_numpy(), ~np.asarray(batch.column(4).is_null())
+                out = {"qid": [], "query_id": [], "found": [], "score": [], "pid": [], "row": []}
+                for lo, hi in runs(groups):
+                    if groups[lo] != current:
+                        current, held, ready = groups[lo], [], None
+                    split = lo + int(np.searchsorted(asks[lo:hi], True))
+                    if split > lo:
+                        held.append(batch.slice(lo, split - lo))
+                    if split < hi and held:
+                        ready = ready or Chunk(held, dim)
+                        come = batch.slice(split, hi - split)
+                        vectors = np.array(come.column(2).to_pylist(), np.float64).reshape(-1, dim)
+                        for x, ids, q, buckets in zip(vectors, come.column(3).to_pylist(), come.column(4).to_pylist(), come.column(5).to_pylist(), strict=True):
+                            for far, v, pid, row in ready.nearest(x, ids[0], buckets, k):
+                                for name, value in (("qid", q), ("query_id", ids[0]), ("found", v), ("score", -far), ("pid", pid), ("row", row)):
+                                    out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=result)
+
+        ddl = f"qid long, query_id {id_kind}, found {id_kind}, score double, pid long, row int"
+        result = to_arrow_schema(StructType.fromDDL(ddl))
+
+        def nearest_of(held: DataFrame, came: DataFrame) -> DataFrame:
+            """(qid, query_id, top): the k best that each query meets in the chunks it visits."""
+            # the points of a chunk come before the queries that visit it
+            dealt = held.unionByName(came).repartition(count, "group").sortWithinPartitions("group", F.col("qid").asc_nulls_first())
+            best = dealt.mapInArrow(rank, ddl).dropDuplicates(["qid", "query_id", "pid", "row"])
+            # k of each chunk at most reach a query, so its list is bounded by probes, tables and chunks
+            return best.groupBy("qid", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "found", "pid", "row"))), 1, k).alias("top"))
+
+        top = stage(nearest_of(held, came), "nearest")
+        kept.append(top)
+        full = top.where(F.size("top") >= k)
+        # queries that found too few, those that found none among them, meet all points: each chunk passes on its k best
+        short = stage(asked.join(full.select("qid"), "qid", "left_anti"), "short")
+        if not short.isEmpty():
+            part = F.pmod(F.xxhash64("pid"), F.lit(regions)).alias("group")
+            all_held = points.select(part, anywhere, "v", "ids", *nobody, "pid")
+            every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(regions - 1).cast("long"))).alias("group")
+            all_came = short.select(every_part, anywhere, "v", F.array("id").alias("ids"), "qid", nobody[1], nobody[0].alias("pid"))
+            rest = stage(nearest_of(all_held, all_came), "nearest")
+            kept.append(rest)
+            full = full.unionByName(rest)
     return full.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.found").alias(key), (-F.col("t.far")).alias("score"))

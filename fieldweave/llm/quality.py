@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import GAP, WORD, stage
+from fieldweave.llm.common import GAP, WORD, scratch, stage
 
 SYMBOLS = "[^#*$%&|<>]+"
 FEATURES = ("symbol_share", "repeat_share", "upper_share", "dup_line_share", "mean_word", "mark_share", "length")
@@ -223,8 +223,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     ``rule`` is the number of the learned rule that rejects it, if one does.
     """
     stats = stage(statistics(docs, doc_id=doc_id, text=text), "quality")
-    labelled = stage(label(stats, labels).where(~base_failed()), "quality-labelled")
-    rules = learn(labelled)
+    with scratch(docs.sparkSession):
+        rules = learn(stage(label(stats, labels).where(~base_failed()), "quality-labelled"))
     judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
@@ -238,5 +238,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     judged = stage(statistics(whole, doc_id="row"), "quality")  # each row with its statistics, so that no row moves
     stats = judged.select(F.col(f"doc_id.`{doc_id}`").alias("doc_id"), *judged.columns[1:])
-    rules = learn(stage(label(stats, labels), "quality-labelled"))
+    with scratch(docs.sparkSession):
+        rules = learn(stage(label(stats, labels), "quality-labelled"))
     return judged.where(verdict(rules).isNull()).select("doc_id.*")

@@ -59,6 +59,12 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     """Write an archive record for each page; returns the folder. ``compression``: a codec of Spark's text writer, or none."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
+    with scratch(spark):
+        _write(pages, page_id, url, html, revisit_from, date, records_a_file, compression, path)
+    return path
+
+
+def _write(pages: DataFrame, page_id: str, url: str, html: str, revisit_from: int, date: str, records_a_file: int, compression: str, path: str) -> None:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     sha = base32_sha1(F.col("html").cast("binary"))
     ids = stage(rows.where(F.octet_length("html") >= revisit_from).select("page_id", sha.alias("sha")), "digests")
@@ -86,7 +92,6 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
         body,
     )
     known.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_a_file).option("compression", compression).text(path)
-    return path
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
