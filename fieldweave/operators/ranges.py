@@ -8,7 +8,7 @@ of ranges of each side that are open. Union, intersection, gaps and relation fol
 the stretches of one sweep.
 
 A range with a bound that cannot be read has no place in the order; it is left
-out and counted. Ranges whose start is not before their end are empty. Null
+out and counted. Of bounds that are equal but spelled in two ways, the smaller text is shown. Ranges whose start is not before their end are empty. Null
 arrays are empty ones.
 """
 
@@ -85,7 +85,8 @@ def sweep(left: Column, right: Column) -> Column:
         wide = (acc["a"] + acc["b"] > 0) & (acc["cut"]["at"] < e["cut"]["at"])
         one = F.array(F.struct(acc["cut"].alias("lo"), e["cut"].alias("hi"), acc["a"].alias("a"), acc["b"].alias("b")))
         done = F.when(wide, F.concat(acc["done"], one)).otherwise(acc["done"])
-        return F.struct(done.alias("done"), e["cut"].alias("cut"), (acc["a"] + e["a"]).alias("a"), (acc["b"] + e["b"]).alias("b"))
+        cut = F.when(acc["cut"]["at"] == e["cut"]["at"], acc["cut"]).otherwise(e["cut"])  # of equal cuts the least spelling
+        return F.struct(done.alias("done"), cut.alias("cut"), (acc["a"] + e["a"]).alias("a"), (acc["b"] + e["b"]).alias("b"))
 
     return F.aggregate(F.sort_array(F.concat(events(left, 1, 0), events(right, 0, 1))), start, step, lambda acc: acc["done"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldweave.operators import coverage
 from fieldweave.operators.align import align, one_to_one
 from fieldweave.operators.compare import compare_pairs, status_counts
-from fieldweave.operators.normalize import ghsa_records, nvd_records
+from fieldweave.operators.normalize import ghsa_records
 from fieldweave.session import build_session
 from fieldweave.sources import feeds, sinks
 from fieldweave.sources import fetch as fetching
@@ -29,12 +29,11 @@ def resolved(path: str) -> str:
 def build_corpus(spark: SparkSession, raw_dir: str, output_dir: str, pattern: str, archive: str, tree: str, include_unreviewed: bool) -> dict:
     """Raw feeds to normalized records, aligned rows and a manifest; Parquet between the steps, JSON lines beside it."""
     files = feeds.feed_files(spark, raw_dir, pattern)
-    feed = feeds.read_feed(spark, files)
     nvd_path, ghsa_path, aligned_path = (f"{output_dir}/{n}" for n in ("nvd_normalized", "ghsa_normalized", "aligned_by_cve"))
-    nvd_records(feed).write.mode("overwrite").parquet(nvd_path)
+    years = feeds.write_feed_records(spark, files, nvd_path)
     nvd = spark.read.parquet(nvd_path)
     manifest = {"nvd_files": [f.rsplit("/", 1)[-1] for f in files], "nvd_records": sinks.write_jsonl(nvd, f"{nvd_path}.jsonl")["rows"]}
-    manifest["nvd_year_counts"] = {r["year"]: r["records"] for r in feeds.feed_year_counts(feed).collect()}
+    manifest["nvd_year_counts"] = years
     manifest |= {"ghsa_records": 0, "ghsa_year_counts": {}, "aligned_rows": 0, "matched_rows": 0}
     try:
         advisories = feeds.read_advisories(spark, tree, archive, include_unreviewed)

@@ -251,6 +251,9 @@ ORACLES = {
     "version_point_in_range": f"WITH {PAIRS}, {SPANS} SELECT {_KEYS}, coalesce({COVERED}, FALSE) AS covered FROM spans",
     "json_props": """SELECT event_type, count((props::JSON ->> 'k')::BIGINT) AS parsed, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS total FROM events GROUP BY event_type""",
     "year_file_counts": "SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS records FROM orders GROUP BY 1",
+    "feed_file_counts": "SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS records FROM orders GROUP BY 1",
+    "records_round_trip": f"""WITH {PAIRS} SELECT cve_id, {_PLACE} AS source_id, r_label AS label, r_pub AS published, concat_ws('|', r_cwe1, r_cwe2) AS cwe_ids,
+        len(list_filter([r_ref1, r_ref2, r_ref3], lambda x: x IS NOT NULL))::BIGINT AS refs, {_PLACE} AS path FROM pairs""",
     "latest_file_per_year": """SELECT y::VARCHAR AS year, '/raw/nvdcve-2.0-' || y::VARCHAR || CASE WHEN plain THEN '.json' ELSE '.json.zip' END AS path
       FROM (SELECT year(o_orderdate) AS y, bool_or(o_orderkey % 2 = 0) AS plain FROM orders GROUP BY 1)""",
     "sorted_span_dedup": f"""WITH {PAIRS}, {SPANS} SELECT {_KEYS}, array_to_string(a, '|') AS nvd_spans, array_to_string(b, '|') AS ghsa_spans, array_to_string(be, '|') AS ghsa_effective FROM eff""",

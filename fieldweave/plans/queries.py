@@ -5,6 +5,8 @@ Arrays are joined into strings, so that results compare by value in any engine.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from fieldweave.functions import text, urls, versions
 from fieldweave.operators import align as al
 from fieldweave.operators import compare, coverage, normalize
 from fieldweave.plans import adapter
-from fieldweave.sources.feeds import choose_files
+from fieldweave.sources.feeds import advisory_year_counts, choose_files, feed_year_counts, read_records
+from fieldweave.sources.sinks import write_jsonl
+from fieldweave.staging import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -340,9 +344,23 @@ def json_props(spark, sf_dir):
 
 
 def year_file_counts(spark, sf_dir):
+    """Orders as advisories of a tree by year."""
     rel = F.concat(F.lit("advisories/github-reviewed/"), F.year("o_orderdate").cast("string"), F.lit("/01/x.json"))
-    rows = _table(spark, sf_dir, "orders").select(rel.alias("rel"))
-    return rows.groupBy(F.get(F.split("rel", "/"), F.lit(2)).alias("year")).agg(F.count("*").alias("records")).orderBy("year")
+    return advisory_year_counts(_table(spark, sf_dir, "orders").select(F.struct(rel.alias("relative_path")).alias("source_specific")))
+
+
+def feed_file_counts(spark, sf_dir):
+    """Orders as rows of feed files by year."""
+    name = F.concat(F.lit("nvdcve-2.0-"), F.year("o_orderdate").cast("string"), F.lit(".json"))
+    return feed_year_counts(_table(spark, sf_dir, "orders").select(name.alias("file_name")))
+
+
+def records_round_trip(spark, sf_dir):
+    """Records of all lines written as JSON lines and read back."""
+    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.jsonl"
+    write_jsonl(adapter.right_records(spark, sf_dir), path)
+    back = read_records(spark, path)
+    return back.select("cve_id", "source_id", F.col("severity.label").alias("label"), "published", _joined(F.col("cwe_ids")).alias("cwe_ids"), F.size("references").cast("long").alias("refs"), F.col("source_specific.relative_path").alias("path"))
 
 
 def latest_file_per_year(spark, sf_dir):
@@ -374,6 +392,6 @@ QUERIES = {
         align_left_join, align_matched_counts, align_coverage_docs, one_to_one_pairs, year_match_rate, field_presence, severity_canonical, cmp_severity,
         cmp_published, cmp_cwe, cmp_references, cmp_affected, discrepancy_stats, discrepancy_stats_one_to_one, unified_view_flat, url_canonical,
         url_host_counts, reference_set_per_host, href_extract, text_normalize, prefix_filter, cpe_split, metric_choice, first_alias, cwe_extract,
-        affected_explode, feed_affected, nvd_record, ghsa_record, version_point_in_range, json_props, year_file_counts, latest_file_per_year, sorted_span_dedup,
+        affected_explode, feed_affected, nvd_record, ghsa_record, version_point_in_range, json_props, year_file_counts, feed_file_counts, records_round_trip, latest_file_per_year, sorted_span_dedup,
     )
 }

@@ -6,23 +6,19 @@ import io
 import json
 import tarfile
 import zipfile
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave import constants as K
-from fieldweave.operators.normalize import node_type, too_deep
+from fieldweave.operators.normalize import node_type, nvd_records, too_deep
 from fieldweave.schemas import ADVISORY, ALIGNED, NODE_DEPTH, RECORD, cve_type, feed_type
-from fieldweave.sources.files import exists, opened
-
-
-#: Members of an archive leave their task in batches of about so many bytes.
-BATCH_BYTES = 2**22
-
+from fieldweave.sources import archive
+from fieldweave.sources.files import exists
+from fieldweave.staging import cut
 
 def feed_files(spark: SparkSession, raw_dir: str, pattern: str = "nvdcve-2.0-*.json*") -> list[str]:
     """One feed file a year, in year order; plain JSON goes before zip, then the smaller name."""
@@ -56,6 +52,30 @@ def read_feed(spark: SparkSession, files: list[str]) -> DataFrame:
         depth *= 2
 
 
+def write_feed_records(spark: SparkSession, files: list[str], path: str) -> dict[str, int]:
+    """Write the normalized records of a feed as Parquet; returns how many each year's file gave.
+
+    The write itself counts, and notices nodes below the schema's depth: only then the
+    schema is doubled and the feed parsed again. Otherwise it is parsed once.
+    """
+    years = {f.rsplit("/", 1)[-1]: f for f in files}
+    depth = NODE_DEPTH
+    while True:
+        rows, seen = _read_feed(spark, files, depth), Observation()
+        told = [F.count_if(F.col("file_name") == name).alias(name) for name in years]
+        deep = F.coalesce(F.bool_or(too_deep(F.col("cve.configurations"), node_type(rows))), F.lit(False)).alias("_too_deep")
+        nvd_records(rows.observe(seen, deep, *told)).write.mode("overwrite").parquet(path)
+        if not seen.get["_too_deep"]:
+            break
+        depth *= 2
+    counts: dict[str, int] = {}
+    for name in years:
+        if seen.get[name]:
+            year = name.split("-")[2].split(".")[0]
+            counts[year] = counts.get(year, 0) + seen.get[name]
+    return dict(sorted(counts.items()))
+
+
 def _read_feed(spark: SparkSession, files: list[str], depth: int) -> DataFrame:
     plain, zipped = [f for f in files if not f.endswith(".zip")], [f for f in files if f.endswith(".zip")]
     parts = []
@@ -98,34 +118,22 @@ def read_advisory_tree(spark: SparkSession, root: str, include_unreviewed: bool
     return rows.withColumn("relative_path", F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|/)(advisories/.*)$", 1))
 
 
-def read_advisory_archive(spark: SparkSession, archive: str, include_unreviewed: bool = False) -> DataFrame:
-    """Advisories of a tar.gz whose members stand below one root folder; spread out after the single read.
+def read_advisory_archive(spark: SparkSession, path: str, include_unreviewed: bool = False) -> DataFrame:
+    """Advisories of a tar.gz of any size whose members stand below one root folder; a broken one is a FileNotFoundError.
 
-    A compressed archive can be read from its start only, so one task unpacks it;
-    Spark reads it as one value, which holds 2 GB at most. Larger ones are unpacked
-    to a tree first (``extract_archive``).
+    One task streams the archive, in bounded batches, to a checkpoint, which tells whether it read to its end;
+    parsing is spread out from there.
     """
-    prefixes = tuple(wanted_prefixes(include_unreviewed))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
-                    paths, bodies, size = [], [], 0
-                    for member in tar:
-                        path = member.name.partition("/")[2]
-                        if member.isfile() and path.endswith(".json") and path.startswith(prefixes):
-                            paths.append(path)
-                            bodies.append(tar.extractfile(member).read().decode())
-                            size += member.size
-                        if size > BATCH_BYTES:
-                            yield pa.RecordBatch.from_pydict({"relative_path": paths, "body": bodies})
-                            paths, bodies, size = [], [], 0
-                    if paths:
-                        yield pa.RecordBatch.from_pydict({"relative_path": paths, "body": bodies})
-
-    held = spark.read.format("binaryFile").load(archive).select("content")
-    rows = held.mapInArrow(members, "relative_path string, body string").repartition("relative_path")
+    prefixes = wanted_prefixes(include_unreviewed)
+    relative = F.substring("path", F.instr("path", F.lit("/")) + 1, 2**31 - 1)
+    wanted = F.lit(False)
+    for prefix in prefixes:
+        wanted = wanted | F.col("relative_path").startswith(prefix)
+    held = archive.members(spark, path).select(relative.alias("relative_path"), "body", "fault")
+    rows = cut(held.where(wanted | F.col("fault").isNotNull()).repartition("relative_path"))
+    told = rows.agg(F.count("relative_path").alias("members"), F.first("fault", ignorenulls=True).alias("fault")).first()  # one row
+    if told["fault"] or not told["members"]:
+        raise FileNotFoundError(f"{path} is no advisory archive: {told['fault'] or 'no advisory in it'}")
     parsed = rows.select("relative_path", F.from_json("body", f"struct<{_typed(ADVISORY)}>", {"mode": "FAILFAST"}).alias("a"))
     return parsed.select("a.*", "relative_path")
 
@@ -136,12 +144,12 @@ def _typed(ddl: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
 
 
-def read_advisories(spark: SparkSession, tree: str | None, archive: str | None, include_unreviewed: bool = False) -> DataFrame:
+def read_advisories(spark: SparkSession, tree: str | None, archive_path: str | None, include_unreviewed: bool = False) -> DataFrame:
     """The tree if it is valid, else the archive."""
     if tree and is_valid_tree(spark, tree):
         return read_advisory_tree(spark, tree, include_unreviewed)
-    if archive and is_valid_archive(spark, archive):
-        return read_advisory_archive(spark, archive, include_unreviewed)
+    if archive_path and exists(spark, archive_path):
+        return read_advisory_archive(spark, archive_path, include_unreviewed)
     raise FileNotFoundError("no valid advisory folder or archive")
 
 
@@ -151,17 +159,8 @@ def is_valid_tree(spark: SparkSession, root: str) -> bool:
 
 
 def is_valid_archive(spark: SparkSession, path: str, folder: str = "/advisories/") -> bool:
-    """Whether a tar.gz, in any file system Spark reads, reads to its end and holds a JSON file below ``folder``."""
-    if not exists(spark, path):
-        return False
-    try:
-        found = False
-        with opened(spark, path) as stream, tarfile.open(fileobj=stream, mode="r|gz") as tar:
-            for member in tar:
-                found |= member.name.endswith(".json") and folder in member.name
-        return found
-    except (tarfile.TarError, EOFError, OSError, zlib.error):
-        return False
+    """Whether a tar.gz reads to its end and holds a JSON file below ``folder``."""
+    return exists(spark, path) and archive.reads_whole(spark, path, folder)
 
 
 def extract_archive(path: str, target: str) -> Path:

@@ -6,22 +6,27 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as written to the session's checkpoint folder and read again; it survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors of a cluster share.
 
-    On a cluster ``spark.checkpoint.dir`` names that folder, which all executors
-    share. Only a local session without one gets a temporary folder.
+    ``spark.checkpoint.dir`` names it; only a local session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fieldweave-")
+        atexit.register(shutil.rmtree, folder, True)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="fieldweave-")
-            atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as written to the shared folder and read again, without its lineage; it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,6 +1,7 @@
 """End to end over miniature feeds: plain and zipped documents, an advisory tree and its archive."""
 
 import json
+import random
 import tarfile
 import zipfile
 
@@ -191,3 +192,46 @@ def test_stream_appends_once(spark, raw, tmp_path):
         records = advisory_stream(spark, str(raw / "tree" / "advisories" / "github-reviewed"))
         append_records(records, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_archives_stream_in_batches_and_tell_what_is_broken(spark, tmp_path, monkeypatch):
+    from fieldweave.sources import archive
+
+    monkeypatch.setattr(archive, "BATCH_BYTES", 2**12)  # as if the archive were a thousand times as large
+    rng = random.Random(3)
+    for i in range(300):
+        target = tmp_path / f"tree/advisories/github-reviewed/2024/{i % 12:02}/GHSA-{i}/GHSA-{i}.json"
+        target.parent.mkdir(parents=True)
+        target.write_text(json.dumps(advisory(f"GHSA-{i}", [f"CVE-2024-{i}"]) | {"summary": "".join(rng.choices("abcdefghij", k=400))}))
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "tree", arcname="root-1")
+    reader = archive.Members({"path": str(tmp_path / "a.tar.gz"), "suffix": ".json"})
+    sizes = [batch.num_rows for batch in reader.read(None)]
+    assert sum(sizes) == 300 and max(sizes) < 20
+    tree, tar = (f(spark, str(tmp_path / p)) for f, p in ((feeds.read_advisory_tree, "tree"), (feeds.read_advisory_archive, "a.tar.gz")))
+    assert sorted(map(str, ghsa_records(tree).collect())) == sorted(map(str, ghsa_records(tar).collect()))
+    whole = (tmp_path / "a.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(whole[: len(whole) // 2])
+    assert feeds.is_valid_archive(spark, str(tmp_path / "a.tar.gz")) and not feeds.is_valid_archive(spark, str(tmp_path / "cut.tar.gz"))
+    for broken in ("cut.tar.gz", "tree/advisories/github-reviewed/2024/00/GHSA-0/GHSA-0.json"):
+        with pytest.raises(FileNotFoundError):
+            feeds.read_advisories(spark, None, str(tmp_path / broken))
+    with tarfile.open(tmp_path / "none.tar.gz", "w:gz"):
+        pass
+    with pytest.raises(FileNotFoundError):
+        feeds.read_advisory_archive(spark, str(tmp_path / "none.tar.gz"))
+
+
+def test_a_feed_is_parsed_once(spark, raw, tmp_path, monkeypatch):
+    readings = []
+    real = feeds._read_feed
+    monkeypatch.setattr(feeds, "_read_feed", lambda spark, files, depth: readings.append(depth) or real(spark, files, depth))
+    counts = feeds.write_feed_records(spark, feeds.feed_files(spark, str(raw)), str(tmp_path / "nvd"))
+    assert counts == {"2023": 4, "2024": 1} and len(readings) == 1
+    nested = {"cpeMatch": [match(criteria="cpe:2.3:a:v:p:1")]}
+    for _ in range(9):
+        nested = {"cpeMatch": [], "children": [nested]}
+    (tmp_path / "nvdcve-2.0-2023.json").write_text(json.dumps({"vulnerabilities": [cve("CVE-2023-0001", configurations=[{"nodes": [nested]}])]}))
+    readings.clear()
+    assert feeds.write_feed_records(spark, feeds.feed_files(spark, str(tmp_path), "*2023*"), str(tmp_path / "deep")) == {"2023": 1} and len(readings) == 2
+    assert [a["version"] for r in spark.read.parquet(str(tmp_path / "deep")).collect() for a in r["affected"]] == ["1"]
