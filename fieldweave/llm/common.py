@@ -218,10 +218,10 @@ class Blocks:
     stay together, those of others do not, however many there are.
     """
 
-    def __init__(self, docs: DataFrame, text: str, *, block_bytes: int, bucket_bytes: int) -> None:
+    def __init__(self, docs: DataFrame, text: str, *, block_bytes: int, bucket_bytes: int, least_buckets: int = 1) -> None:
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         self.count = max(1, math.ceil(total / block_bytes))
-        self.buckets = max(1, math.ceil(total / bucket_bytes))
+        self.buckets = max(1, least_buckets, math.ceil(total / bucket_bytes))
         at_least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys = [c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
         dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*keys, F.spark_partition_id()), F.lit(self.count)))
@@ -280,6 +280,26 @@ class Blocks:
 
         return asked.groupBy("_bucket").applyInArrow(run, "_block long, _bucket long, kind int, reply binary")
 
+    @staticmethod
+    def look_up(asked: DataFrame, facts: DataFrame, settle, extra_kind=None) -> DataFrame:
+        """As ``answer``, but ``settle`` also gets the rows of ``facts`` (gram, ...) that lie in the bucket; both come by ``_bucket``."""
+        shared = facts.withColumnRenamed("_bucket", "_of")
+
+        def run(table: pa.Table, known: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return _TOLD.empty_table()
+            bucket = table.column("_bucket")[0].as_py()
+            block, kind, keys, extra = received(table, extra_kind)
+            out = [planes(settle(k, key, more, known)) for k, key, more in zip(kind, keys, extra, strict=True)]
+            return pa.table({"_block": block, "_bucket": [bucket] * len(out), "kind": kind, "reply": out}, schema=_TOLD)
+
+        return asked.groupBy("_bucket").cogroup(shared.groupBy("_of")).applyInArrow(run, "_block long, _bucket long, kind int, reply binary")
+
+    def in_buckets(self, facts: DataFrame, gram: str = "gram") -> DataFrame:
+        """``facts`` with the ``_bucket`` that each key belongs to."""
+        high = F.shiftrightunsigned(F.col(gram), 32)
+        return facts.withColumn("_bucket", F.shiftrightunsigned(high * F.lit(self.buckets).cast("long"), 32))
+
     def finish(self, answers: DataFrame, fn, schema) -> DataFrame:
         """``fn(table, answers) -> table`` for each block."""
 

@@ -1,4 +1,4 @@
-"""Stupid-backoff language-model scores of documents under their own corpus.
+"""Stupid-backoff language-model scores of documents under their own corpus, or under counts of another.
 
 The counts of all n-grams form a table partitioned by hash (``count_table``). A
 block of documents explodes its n-grams, adds up equal ones, and joins the table
@@ -16,6 +16,10 @@ occurs ``min_count`` times in the corpus; each shortening multiplies by
 and 0x09-0x0D, as they stand. Log scores are rounded to millionths before they
 are summed, so that sums do not depend on their order.
 
+Given a count table, which ``count_table`` makes of any corpus, each block's distinct n-grams meet the
+table's rows of their bucket instead of each other. A word that the table does not have counts as
+if it had occurred once.
+
 Null and empty texts have no words, a sum of 0 and a null mean. Every row is
 scored and counted, repeated rows as often as they come; an empty table gives
 none. Columns other than the id and the text are not read.
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,14 +89,37 @@ def count_table(docs: DataFrame, *, text: str = "text", order: int = 3, block_by
     return blocks.ask(ask).groupBy("_bucket").applyInArrow(rows, "k int, gram long, n long")
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, block_bytes: int = 2**23, bucket_bytes: int = 12 * 2**20) -> DataFrame:
-    """(doc_id, n_words, n_backoff, score_micro, mean_log_score) of each row.
+#: Bytes of a row of a count table, for the number of buckets.
+ROW_BYTES = 20
+
+
+def _from_table(total: int):
+    """Answers blocks from the rows of a count table that lie in their bucket."""
+
+    def settle(kind: int, keys: np.ndarray, counts: np.ndarray, known: pa.Table) -> np.ndarray:
+        if kind == TOTAL:
+            return np.array([total], np.uint64)
+        of = known.filter(pa.compute.equal(known.column("k"), kind + 1 if kind < TOTAL else kind))
+        grams_, n = of.column("gram").to_numpy().view(np.uint64), of.column("n").to_numpy().astype(np.uint64)
+        order = np.argsort(grams_)
+        grams_, n = np.r_[grams_[order], np.uint64(0)], np.r_[n[order], np.uint64(0)]
+        at = np.searchsorted(grams_[:-1], keys)
+        return np.where((at < len(of)) & (grams_[at] == keys), n[at], np.uint64(0))
+
+    return settle
+
+
+def score(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, min_count: int = 2, counts: DataFrame | None = None, block_bytes: int = 2**23, bucket_bytes: int = 12 * 2**20
+) -> DataFrame:
+    """(doc_id, n_words, n_backoff, score_micro, mean_log_score) of each row, under the corpus itself or a written table ``counts`` (k, gram, n).
 
     ``n_backoff`` counts words scored with less context than they have,
     ``score_micro`` is the sum of the natural logs in millionths.
     """
     rows = docs.select(F.col(doc_id), F.col(text))
-    blocks = Blocks(rows, text, block_bytes=block_bytes, bucket_bytes=bucket_bytes)
+    told_of = counts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("k") == 1, F.col("n"))), F.lit(0)).alias("words")).first() if counts else None  # one row
+    blocks = Blocks(rows, text, block_bytes=block_bytes, bucket_bytes=bucket_bytes, least_buckets=-(-told_of["rows"] * ROW_BYTES // bucket_bytes) if told_of else 1)
     schema = rows.select(doc_id).schema.add("n_words", "long").add("n_backoff", "long").add("score_micro", "long").add("mean_log_score", "double")
     arrow = to_arrow_schema(schema)
 
@@ -139,7 +167,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
         most = np.minimum(place + 1, order)
         value, used = np.zeros(n), np.ones(n, np.int64)
         if n:
-            value = levels[0] / total
+            value = np.maximum(levels[0], np.uint64(1)) / max(total, 1.0)
         for k in range(2, order + 1):
             has = np.flatnonzero(levels[k - 1] >= min_count)
             value[has] = levels[k - 1][has] / levels[k - 2][has - 1].astype(np.float64)
@@ -152,7 +180,13 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
         mean = [s / 1e6 / w if w else None for s, w in zip(score_micro.tolist(), lengths.tolist(), strict=True)]
         return pa.table({doc_id: table.column(doc_id), "n_words": lengths, "n_backoff": backs[starts[1:]] - backs[starts[:-1]], "score_micro": score_micro, "mean_log_score": mean}, schema=arrow)
 
-    told = Blocks.answer(blocks.ask(first), _add_up, np.uint32)
+    def settled(asked: DataFrame, k: int | None = None) -> DataFrame:
+        asked = asked if k is None else asked.withColumn("kind", F.lit(k))
+        if counts is None:
+            return Blocks.answer(asked, _add_up, np.uint32)
+        return Blocks.look_up(asked, blocks.in_buckets(counts.select("k", "gram", "n")), _from_table(told_of["words"]), np.uint32)
+
+    told = settled(blocks.ask(first))
     for k in range(3, order + 1):
-        told = told.unionByName(Blocks.answer(blocks.ask(next_order(k), told), _add_up, np.uint32).withColumn("kind", F.lit(k)))
+        told = told.unionByName(settled(blocks.ask(next_order(k), told), k))
     return blocks.finish(told, final, schema)

@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import re
 import string
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -116,3 +118,32 @@ def test_verdicts_agree_with_labels(spark):
     labels = spark.read.parquet(f"{ROOT}/sf0.1/labels.parquet").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     told = judged.join(labels, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("kept") == F.col("good")).alias("right")).first()
     assert told["n"] > 100 and told["right"] >= 0.85 * told["n"]
+
+
+@pytest.mark.parametrize(("order", "bucket"), [(1, 2**22), (3, 600)])
+def test_scores_under_a_count_table(spark, order, bucket):
+    """The corpus under its own table scores as it does under itself; another corpus under that table, word by word."""
+    from fieldweave.llm import lm_score
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d", "é", "ff"], k=rng.randint(0, 30))) for _ in range(60)] + [None, "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = common.stage(lm_score.count_table(df, order=order, block_bytes=400, bucket_bytes=400), "counts")
+    sizes = {"order": order, "block_bytes": 300, "bucket_bytes": bucket}
+    assert sorted(map(str, lm_score.score(df, counts=told, **sizes).collect())) == sorted(map(str, lm_score.score(df, **sizes).collect()))
+    other = spark.createDataFrame([(1, "a b unheard c"), (2, "unheard"), (3, "")], "doc_id long, text string")
+    words = [w for t in texts for w in (t or "").split()]
+    grams = [Counter(g for t in texts for w in [(t or "").split()] for g in zip(*[w[i:] for i in range(k)], strict=False)) for k in range(1, order + 1)]
+
+    def value(said, p):
+        most = min(order, p + 1)
+        for k in range(most, 1, -1):
+            gram = tuple(said[p - k + 1 : p + 1])
+            if grams[k - 1][gram] >= 2:
+                return math.log(grams[k - 1][gram] / grams[k - 2][gram[:-1]]) + (most - k) * math.log(0.4)
+        return math.log(max(1, grams[0][(said[p],)]) / len(words)) + (most - 1) * math.log(0.4)
+
+    got = {r["doc_id"]: r for r in lm_score.score(other, counts=told, **sizes).collect()}
+    for i, t in ((1, "a b unheard c"), (2, "unheard"), (3, "")):
+        said = t.split()
+        assert got[i]["n_words"] == len(said) and abs(got[i]["score_micro"] - sum(round(value(said, p) * 1e6) for p in range(len(said)))) <= len(said)
