@@ -79,6 +79,7 @@ def _aligned(spark: SparkSession, path: str):
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="fieldweave")
     commands = parser.add_subparsers(dest="command", required=True)
+    # Names and defaults of the flags.
     snapshot = commands.add_parser("fetch", help="download the advisory snapshot to this machine")
     snapshot.add_argument("--url", default=fetching.ARCHIVE_URL)
     snapshot.add_argument("--archive", default="data/raw/advisory-database.tar.gz")

@@ -7,6 +7,7 @@ import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -85,7 +86,7 @@ def _read_feed(spark: SparkSession, files: list[str], depth: int) -> DataFrame:
     if zipped:
         held = spark.read.format("binaryFile").load(zipped).select(F.col("path"), "content")
         rows = held.mapInArrow(_unzipped, "file_name string, body string").repartition("file_name", "body")
-        parts.append(rows.select("file_name", F.from_json("body", cve_type(depth), {"mode": "FAILFAST"}).alias("cve")))
+        parts.append(rows.select("file_name", F.from_json("body", f"struct<cve: {cve_type(depth)}>", {"mode": "FAILFAST"})["cve"].alias("cve")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -95,12 +96,83 @@ def _read_feed(spark: SparkSession, files: list[str], depth: int) -> DataFrame:
 def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    found = json.loads(archive.read(member)).get("vulnerabilities") or []
-                    for at in range(0, len(found), 1000):
-                        body = [json.dumps(x.get("cve"), ensure_ascii=False) for x in found[at : at + 1000]]
-                        yield pa.RecordBatch.from_pydict({"file_name": [path.rsplit("/", 1)[-1]] * len(body), "body": body})
+            with zipfile.ZipFile(io.BytesIO(content)) as zipped:
+                for member in zipped.namelist():
+                    with zipped.open(member) as stream:
+                        found = members_of(io.TextIOWrapper(stream, "utf-8"), "vulnerabilities")
+                        while body := list(islice(found, 1000)):
+                            yield pa.RecordBatch.from_pydict({"file_name": [path.rsplit("/", 1)[-1]] * len(body), "body": body})
+
+
+def members_of(stream: io.TextIOBase, name: str, chunk: int = 2**20) -> Iterator[str]:
+    """The members of the list at ``name`` of a JSON object, each as its own text; what is no JSON fails.
+
+    The stream is read piece by piece: no more is held than the piece and the member that crosses its end.
+    """
+    decode, white = json.JSONDecoder().raw_decode, " \t\n\r"
+    held, at, ended = "", 0, False
+
+    def more() -> None:
+        nonlocal held, at, ended
+        piece = stream.read(max(chunk, len(held) - at))  # in growing steps, so that a long member is not tried too often
+        held, at, ended = held[at:] + piece, 0, not piece
+
+    def mark(of: str) -> str:
+        """Take the next character, which is one of these."""
+        nonlocal at
+        while True:
+            while at < len(held) and held[at] in white:
+                at += 1
+            if at < len(held):
+                break
+            if ended:
+                raise ValueError(f"the document ends where one of {of} is expected")
+            more()
+        if held[at] not in of:
+            raise ValueError(f"{held[at]!r} stands where one of {of} is expected")
+        at += 1
+        return held[at - 1]
+
+    def peek(of: str) -> bool:
+        nonlocal at
+        mark("".join(map(chr, range(32, 127))))
+        at -= 1
+        return held[at] in of
+
+    def value():
+        """The next value and its text."""
+        nonlocal at
+        peek("")
+        while True:
+            try:
+                found, end = decode(held, at)
+                if end < len(held) or ended:  # a number may go on
+                    text, at = held[at:end], end
+                    return found, text
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            more()
+
+    mark("{")
+    if peek("}"):
+        return
+    while True:
+        key = value()[0]
+        mark(":")
+        if key == name and peek("["):
+            mark("[")
+            if peek("]"):
+                mark("]")
+            else:
+                while True:
+                    yield value()[1]
+                    if mark(",]") == "]":
+                        break
+        else:
+            value()
+        if mark(",}") == "}":
+            return
 
 
 def wanted_prefixes(include_unreviewed: bool) -> list[str]:

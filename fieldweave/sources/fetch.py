@@ -68,6 +68,7 @@ def _pour(response, out, floor: int, window: float) -> None:
         raise ConnectionError(f"broken off after {total} of {told} bytes")
 
 
+# The least speed, in bytes a second over so many seconds.
 def download(url: str, part: Path, *, timeout: float = 60, floor: int = 256, window: float = 180) -> None:
     """Download to ``part``, going on where an earlier attempt stopped if the server can."""
     have = part.stat().st_size if part.exists() else 0

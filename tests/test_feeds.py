@@ -235,3 +235,18 @@ def test_a_feed_is_parsed_once(spark, raw, tmp_path, monkeypatch):
     readings.clear()
     assert feeds.write_feed_records(spark, feeds.feed_files(spark, str(tmp_path), "*2023*"), str(tmp_path / "deep")) == {"2023": 1} and len(readings) == 2
     assert [a["version"] for r in spark.read.parquet(str(tmp_path / "deep")).collect() for a in r["affected"]] == ["1"]
+
+
+def test_members_are_read_piece_by_piece():
+    import io
+
+    found = [{"cve": {"id": f"CVE-{i}", "s": 'a "q" ]}, \\ é' * (i % 50), "n": [1, 2, {"vulnerabilities": [i]}]}} for i in range(40)] + [12, 1.5, None, "x"]
+    document = {"format": "f", "vulnerabilities_": [0], "total": 12, "vulnerabilities": found, "after": {"vulnerabilities": [7]}}
+    for chunk in (1, 7, 2**20):
+        for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False)):
+            assert [json.loads(m) for m in feeds.members_of(io.StringIO(text), "vulnerabilities", chunk)] == found
+        for empty in ("{}", " { } ", '{"vulnerabilities": []}', '{"vulnerabilities": null, "x": 1}'):
+            assert list(feeds.members_of(io.StringIO(empty), "vulnerabilities", chunk)) == []
+        for broken in ("", "[", '{"vulnerabilities": [{"a": 1}', '{"vulnerabilities": [{"a": 1},]}', '{"vulnerabilities": [1] "x": 2}', '{"a" 1}'):
+            with pytest.raises(ValueError):
+                list(feeds.members_of(io.StringIO(broken), "vulnerabilities", chunk))
