@@ -11,6 +11,7 @@ _SEP = "\x01"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?"
 _CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\3(\d{2})(?:[.,](\d+))?)?)?"
 _STAMP = rf"(?s)^({_DATE})(?:.{_CLOCK}(?:(Z)|([+-]\d{{2}}):?(\d{{2}})?)?)?$"
+_COMMON = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z?\z"
 _DATE_ZULU = rf"^({_DATE})Z$"
 
 
@@ -40,7 +41,8 @@ def parse_iso(value: Column) -> Column:
         clock = F.concat_ws(":", part(1, "00"), part(3, "00"), part(4, "00"))
         return F.concat(_day(part(0, "")), F.lit("T"), clock, F.lit("."), part(5, "0"), part(7, "+00"), F.lit(":"), part(8, "00"))
 
-    text = F.when(value.rlike(_STAMP), let(cut, spell)).when(
+    # the common form is what the cast reads as it stands
+    text = F.when(value.rlike(_COMMON), value).when(value.rlike(_STAMP), let(cut, spell)).when(
         value.rlike(_DATE_ZULU), F.concat(_day(F.regexp_replace(value, _DATE_ZULU, "$1")), F.lit("T00:00:00+00:00"))
     )
     return text.try_cast("timestamp")

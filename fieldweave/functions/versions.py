@@ -85,7 +85,7 @@ def version_key(value: Column) -> Column:
         _number(F.lit("")).alias("epoch"), _release(value).alias("release"), F.lit(3).alias("pre"), _number(F.lit("")).alias("pre_n"),
         _bound(_NONE).alias("post"), _bound(_LAST).alias("dev"), F.array().cast(f"array<struct<n: {_NUMBER}, s: string>>").alias("local"),
     )
-    return F.when(value.rlike(r"^\d+(?:\.\d+)*$"), plain).when(F.coalesce(value.rlike(_VERSION), F.lit(False)), let(parts, keyed))
+    return F.when(value.rlike(r"^\d+(?:\.\d+)*\z"), plain).when(F.coalesce(value.rlike(_VERSION), F.lit(False)), let(parts, keyed))
 
 
 SPAN = (
