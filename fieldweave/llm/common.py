@@ -7,6 +7,7 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, which is what
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import tempfile
@@ -161,6 +162,17 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
         table = combine(table[: len(table) - power // 2], table[power // 2 :])
 
 
+# --- memory of workers --------------------------------------------------------------
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give back to the system what the last block or batch took: Python workers live on between tasks, and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --- rows through Arrow -------------------------------------------------------
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
@@ -181,6 +193,7 @@ def per_row(docs: DataFrame, columns: list[str], schema: str | StructType, make)
             step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 yield pa.RecordBatch.from_pydict(work(batch.slice(at, step)), schema=arrow)
+            release()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -248,6 +261,7 @@ class Blocks:
                     out["kind"].append(kind)
                     out["keys"].append(planes(np.diff(keys[lo:hi], prepend=np.uint64(0))))
                     out["extra"].append(None if extra is None else planes(extra[lo:hi]))
+            release()
             return pa.table(out, schema=_ASKED)
 
         if answers is None:
@@ -276,6 +290,7 @@ class Blocks:
                 mine = [i for i, x in enumerate(kind) if x == k]
                 for i, reply in zip(mine, settle(k, [keys[i] for i in mine], [extra[i] for i in mine]), strict=True):
                     out[i] = planes(reply)
+            release()
             return pa.table({"_block": block, "_bucket": [bucket] * len(out), "kind": kind, "reply": out}, schema=_TOLD)
 
         return asked.groupBy("_bucket").applyInArrow(run, "_block long, _bucket long, kind int, reply binary")
@@ -304,7 +319,9 @@ class Blocks:
         """``fn(table, answers) -> table`` for each block."""
 
         def run(table: pa.Table, told: pa.Table) -> pa.Table:
-            return fn(table, told)
+            out = fn(table, told)
+            release()
+            return out
 
         return self.rows.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(run, schema)
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import WordHashes, combine, lookup, per_row, runs, scratch, stage, texts_of, window_hashes
+from fieldweave.llm.common import WordHashes, combine, lookup, per_row, release, runs, scratch, stage, texts_of, window_hashes
 from fieldweave.llm.graph import components
 
 ROWS, BANDS, BATCH = 5, 32, 32
@@ -197,6 +197,7 @@ def _by_group(batches: Iterator[pa.RecordBatch], work: Work) -> Iterator[pa.Reco
         cut = int(differs[-1]) + 1 if len(differs) else 0
         settle(got.slice(0, cut), groups[:cut])
         rest = got.slice(cut)
+        release()
         if len(forest) > FOREST:
             yield pa.RecordBatch.from_pydict(forest.rows(), schema=LINK)
     if rest is not None and rest.num_rows:
@@ -230,6 +231,7 @@ def _by_visits(batches: Iterator[pa.RecordBatch], begin: Callable[[pa.Table], Wo
                 meet = meet or begin(pa.Table.from_batches(held))
                 found.update(zip(*meet(pa.Table.from_batches([batch.slice(split, hi - split)])), strict=True))
         yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=LINK)
+        release()
 
 
 def _visited(rows: DataFrame, begin: Callable[[pa.Table], Work]) -> DataFrame:
