@@ -27,7 +27,9 @@ Letters A-Z are lower-cased; words are maximal runs outside 0x20 and 0x09-0x0D.
 A text of fewer words than a shingle is one shingle; one without words has an
 empty set and is its own class, as are null texts. Rows without an id are not
 compared, have a null class, and are kept. Repeated rows fall in one class and
-are all kept or all dropped. Empty tables give no rows. Other columns are not read.
+are all kept or all dropped. Very long texts are read whole: a set grows with its text, and a task holds the sets of a
+tile at once. Texts that share an id are told apart by a hash of the text. Empty tables give no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ that hold such payloads are read a second time, each in one task.
 Null payloads are empty. Null ids and addresses leave their header field out; a
 record without an id is a response only if all equal payloads have none.
 Repeated rows of one id and payload are told apart by nothing, so they share
-their type. Line breaks in an address are dropped. Files without a record at
+their type. A payload is one value, so it may be as long as Spark's strings; very long ones are written and
+read whole. Columns other than id, address and payload are not read, whatever their names. Line breaks in an address are dropped. Files without a record at
 their start give no rows, and neither does an empty table.
 """
 
