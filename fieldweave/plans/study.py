@@ -84,7 +84,7 @@ def update_gaps(spark, sf_dir):
     changes = _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), side.alias("side"), F.date_trunc("second", "ts").alias("time"), F.format_string("%s/%012d", F.floor("value").cast("string"), "event_id").alias("value"))
     gaps = history.update_gaps(changes.where(F.col("side").isNotNull()), ("left", "right"))
     level = F.substring_index("value", "/", 1) == F.substring_index("other_value", "/", 1)
-    return gaps.select("key", "side", "time", "value", "other_time", "other_value", "lag_seconds", F.when(level, "level").otherwise(F.col("gap")).alias("gap"))
+    return gaps.select("key", "side", "value", "other_value", "lag_seconds", F.when(level, "level").otherwise(F.col("gap")).alias("gap"))
 
 
 def evidence_scores(spark, sf_dir):

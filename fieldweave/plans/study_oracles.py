@@ -120,7 +120,7 @@ k AS (SELECT * FROM c WHERE side IS NOT NULL AND key IS NOT NULL AND time IS NOT
 w AS (SELECT *, last_value(CASE WHEN side = 'left' THEN {'t': time, 'v': value} END IGNORE NULLS) OVER o AS l, last_value(CASE WHEN side = 'right' THEN {'t': time, 'v': value} END IGNORE NULLS) OVER o AS r
       FROM k WINDOW o AS (PARTITION BY key ORDER BY time, side, value ROWS UNBOUNDED PRECEDING)),
 x AS (SELECT key, side, time, value, CASE side WHEN 'left' THEN r ELSE l END AS q FROM w)
-SELECT key, side, time, value, q.t AS other_time, q.v AS other_value, date_diff('second', q.t, time) AS lag_seconds,
+SELECT key, side, value, q.v AS other_value, date_diff('second', q.t, time) AS lag_seconds,
        CASE WHEN split_part(value, '/', 1) = split_part(q.v, '/', 1) THEN 'level' WHEN q.t IS NULL THEN 'first' ELSE 'behind' END AS gap FROM x
 """
 
