@@ -1,31 +1,33 @@
 """Relations in a taxonomy of weaknesses: a graph of children and parents without cycles.
 
 ``closure`` doubles the length of the paths it knows in each round, so a taxonomy of
-depth d takes about log2(d) rounds; rounds are checkpointed. A node is no ancestor of itself.
-Repeated edges count once, edges with a null end or from a node to itself not at all; a cycle
-does not keep the rounds going, as only shorter paths are news.
+depth d takes about log2(d) rounds. A round goes on only from the longest paths: what is news has one of them
+as its first part, so a path is met about once, not once for each of its cuts. Rounds are staged as Parquet.
+A node is no ancestor of itself. Repeated edges count once, edges with a null end or from a node to itself not at
+all; a cycle does not keep the rounds going, as only least lengths count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.staging import cut
+from fieldweave.functions.text import let
+from fieldweave.staging import stage
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(descendant, ancestor, depth): every pair that a path of ``edges`` (child, parent) joins, with its least length."""
     steps = edges.where("child <> parent").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    paths, known = cut(steps), (-1, -1)
+    paths, reach = stage(steps), 1
     while True:
-        size = paths.agg(F.count("*"), F.coalesce(F.sum("depth"), F.lit(0))).first()  # one row
-        if tuple(size) == known:
+        # a least path of more than ``reach`` steps begins with a least path of just as many
+        longest = paths.where(F.col("depth") == reach)
+        if longest.isEmpty():
             return paths
-        known = tuple(size)
         up = paths.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        further = paths.join(up, "ancestor").where("descendant <> next").select("descendant", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        paths = cut(paths.unionByName(further).groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth")))
+        further = longest.join(up, "ancestor").where("descendant <> next").select("descendant", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        paths, reach = stage(paths.unionByName(further).groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth"))), 2 * reach
 
 
 def related(pairs: DataFrame, edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -37,16 +39,32 @@ def related(pairs: DataFrame, edges: DataFrame, left: str = "left", right: str =
     ``distance`` is that sum. Each pair is judged once however often it occurs; nulls are unrelated.
     """
     asked = pairs.select(left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull()).distinct()
-    paths = closure(edges)
-    ends = asked.select(F.explode(F.array(left, right)).alias("node")).distinct()
-    above = paths.join(ends.withColumnRenamed("node", "descendant"), "descendant").select(F.col("descendant").alias("node"), F.col("ancestor").alias("common"), "depth")
-    above = cut(above.unionByName(ends.select("node", F.col("node").alias("common"), F.lit(0).alias("depth"))))
-    one = above.select(F.col("node").alias(left), "common", F.col("depth").alias("up"))
-    two = above.select(F.col("node").alias(right), "common", F.col("depth").alias("down"))
-    met = asked.join(one, left).join(two, [right, "common"])
-    best = met.groupBy(left, right).agg(F.min(F.struct((F.col("up") + F.col("down")).alias("distance"), "common", "up", "down")).alias("b"), F.bool_or((F.col("up") == 1) & (F.col("down") == 1)).alias("sibling"))
-    told = best.select(
-        left, right, F.col("b.common").alias("common"), F.col("b.distance").alias("distance"),
-        F.when(F.col("b.distance") == 0, "same").when(F.col("b.up") == 0, "ancestor").when(F.col("b.down") == 0, "descendant").when(F.col("sibling"), "sibling").otherwise("cousin").alias("relation"),
-    )
+    lists = closure(edges).groupBy(F.col("descendant").alias("_node")).agg(F.collect_list(F.struct("ancestor", "depth")).alias("_a")).select("_node", "_a.ancestor", "_a.depth")
+
+    def above(frame: DataFrame, end: str, name: str) -> DataFrame:
+        own, here = F.array(F.col(end)), F.array(F.lit(0))
+        listed = frame.join(lists.withColumnRenamed("_node", end), end, "left")
+        packed = F.struct(F.coalesce(F.concat(own, "ancestor"), own).alias("nodes"), F.coalesce(F.concat(here, "depth"), here).alias("depths"))
+        return listed.select(*frame.columns, packed.alias(name))
+
+    def judged(x: Column) -> Column:
+        def steps(side: str, node: Column) -> Column:
+            return F.get(x[side]["depths"], (F.array_position(x[side]["nodes"], node) - 1).cast("int"))
+
+        def meet(node: Column) -> Column:
+            parts = F.struct(steps("up", node).alias("up"), steps("down", node).alias("down"))
+            return let(parts, lambda p: F.struct((p["up"] + p["down"]).alias("distance"), node.alias("common"), p["up"].alias("up"), p["down"].alias("down")))
+
+        def told(m: Column) -> Column:
+            b = F.array_min(m)
+            sibling = F.exists(m, lambda c: (c["up"] == 1) & (c["down"] == 1))
+            relation = F.when(b["distance"] == 0, "same").when(b["up"] == 0, "ancestor").when(b["down"] == 0, "descendant").when(sibling, "sibling").otherwise("cousin")
+            return F.when(F.size(m) > 0, F.struct(relation.alias("relation"), b["common"].alias("common"), b["distance"].alias("distance")))
+
+        return let(F.transform(F.array_intersect(x["up"]["nodes"], x["down"]["nodes"]), meet), told)
+
+    # a pair moves with its left end's ancestors packed in its row, never as a row an ancestor
+    ends = above(above(asked, left, "_up"), right, "_down")
+    told = ends.select(left, right, let(F.struct(F.col("_up").alias("up"), F.col("_down").alias("down")), judged).alias("r"))
+    told = told.select(left, right, F.col("r.common").alias("common"), F.col("r.distance").alias("distance"), F.col("r.relation").alias("relation"))
     return pairs.join(told, [left, right], "left").withColumn("relation", F.coalesce("relation", F.lit("unrelated")))

@@ -62,7 +62,8 @@ def weakness_relations(spark, sf_dir):
     parents = F.array_distinct(F.when(p % 5 == 0, F.array(F.floor(p / 2), F.floor(p / 3))).otherwise(F.array(F.floor(p / 2))))
     named = lambda c: F.concat(F.lit("CWE-"), c.cast("string"))
     edges = _table(spark, sf_dir, "part").where(p > 0).select(named(p).alias("child"), F.explode(parents).alias("q")).select("child", named(F.col("q")).alias("parent"))
-    pairs = _table(spark, sf_dir, "lineitem").groupBy(named(F.col("l_partkey")).alias("left_id"), named(F.col("l_suppkey")).alias("right_id")).agg(F.count("*").alias("lines"))
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("lines"))
+    pairs = lines.select(named(F.col("l_partkey")).alias("left_id"), named(F.col("l_suppkey")).alias("right_id"), "lines")
     return taxonomy.related(pairs, edges, "left_id", "right_id").select("left_id", "right_id", "lines", "relation", "common", "distance")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared folder and read again, without its lineage; it survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` as packed Parquet in the shared folder, read again: cut like ``cut``, at a fraction of a checkpoint's bytes.
+
+    The folder stays for as long as the session's checkpoints do; nested nulls and empty tables read back as they were.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -109,6 +109,15 @@ def test_closure_and_relations(spark):
     assert taxonomy.closure(df.limit(0)).count() == 0
 
 
+def test_closure_goes_on_from_the_longest_paths_only(spark, monkeypatch):
+    """A chain of 32 steps: rounds double, and what a round meets is at most what is news and what was known."""
+    rounds, stage = [], taxonomy.stage
+    monkeypatch.setattr(taxonomy, "stage", lambda df: rounds.append(stage(df)) or rounds[-1])
+    chain = spark.range(32).selectExpr("cast(id as string) child", "cast(id + 1 as string) parent")
+    assert taxonomy.closure(chain).count() == 32 * 33 // 2
+    assert [r.agg(F.max("depth")).first()[0] for r in rounds] == [1, 2, 4, 8, 16, 32, 32]
+
+
 # --- scores -----------------------------------------------------------------------
 def test_base_scores_of_known_vectors(spark):
     known = {
