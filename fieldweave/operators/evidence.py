@@ -4,8 +4,8 @@ A claim says that a source gave a value for a field of an id, when it was last s
 many references came with it. The evidence of a candidate value is the
 authority of its best source, how fresh its last claim is beside the newest claim for the same id and field,
 how many references support it, and what share of the id's sources agree on it. A score is the
-weighted sum. All of it comes from partial aggregates by (id, field, value) and
-(id, field), so a value claimed by any number of rows weighs one row a task.
+weighted sum. Claims move once, to the task of their id and field, which folds them as they come into a row a value;
+evidence, scores and decisions under any number of policies follow there, sorted and spilled by Spark if need be.
 
 Claims without a value are no candidates; null ids and fields are ids and fields like others. A claim
 never seen at a known time is not fresh. Sources without a stated authority weigh nothing
@@ -15,10 +15,8 @@ and count as one source.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave import constants as K
@@ -68,15 +66,17 @@ def claims(records: DataFrame, source: Column) -> DataFrame:
 
 def features(told: DataFrame, authority: dict[str, float], half_life_days: float = Policy.half_life_days) -> DataFrame:
     """(cve_id, field, value, latest, the four parts of the evidence) of every candidate value; ``authority`` ranks at most 62 sources."""
-    weight, bit = F.lit(0.0), F.lit(2**62)
+    bit, best = F.lit(2**62), F.when(F.col("sources").bitwiseAND(F.lit(2**62)) != 0, 0.0)
     for i, (name, w) in enumerate(authority.items()):
-        weight, bit = F.when(F.col("source") == name, float(w)).otherwise(weight), F.when(F.col("source") == name, F.lit(2**i)).otherwise(bit)
-    known = told.where(F.col("value").isNotNull()).select("cve_id", "field", "value", weight.alias("w"), bit.cast("long").alias("bit"), "seen", "refs")
-    values = known.groupBy("cve_id", "field", "value").agg(F.max("w").alias("authority"), F.max("seen").alias("latest"), F.sum("refs").alias("refs"), F.bit_or("bit").alias("sources"))
-    whole = values.groupBy(F.col("cve_id").alias("_id"), F.col("field").alias("_field")).agg(F.max("latest").alias("newest"), F.bit_or("sources").alias("all_sources"))
+        bit = F.when(F.col("source") == name, F.lit(2**i)).otherwise(bit)
+        best = F.greatest(best, F.when(F.col("sources").bitwiseAND(F.lit(2**i)) != 0, float(w)))
+    known = told.where(F.col("value").isNotNull()).select("cve_id", "field", "value", bit.cast("long").alias("bit"), "seen", "refs").repartition("cve_id", "field")
+    values = known.groupBy("cve_id", "field", "value").agg(F.max("seen").alias("latest"), F.sum("refs").alias("refs"), F.bit_or("bit").alias("sources"))
+    of_key = Window.partitionBy("cve_id", "field")
+    whole = values.withColumns({"newest": F.max("latest").over(of_key), "all_sources": F.bit_or("sources").over(of_key)})
     age = F.datediff("newest", "latest")
-    return values.join(whole, F.col("cve_id").eqNullSafe(F.col("_id")) & F.col("field").eqNullSafe(F.col("_field"))).select(
-        "cve_id", "field", "value", "latest", "authority",
+    return whole.select(
+        "cve_id", "field", "value", "latest", best.alias("authority"),
         F.coalesce(F.bround(F.pow(F.lit(0.5), age / half_life_days), 6), F.lit(0.0)).alias("freshness"),
         F.bround(F.col("refs") / (F.col("refs") + 1), 6).alias("support"),
         F.bround(F.bit_count("sources") / F.bit_count("all_sources"), 6).alias("agreement"),
@@ -111,8 +111,8 @@ def under_variants(found: DataFrame, policies: dict[str, Policy]) -> DataFrame:
 def decide(candidates: DataFrame, policy: Policy | None = Policy(), keys: tuple[str, ...] = ("cve_id", "field")) -> DataFrame:
     """(keys, kind, winner, score, margin, confidence, abstained, by_priority, by_freshness) of scored candidates.
 
-    The best two of a key come from two aggregates over one partitioning, without
-    sorting. ``winner`` is the value of the highest score, of equal ones the smallest, also where it is
+    The best of a key is told to all its candidates in their task, and the next follows from the others; nothing
+    is joined. ``winner`` is the value of the highest score, of equal ones the smallest, also where it is
     abstained from: below the threshold, or less than the margin ahead of the next. A key of one value
     is ``agreed`` and has its score as margin, one of several is ``disputed``. ``by_priority``
     and ``by_freshness`` are the values that the best source and the newest claim give. Without a policy
@@ -121,21 +121,48 @@ def decide(candidates: DataFrame, policy: Policy | None = Policy(), keys: tuple[
     limits = {"threshold": F.lit(policy.threshold), "least_margin": F.lit(policy.margin)} if policy else {}
     rows = candidates.withColumns(limits) if policy else candidates
     place = F.struct((-F.col("score")).alias("far"), F.col("value").alias("value"))
-    best = rows.groupBy(*keys).agg(
-        F.min(place).alias("best"), F.count("*").alias("n"), F.first("threshold").alias("threshold"), F.first("least_margin").alias("least_margin"),
+    told = rows.withColumn("best", F.min(place).over(Window.partitionBy(*keys)))
+    best = told.groupBy(*keys).agg(F.first("best").alias("best"), F.first("threshold").alias("threshold"), F.first("least_margin").alias("least_margin"), _next("score", "best").alias("next"), *_beside())
+    return best.select(*keys, *_verdict(F.col("best"), F.col("next"), F.col("threshold"), F.col("least_margin")), F.col("prior.value").alias("by_priority"), F.col("fresh.value").alias("by_freshness"))
+
+
+def decide_under(found: DataFrame, policies: dict[str, Policy], keys: tuple[str, ...] = ("cve_id", "field")) -> DataFrame:
+    """What ``decide(under_variants(found, policies), None, ("variant", *keys))`` gives: candidates stay single rows, and decisions become rows a policy."""
+    of_key = Window.partitionBy(*keys)
+    weigh = {f"s_{i}": _score({n: F.lit(float(getattr(p, n))) for n in FEATURES}) for i, p in enumerate(policies.values())}
+    wide = found.withColumns(weigh)
+    told = wide.withColumns({f"b_{i}": F.min(F.struct((-F.col(f"s_{i}")).alias("far"), F.col("value").alias("value"))).over(of_key) for i in range(len(policies))})
+    best = told.groupBy(*keys).agg(
+        *[c for i in range(len(policies)) for c in (F.first(f"b_{i}").alias(f"b_{i}"), _next(f"s_{i}", f"b_{i}").alias(f"n_{i}"))], *_beside()
+    )
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("variant"), *_verdict(F.col(f"b_{i}"), F.col(f"n_{i}"), F.lit(p.threshold), F.lit(p.margin))) for i, (name, p) in enumerate(policies.items())]
+    )
+    decided = best.select(*keys, F.inline(rows), F.col("prior.value").alias("by_priority"), F.col("fresh.value").alias("by_freshness"))
+    return decided.select("variant", *[c for c in decided.columns if c != "variant"])
+
+
+def _next(score: str, best: str) -> Column:
+    """The score, negated, of the best candidate but the winner."""
+    return F.min(F.when(F.col("value") != F.col(f"{best}.value"), -F.col(score)))
+
+
+def _beside() -> list[Column]:
+    """How many candidates a key has, and the values of its best source and its newest claim."""
+    return [
+        F.count("*").alias("n"),
         F.min(F.struct((-F.col("authority")).alias("far"), F.col("value").alias("value"))).alias("prior"),
         F.min(F.struct((-F.unix_micros(F.coalesce("latest", F.lit("0001-01-01").cast("timestamp")))).alias("far"), F.col("value").alias("value"))).alias("fresh"),
-    )
-    named = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "best")
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    second = rows.join(named, same).where(F.col("value") != F.col("best.value")).groupBy(*keys).agg(F.min(-F.col("score")).alias("next"))
-    told = second.select(*[F.col(k).alias(f"_{k}") for k in keys], "next")
-    score = -F.col("best.far")
-    margin = F.bround(score + F.coalesce("next", F.lit(0.0)), 10)
-    out = best.join(told, same, "left").select(
-        *keys, F.when(F.col("n") > 1, "disputed").otherwise("agreed").alias("kind"), F.col("best.value").alias("winner"), score.alias("score"), margin.alias("margin"),
-        "threshold", "least_margin", F.col("prior.value").alias("by_priority"), F.col("fresh.value").alias("by_freshness"),
-    )
-    abstained = (F.col("score") < F.col("threshold")) | ((F.col("kind") == "disputed") & (F.col("margin") < F.col("least_margin")))
-    sure = F.when(abstained, "low").when(F.col("margin") >= 2 * F.col("least_margin"), "high").otherwise("medium")
-    return out.select(*keys, "kind", "winner", "score", "margin", sure.alias("confidence"), abstained.alias("abstained"), "by_priority", "by_freshness")
+    ]
+
+
+def _verdict(best: Column, following: Column, threshold: Column, least: Column) -> list[Column]:
+    """kind, winner, score, margin, confidence and abstained of a key with ``n`` candidates."""
+    score, several = -best["far"], F.col("n") > 1
+    margin = F.bround(score + F.coalesce(following, F.lit(0.0)), 10)
+    abstained = (score < threshold) | (several & (margin < least))
+    sure = F.when(abstained, "low").when(margin >= 2 * least, "high").otherwise("medium")
+    return [
+        F.when(several, "disputed").otherwise("agreed").alias("kind"), best["value"].alias("winner"), score.alias("score"), margin.alias("margin"),
+        sure.alias("confidence"), abstained.alias("abstained"),
+    ]

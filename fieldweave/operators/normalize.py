@@ -139,8 +139,8 @@ def _specific(**fields: Column) -> Column:
     return F.struct(*[fields.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds])
 
 
-def _shaped(df: DataFrame, **fields: Column) -> DataFrame:
-    return df.select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RECORD])
+def _shaped(df: DataFrame, beside: tuple[str, ...] = (), **fields: Column) -> DataFrame:
+    return df.select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RECORD], *beside)
 
 
 def advisory_affected(affected: Column) -> Column:

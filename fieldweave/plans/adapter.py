@@ -101,9 +101,10 @@ def _list(when: Column, *items: Column) -> Column:
     return F.when(when, F.array(*items)).otherwise(F.array().cast(f"array<{AFFECTED}>"))
 
 
-def _record(df: DataFrame, source: str, source_id: Column, published: str, cwe: Column, refs: Column, label: str, summary: str, affected: Column, path: Column) -> DataFrame:
+def _record(df: DataFrame, source: str, source_id: Column, published: str, cwe: Column, refs: Column, label: str, summary: str, affected: Column, path: Column, beside: tuple[str, ...] = ()) -> DataFrame:
     return _shaped(
         df,
+        beside,
         source=F.lit(source),
         source_id=source_id,
         cve_id=F.col("cve_id"),
@@ -153,11 +154,11 @@ def left_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record(orders.selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in LEFT.items()]), **_left_columns())
 
 
-def right_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared records of all lines."""
+def right_records(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    """Shared records of all lines, and columns ``beside`` them."""
     orders, lines = _tables(spark, sf_dir)
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    return _record(joined.selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in RIGHT.items()]), **_right_columns())
+    return _record(joined.selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in RIGHT.items()]), **_right_columns(), beside=beside)
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:

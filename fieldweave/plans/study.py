@@ -28,8 +28,7 @@ def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of orders and of their lines, whose source follows from the supplier."""
     left = evidence.claims(adapter.left_records(spark, sf_dir), F.lit("nvd"))
-    supplier = F.get(F.split("source_id", "/"), F.lit(2)).cast("long")
-    right = evidence.claims(adapter.right_records(spark, sf_dir), F.concat(F.lit("feed"), (supplier % 3).cast("string")))
+    right = evidence.claims(adapter.right_records(spark, sf_dir, "l_suppkey"), F.concat(F.lit("feed"), (F.col("l_suppkey") % 3).cast("string")))
     return left.unionByName(right)
 
 
@@ -134,7 +133,7 @@ def ablation_typing(spark, sf_dir):
 
 def ablation_decisions(spark, sf_dir):
     """Decisions under each ablation of the evidence: how many answer, abstain, and are right."""
-    decided = evidence.decide(evidence.under_variants(_features(spark, sf_dir), evidence.ABLATIONS), None, ("variant", "cve_id", "field"))
+    decided = evidence.decide_under(_features(spark, sf_dir), evidence.ABLATIONS)
     counts = _with_gold(decided).groupBy("variant", "field")
     return counts.agg(
         F.count("*").alias("decisions"), F.count_if("abstained").alias("abstained"), F.count_if(~F.col("abstained") & (F.col("winner") == F.col("gold"))).alias("right_answered")

@@ -214,3 +214,15 @@ def test_decisions(spark):
     sure = {r["cve_id"]: r["abstained"] for r in evidence.decide(evidence.under_variants(found, {"all": evidence.ABLATIONS["no_abstention"]}), None).collect()}
     assert not any(sure.values())
     assert evidence.decide(evidence.scored(evidence.features(df.limit(0), {"good": 1.0}))).count() == 0
+
+
+def test_decisions_under_policies_join_nothing_and_move_claims_once(spark):
+    rng = random.Random(6)
+    rows = [(str(rng.randrange(9)), rng.choice("fg"), rng.choice("xyz"), rng.choice(["good", "poor", "odd"]), f"2024-01-{rng.randrange(10, 29)}", rng.randrange(3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "cve_id string, field string, value string, source string, seen string, refs int").withColumn("seen", F.col("seen").cast("timestamp"))
+    found = evidence.features(df, {"good": 0.9, "poor": 0.2})
+    one = evidence.decide_under(found, evidence.ABLATIONS)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    other = evidence.decide(evidence.under_variants(found, evidence.ABLATIONS), None, ("variant", "cve_id", "field")).select(*one.columns)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() == 18 * len(evidence.ABLATIONS)
