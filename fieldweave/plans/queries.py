@@ -356,9 +356,9 @@ def feed_file_counts(spark, sf_dir):
 
 
 def records_round_trip(spark, sf_dir):
-    """Records of all lines written as JSON lines and read back."""
+    """Records of all lines written as JSON lines and read back; the lines, most of them names of fields, are packed."""
     path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.jsonl"
-    write_jsonl(adapter.right_records(spark, sf_dir), path)
+    write_jsonl(adapter.right_records(spark, sf_dir), path, compression="gzip")
     back = read_records(spark, path)
     return back.select("cve_id", "source_id", F.col("severity.label").alias("label"), "published", _joined(F.col("cwe_ids")).alias("cwe_ids"), F.size("references").cast("long").alias("refs"), F.col("source_specific.relative_path").alias("path"))
 

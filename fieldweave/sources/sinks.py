@@ -11,11 +11,14 @@ from fieldweave import constants as K
 from fieldweave.sources.files import write_text
 
 
-def write_jsonl(df: DataFrame, path: str, **counters: Column) -> dict:
-    """Write JSON lines and return ``rows`` and the named aggregates, counted by the write itself; nulls are spelled out."""
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None, **counters: Column) -> dict:
+    """Write JSON lines and return ``rows`` and the named aggregates, counted by the write itself; nulls are spelled out.
+
+    ``compression`` names a codec of Spark's JSON writer; readers tell it from the files' names.
+    """
     seen = Observation()
     told = [F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counters.items()]]
-    df.observe(seen, *told).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.observe(seen, *told).write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
     return seen.get
 
 
