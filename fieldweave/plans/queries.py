@@ -28,6 +28,11 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return adapter.left_records(spark, sf_dir), adapter.right_records(spark, sf_dir)
 
 
+def _told(records: DataFrame, *fields: str) -> DataFrame:
+    """Records as far as a query reads them, with what alignment needs: the rest does not move."""
+    return records.select("cve_id", *fields)
+
+
 def _joined(values: Column) -> Column:
     return F.array_join(values, "|")
 
@@ -39,7 +44,8 @@ def _keyed(pairs: DataFrame, result: Column, *extra: str) -> DataFrame:
 
 def align_left_join(spark, sf_dir):
     """Every order with its lines in path order."""
-    a = al.align(*_sides(spark, sf_dir))
+    left, right = _sides(spark, sf_dir)
+    a = al.align(_told(left), _told(right, "source_id", F.struct("severity.label").alias("severity"), F.struct("source_specific.relative_path").alias("source_specific")))
     labels = F.transform("ghsa", lambda g: F.coalesce(g["severity"]["label"], F.lit("-")))
     paths = F.transform("ghsa", lambda g: g["source_id"])
     return a.select("cve_id", F.size("ghsa").cast("long").alias("n_ghsa"), _joined(labels).alias("labels"), _joined(paths).alias("paths"))
@@ -64,7 +70,8 @@ def align_coverage_docs(spark, sf_dir):
 
 
 def one_to_one_pairs(spark, sf_dir):
-    pairs = al.one_to_one_of(*_sides(spark, sf_dir))
+    left, right = (_told(s, F.struct("severity.label").alias("severity"), "published") for s in _sides(spark, sf_dir))
+    pairs = al.one_to_one_of(left, right)
     return pairs.select("cve_id", F.col("nvd.severity.label").alias("nvd_label"), F.col("ghsa.severity.label").alias("ghsa_label"), F.col("ghsa.published").alias("ghsa_published"))
 
 

@@ -48,3 +48,17 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else real(name, *a))
     assert set(entry.queries()) == {*queries.QUERIES, *study.QUERIES}
+
+
+def test_alignment_moves_only_what_its_query_reads(spark):
+    """No list of links, spans or summaries crosses a shuffle."""
+    for name in ("align_left_join", "one_to_one_pairs"):
+        plan = queries.QUERIES[name](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert "example.org" not in plan and "r_summary" not in plan
+
+
+def test_records_go_round_packed(spark, monkeypatch):
+    names, read = [], queries.read_records
+    monkeypatch.setattr(queries, "read_records", lambda session, path: names.extend(Path(path.removeprefix("file:")).glob("part-*")) or read(session, path))
+    assert queries.records_round_trip(spark, str(SF)).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert names and all(n.name.endswith(".json.gz") for n in names)
