@@ -134,6 +134,69 @@ def affected_versions(left: Column, right: Column, left_effective: Column, right
     return _result(steps, nvd_value=left, ghsa_value=right)
 
 
+def needed(records: DataFrame) -> DataFrame:
+    """Records as far as ``statuses`` reads them: what a shuffle before it has to move."""
+    spans = F.transform("affected", lambda a: F.struct(*[a[f].alias(f) for f in (*versions.SPAN, "package_name", "product")]))
+    urls_of = F.transform("references", lambda r: F.struct(r["url"].alias("url"), r["host"].alias("host")))
+    return records.select("cve_id", F.struct("severity.label").alias("severity"), "published", "cwe_ids", urls_of.alias("references"), spans.alias("affected"))
+
+
+def _raw(side: str) -> dict[str, Column]:
+    """The raw columns of a side that the status of each field follows from."""
+    r = F.col(side)
+    return {
+        "severity": r["severity"]["label"], "published": r["published"], "cwe_ids": r["cwe_ids"],
+        "references": F.transform(r["references"], lambda x: F.struct(x["url"].alias("url"), x["host"].alias("host"))),
+        "affected_versions": F.transform(r["affected"], lambda a: F.struct(*[a[f].alias(f) for f in versions.SPAN])),
+    }
+
+
+def tallied(pairs: DataFrame, fields: tuple[str, ...] = K.COMPARED, *beside: str) -> DataFrame:
+    """(field, beside, n, nvd, ghsa): how often each field meets the same two raw values, for counts that depend on nothing else.
+
+    The records hold the values of their field only, so ``normalized`` and the comparators judge a combination once
+    however many pairs have it. Partial counts go by hash: values that never repeat move as they are, once.
+    """
+    both = {side: _raw(side) for side in ("nvd", "ghsa")}
+    kinds = pairs.select(*[both[s][f].alias(f"{s}_{f}") for s in both for f in fields]).schema
+    rows = [
+        F.struct(F.lit(f).alias("field"), *[(both[s][g] if g == f else F.lit(None).cast(kinds[f"{s}_{g}"].dataType)).alias(f"{s}_{g}") for s in both for g in fields])
+        for f in fields
+    ]
+    counts = pairs.select(*beside, F.inline(F.array(*rows))).groupBy("field", *beside, *kinds.names).agg(F.count("*").alias("n"))
+
+    def record(side: str) -> Column:
+        def value(field: str, kind: str) -> Column:
+            return F.col(f"{side}_{field}") if field in fields else F.lit(None).cast(kind)
+
+        none = F.lit(None).cast("string")
+        spans = value("affected_versions", versions.SPAN_TYPE)
+        affected = F.transform(spans, lambda a: F.struct(*[a[f].alias(f) for f in versions.SPAN], none.alias("package_name"), none.alias("product")))
+        return F.struct(
+            F.struct(value("severity", "string").alias("label")).alias("severity"), value("published", "string").alias("published"), value("cwe_ids", "array<string>").alias("cwe_ids"),
+            value("references", "array<struct<url: string, host: string>>").alias("references"), affected.alias("affected"),
+        ).alias(side)
+
+    # few bytes, but judging them costs much: a number of parts is not reduced by their size
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.repartition(parts, *beside, *kinds.names).select("field", *beside, "n", record("nvd"), record("ghsa"))
+
+
+def status_of(field: str = "field") -> Column:
+    """The status of the one field that a row of ``normalized(tallied(...))`` holds."""
+    out = F.lit(None).cast("string")
+    for name, told in discrepancies().items():
+        out = F.when(F.col(field) == name, told["status"]).otherwise(out)
+    return out
+
+
+def status_totals(pairs: DataFrame) -> DataFrame:
+    """What ``status_counts(statuses(pairs))`` gives, each combination of values judged once."""
+    judged = normalized(tallied(pairs)).select("field", "n", status_of().alias("status"))
+    counts = judged.groupBy("field").agg(*[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s) for s in K.STATUSES])
+    return counts.orderBy("field")
+
+
 def normalized(pairs: DataFrame) -> DataFrame:
     """Pairs with each side's normalized columns, computed once for the view and the comparators."""
     columns = {}

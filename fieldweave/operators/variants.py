@@ -26,38 +26,41 @@ def raw_status(left: Column, right: Column) -> Column:
 
 def typing_ablations(pairs: DataFrame) -> DataFrame:
     """(variant, field, status, pairs): counts under the full rules, without normalization, and as same or different only."""
-    statuses = compare.discrepancies()
-    rows = []
-    for field, raw in RAW.items():
-        full = F.col(f"_{field}")
-        for variant, status in {
-            "full": full, "no_normalization": raw_status(raw(F.col("nvd")), raw(F.col("ghsa"))), "binary": F.when(full == K.EQUIVALENT, SAME).otherwise(DIFFERENT),
-        }.items():
-            rows.append(F.struct(F.lit(variant).alias("variant"), F.lit(field).alias("field"), status.alias("status")))
-    judged = compare.normalized(pairs).select("nvd", "ghsa", *[statuses[f]["status"].alias(f"_{f}") for f in RAW])
-    return judged.select(F.inline(F.array(*rows))).groupBy("variant", "field", "status").agg(F.count("*").alias("pairs"))
+    told = compare.normalized(compare.tallied(pairs, tuple(RAW)))
+    raw = F.lit(None).cast("string")
+    for field, value in RAW.items():
+        raw = F.when(F.col("field") == field, raw_status(value(F.col("nvd")), value(F.col("ghsa")))).otherwise(raw)
+    judged = told.select("field", "n", compare.status_of().alias("_full"), raw.alias("_raw"))
+    variants = {"full": F.col("_full"), "no_normalization": F.col("_raw"), "binary": F.when(F.col("_full") == K.EQUIVALENT, SAME).otherwise(DIFFERENT)}
+    rows = F.array(*[F.struct(F.lit(variant).alias("variant"), status.alias("status")) for variant, status in variants.items()])
+    return judged.select("field", "n", F.inline(rows)).groupBy("variant", "field", "status").agg(F.sum("n").alias("pairs"))
 
 
 def stress(pairs: DataFrame, share: Column, levels: tuple[int, ...] = (0, 25, 50, 75)) -> DataFrame:
     """(missing, field, pairs, incomplete, conflict): typing of severity, dates and weaknesses as values go missing.
 
-    Pairs are compared once. A pair that loses its right values is typed as a
-    comparison with nothing, which depends on the left side alone.
+    Each combination of values is compared once for all pairs that have it and lose them at the same level. A pair that loses
+    its right values is typed as a comparison with nothing, which depends on the left side alone.
     """
     fields = ("severity", "published", "cwe_ids")
-    statuses = compare.discrepancies()
     gone = {
         "severity": F.col("nvd.severity.label").isNull(), "published": F.col("nvd.published").isNull(), "cwe_ids": F.size("nvd_cwe") == 0,
     }
-    judged = compare.normalized(pairs).select(
-        share.alias("_share"), *[statuses[f]["status"].alias(f"_{f}") for f in fields], *[F.when(gone[f], K.EQUIVALENT).otherwise(K.INCOMPLETE).alias(f"_gone_{f}") for f in fields]
-    )
-    rows = [
-        F.struct(F.lit(level).alias("missing"), F.lit(f).alias("field"), F.when(F.col("_share") < level, F.col(f"_gone_{f}")).otherwise(F.col(f"_{f}")).alias("status"))
-        for level in levels for f in fields
-    ]
-    counted = judged.select(F.inline(F.array(*rows))).groupBy("missing", "field")
-    return counted.agg(F.count("*").alias("pairs"), F.count_if(F.col("status") == K.INCOMPLETE).alias("incomplete"), F.count_if(F.col("status") == K.CONFLICT).alias("conflict"))
+    kept = F.lit(min(levels) - 1)  # the highest level that a pair keeps its values at; one without a share never loses them
+    for level in sorted(levels):
+        kept = F.when(share.isNull() | (share >= level), level).otherwise(kept)
+    lost = F.lit(None).cast("boolean")
+    for f in fields:
+        lost = F.when(F.col("field") == f, gone[f]).otherwise(lost)
+    told = compare.normalized(compare.tallied(pairs.withColumn("_kept", kept), fields, "_kept"))
+    judged = told.select("field", "_kept", "n", compare.status_of().alias("_status"), F.when(lost, K.EQUIVALENT).otherwise(K.INCOMPLETE).alias("_gone"))
+    rows = F.array(*[F.struct(F.lit(level).alias("missing"), F.when(F.col("_kept") < level, F.col("_gone")).otherwise(F.col("_status")).alias("status")) for level in levels])
+    counted = judged.select("field", "n", F.inline(rows)).groupBy("missing", "field")
+
+    def of(status: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0))
+
+    return counted.agg(F.sum("n").alias("pairs"), of(K.INCOMPLETE).alias("incomplete"), of(K.CONFLICT).alias("conflict"))
 
 
 def official_presence(hosts: Column, official: tuple[str, ...]) -> Column:

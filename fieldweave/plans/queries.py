@@ -116,12 +116,13 @@ def cmp_affected(spark, sf_dir):
 def discrepancy_stats(spark, sf_dir):
     """Status counts of all five fields over every pair."""
     pairs = adapter.all_pairs(spark, sf_dir).select("cve_id", "nvd", "ghsa")
-    return compare.status_counts(compare.statuses(pairs))
+    return compare.status_totals(pairs)
 
 
 def discrepancy_stats_one_to_one(spark, sf_dir):
     """Status counts over the pairs that alignment leaves one to one."""
-    return compare.status_counts(compare.statuses(al.one_to_one_of(*_sides(spark, sf_dir))))
+    left, right = (compare.needed(s) for s in _sides(spark, sf_dir))
+    return compare.status_totals(al.one_to_one_of(left, right))
 
 
 def unified_view_flat(spark, sf_dir):

@@ -123,7 +123,7 @@ def typing_metrics(spark, sf_dir):
 
 def discrepancy_rates(spark, sf_dir):
     """Shares of pairs that differ, and of conflicts among them, by field."""
-    return evaluation.discrepancy_rates(compare.status_counts(compare.statuses(adapter.all_pairs(spark, sf_dir))))
+    return evaluation.discrepancy_rates(compare.status_totals(adapter.all_pairs(spark, sf_dir)))
 
 
 def ablation_typing(spark, sf_dir):

@@ -131,3 +131,15 @@ def test_no_python_in_the_plan(spark, capsys):
     df = spark.createDataFrame([("CVE-2024-1", record(), record())], compare_schema())
     compare.status_counts(compare.compare_pairs(df)).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_totals_judge_each_combination_once(spark):
+    """Pairs of equal values are one row of the tally, and its totals are those of pairs judged one by one."""
+    from fieldweave.plans import adapter
+
+    pairs = adapter.all_pairs(spark, "/root/testdata/sf0.001").limit(400)
+    pairs = pairs.unionByName(pairs)
+    tally = compare.tallied(pairs)
+    assert {r["n"] % 2 for r in tally.collect()} == {0} and tally.where("field = 'severity'").count() < 50
+    assert compare.status_totals(pairs).collect() == compare.status_counts(compare.statuses(pairs)).collect()
+    assert all(sum(r[1:]) == 0 for r in compare.status_totals(pairs.limit(0)).collect())
