@@ -69,12 +69,10 @@ def weakness_relations(spark, sf_dir):
 def cvss_consistency(spark, sf_dir):
     """Vectors derived from orders and lines: recomputed scores, what they are off by, and the metrics that differ."""
     pairs = adapter.joined(spark, sf_dir).selectExpr(*KEYS, f"{adapter.VECTORS['l_vector']} AS l_vector", f"{adapter.VECTORS['r_vector']} AS r_vector", f"{adapter.VECTORS['l_score']} AS l_score")
-    scores = pairs.select(
-        "*", cvss.base_score(F.col("l_vector")).alias("left_base"), cvss.base_score(F.col("r_vector")).alias("right_base"), cvss.differing(cvss.metrics(F.col("l_vector")), cvss.metrics(F.col("r_vector"))).alias("d")
-    )
+    scores = cvss.consistency(pairs, "l_vector", "r_vector")
     return scores.select(
         *KEYS, "left_base", "right_base", F.bround(F.col("l_score") - F.col("left_base"), 1).alias("left_delta"), F.bround(F.col("left_base") - F.col("right_base"), 1).alias("base_delta"),
-        F.array_join("d", "|").alias("differing"),
+        F.array_join("differing", "|").alias("differing"),
     )
 
 

@@ -136,6 +136,25 @@ def test_differing_metrics(spark):
     assert [r["d"] for r in df.select(cvss.differing(cvss.metrics(F.col("a")), cvss.metrics(F.col("b"))).alias("d")).collect()] == [["AV:N>L", "S:U>-"], None]
 
 
+def test_common_vectors_are_scored_as_all_others(spark):
+    """Scores and differences go on from column to column for common vectors, and are those of the general expressions for every vector."""
+    vectors = [
+        None, "", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.0/AV:A/AC:H/PR:L/UI:R/S:C/C:L/I:N/A:H", "CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:C/C:L/I:L/A:L",
+        "CVSS:3.0/AV:L/AC:L/PR:N/UI:N/S:C/C:N/I:N/A:N", "CVSS:3.1/AV:N/AC:L", "CVSS:3.1/AV:N", "CVSS:3.1/AV:x/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/",
+        "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H\n", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H/E:P", "CVSS:3.1/AC:L/AV:N/PR:N/UI:N/S:U/C:H/I:H/A:H",
+        "CVSS:3.1/AV:N/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:NN/AC:L", "CVSS:4.0/AV:N/AC:L/AT:N", "CVSS:3.2/AV:N/AC:L", "AV:N/AC:L/Au:N/C:P/I:P/A:P", "AV:L/AC:H/Au:M/C:N/I:N/A:N",
+        "(AV:N/AC:L/Au:N/C:C/I:C/A:C)", "AV:N/AC:L/Au:N", "AV:N/AC:L/Au:X/C:C/I:C/A:C", "AV:P/AC:L/Au:N/C:C/I:C/A:C", "AV:N/AC:L", "no vector",
+    ]
+    one = spark.createDataFrame([(v,) for v in vectors], "v string")
+    pairs = one.select(F.col("v").alias("a")).crossJoin(one.select(F.col("v").alias("b")))
+    told = cvss.consistency(pairs, "a", "b")
+    assert told.columns == ["a", "b", "left_base", "right_base", "differing"]
+    rows = told.select("*", cvss.base_score(F.col("a")).alias("x"), cvss.base_score(F.col("b")).alias("y"), cvss.differing(cvss.metrics(F.col("a")), cvss.metrics(F.col("b"))).alias("d")).collect()
+    assert len(rows) == len(vectors) ** 2
+    assert [r for r in rows if (r["left_base"], r["right_base"], r["differing"]) != (r["x"], r["y"], r["d"])] == []
+    assert {r["left_base"] for r in rows if r["a"] == vectors[2]} == {9.8}
+
+
 # --- histories --------------------------------------------------------------------
 def test_update_gaps_of_a_hot_key(spark):
     rng = random.Random(8)
