@@ -198,11 +198,16 @@ def status_totals(pairs: DataFrame) -> DataFrame:
 
 
 def normalized(pairs: DataFrame) -> DataFrame:
-    """Pairs with each side's normalized columns, computed once for the view and the comparators."""
+    """Pairs with each side's normalized columns, computed once for the view and the comparators.
+
+    What they read raw stands beside the records as columns too: a plan that needs no more of a record does not build it.
+    """
     columns = {}
     for side in ("nvd", "ghsa"):
         r = F.col(side)
         columns |= {
+            f"{side}_label": r["severity"]["label"],
+            f"{side}_published": r["published"],
             f"{side}_time": dates.parse_iso(r["published"]),
             f"{side}_cwe": text.cwe_set(r["cwe_ids"]),
             f"{side}_urls": urls.url_set(r["references"]),
@@ -219,8 +224,8 @@ def discrepancies() -> dict[str, Column]:
     """The five comparisons over the columns of ``normalized``."""
     c = F.col
     return {
-        "severity": severity(c("nvd.severity.label"), c("ghsa.severity.label")),
-        "published": published(c("nvd.published"), c("ghsa.published"), c("nvd_time"), c("ghsa_time")),
+        "severity": severity(c("nvd_label"), c("ghsa_label")),
+        "published": published(c("nvd_published"), c("ghsa_published"), c("nvd_time"), c("ghsa_time")),
         "cwe_ids": set_field(c("nvd_cwe"), c("ghsa_cwe"), overlap=K.REPRESENTATION, conflict_note=K.DISJOINT_CWE),
         "references": references(c("nvd_urls"), c("ghsa_urls"), c("nvd_hosts"), c("ghsa_hosts"), c("nvd_listed"), c("ghsa_listed")),
         "affected_versions": affected_versions(c("nvd_spans"), c("ghsa_spans"), c("nvd_effective"), c("ghsa_effective")),
@@ -233,15 +238,15 @@ def unified_view() -> Column:
 
     def label(side: str) -> Column:
         s = c(f"{side}.severity")
-        canonical = text.canonical_severity(s["label"], K.SEVERITY)
-        return F.struct(s["label"].alias("label"), s["score"].alias("score"), s["vector"].alias("vector"), canonical.alias("canonical_label"))
+        canonical = text.canonical_severity(c(f"{side}_label"), K.SEVERITY)
+        return F.struct(c(f"{side}_label").alias("label"), s["score"].alias("score"), s["vector"].alias("vector"), canonical.alias("canonical_label"))
 
     def both(suffix: str) -> Column:
         return F.struct(c(f"nvd_{suffix}").alias("nvd"), c(f"ghsa_{suffix}").alias("ghsa"))
 
     return F.struct(
         F.struct(label("nvd").alias("nvd"), label("ghsa").alias("ghsa")).alias("severity"),
-        F.struct(c("nvd.published").alias("nvd"), c("ghsa.published").alias("ghsa")).alias("published"),
+        both("published").alias("published"),
         both("cwe").alias("cwe_ids"),
         F.struct("nvd_urls", "ghsa_urls", "nvd_hosts", "ghsa_hosts").alias("references"),
         both("spans").alias("affected_versions"),

@@ -44,7 +44,7 @@ def stress(pairs: DataFrame, share: Column, levels: tuple[int, ...] = (0, 25, 50
     """
     fields = ("severity", "published", "cwe_ids")
     gone = {
-        "severity": F.col("nvd.severity.label").isNull(), "published": F.col("nvd.published").isNull(), "cwe_ids": F.size("nvd_cwe") == 0,
+        "severity": F.col("nvd_label").isNull(), "published": F.col("nvd_published").isNull(), "cwe_ids": F.size("nvd_cwe") == 0,
     }
     kept = F.lit(min(levels) - 1)  # the highest level that a pair keeps its values at; one without a share never loses them
     for level in sorted(levels):

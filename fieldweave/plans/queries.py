@@ -90,7 +90,7 @@ def severity_canonical(spark, sf_dir):
 
 
 def cmp_severity(spark, sf_dir):
-    return _keyed(adapter.all_pairs(spark, sf_dir), compare.discrepancies()["severity"], "r.rank_distance AS rank_distance")
+    return _keyed(compare.normalized(adapter.all_pairs(spark, sf_dir)), compare.discrepancies()["severity"], "r.rank_distance AS rank_distance")
 
 
 def cmp_published(spark, sf_dir):

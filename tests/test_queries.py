@@ -57,6 +57,13 @@ def test_alignment_moves_only_what_its_query_reads(spark):
         assert "example.org" not in plan and "r_summary" not in plan
 
 
+def test_comparing_a_field_builds_no_records(spark):
+    """A comparison of dates or labels does not make the links, spans and summaries of both records."""
+    for name in ("cmp_published", "cmp_severity"):
+        plan = queries.QUERIES[name](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+        assert "example.org" not in plan and "r_summary" not in plan, name
+
+
 def test_records_go_round_packed(spark, monkeypatch):
     names, read = [], queries.read_records
     monkeypatch.setattr(queries, "read_records", lambda session, path: names.extend(Path(path.removeprefix("file:")).glob("part-*")) or read(session, path))
