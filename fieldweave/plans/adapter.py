@@ -81,6 +81,10 @@ VECTORS = {
     + " ELSE " + _vector("CVSS:3.1/", "(o_orderkey + l_partkey % 3)") + " END",
     "l_score": "CAST(o_orderkey % 101 AS DOUBLE) / 10",
 }
+#: The scalars of each side that its links and its affected spans are made of.
+LINKS = {"nvd": ("l_ref1", "l_ref2"), "ghsa": ("r_ref1", "r_ref2", "r_ref3")}
+SPANS = {"nvd": ("l_start", "l_end_in", "l_end_ex", "l_version"), "ghsa": ("r_start", "r_end", "r_fixed", "r_two")}
+WEAKNESSES = {"nvd": ("l_cwe1", "l_cwe2"), "ghsa": ("r_cwe1", "r_cwe2")}
 KEYS = ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -170,10 +174,23 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repartition(parts, "l_orderkey").join(orders, lines["l_orderkey"] == orders["o_orderkey"])
 
 
-def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(keys, cve_id, nvd, ghsa): every line with its order, as a pair of shared records."""
+def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its order and the scalars of both."""
     scalars = {**LEFT, **RIGHT}
-    pairs = joined(spark, sf_dir).selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in scalars.items()])
+    return joined(spark, sf_dir).selectExpr("*", f"{CVE_ID} AS cve_id", *[f"{v} AS {k}" for k, v in scalars.items()])
+
+
+def raw_values(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Scalars, named in ``names``, of all orders or of all lines; such as follow from one of these tables alone."""
+    orders, lines = _tables(spark, sf_dir)
+    table, scalars = (orders, LEFT) if set(names) <= LEFT.keys() else (lines, RIGHT)
+    return table.selectExpr(*[f"{scalars[n]} AS {n}" for n in names])
+
+
+def records_of(raw: DataFrame) -> DataFrame:
+    """``raw`` with nvd and ghsa, the shared records that its scalars make; scalars and keys that it lacks are null."""
+    kinds = {"cve_id": "string", **dict.fromkeys(KEYS, "bigint"), "l_extendedprice": "double", **dict.fromkeys({**LEFT, **RIGHT}, "string"), "r_two": "boolean"}
+    whole = raw.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in raw.columns})
 
     def struct(parts: dict) -> Column:
         fields = {
@@ -183,4 +200,9 @@ def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return F.struct(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RECORD])
 
-    return pairs.select(*KEYS, "cve_id", struct(_left_columns()).alias("nvd"), struct(_right_columns()).alias("ghsa"))
+    return whole.select(*raw.columns, struct(_left_columns()).alias("nvd"), struct(_right_columns()).alias("ghsa"))
+
+
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(keys, cve_id, nvd, ghsa): every line with its order, as a pair of shared records."""
+    return records_of(raw_pairs(spark, sf_dir)).select(*KEYS, "cve_id", "nvd", "ghsa")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.operators import compare, cvss, evaluation, evidence, history, ranges, sampling, taxonomy, variants
+from fieldweave.operators.once import once
 from fieldweave.plans import adapter
 
 KEYS = adapter.KEYS
@@ -49,10 +50,20 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_interval_relation(spark, sf_dir):
-    """How both sides' version ranges of every pair lie to each other, and what they share."""
-    told = _normalized(spark, sf_dir).select(*KEYS, ranges.compared(F.col("nvd_effective"), F.col("ghsa_effective")).alias("r"))
-    spelled = [ranges.spelled(F.col(f"r.{c}")).alias(c) for c in ("shared", "left_only", "right_only")]
-    return told.select(*KEYS, F.col("r.relation").alias("relation"), *spelled, ranges.spelled(F.col("r.union")).alias("covered"), ranges.spelled(ranges.gaps(F.col("r.union"))).alias("gaps"), F.col("r.unreadable").cast("int").alias("unreadable"))
+    """How both sides' version ranges of every pair lie to each other, and what they share; equal ranges are held against each other once."""
+
+    def judge(raw: DataFrame) -> DataFrame:
+        pairs = compare.normalized(adapter.records_of(raw))
+        told = pairs.select(*raw.columns, ranges.compared(F.col("nvd_effective"), F.col("ghsa_effective")).alias("r"))
+        spelled = [ranges.spelled(F.col(f"r.{c}")).alias(c) for c in ("shared", "left_only", "right_only")]
+        return told.select(
+            *raw.columns, F.col("r.relation").alias("relation"), *spelled, ranges.spelled(F.col("r.union")).alias("covered"), ranges.spelled(ranges.gaps(F.col("r.union"))).alias("gaps"),
+            F.col("r.unreadable").cast("int").alias("unreadable"),
+        )
+
+    sides = [adapter.raw_values(spark, sf_dir, *names) for names in adapter.SPANS.values()]
+    told = once(adapter.raw_pairs(spark, sf_dir), sides, judge)
+    return told.select(*KEYS, "relation", "shared", "left_only", "right_only", "covered", "gaps", "unreadable")
 
 
 def weakness_relations(spark, sf_dir):
