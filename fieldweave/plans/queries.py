@@ -14,6 +14,7 @@ from fieldweave import constants as K
 from fieldweave.functions import text, urls, versions
 from fieldweave.operators import align as al
 from fieldweave.operators import compare, coverage, normalize
+from fieldweave.operators.once import once
 from fieldweave.plans import adapter
 from fieldweave.sources.feeds import advisory_year_counts, choose_files, feed_year_counts, read_records
 from fieldweave.sources.sinks import write_jsonl
@@ -37,9 +38,20 @@ def _joined(values: Column) -> Column:
     return F.array_join(values, "|")
 
 
-def _keyed(pairs: DataFrame, result: Column, *extra: str) -> DataFrame:
-    staged = pairs.select(*adapter.KEYS, "cve_id", result.alias("r"))
-    return staged.select(*adapter.KEYS, "cve_id", F.col("r.status").alias("status"), F.col("r.note").alias("note"), *[F.expr(e) for e in extra])
+def _keyed(pairs: DataFrame, result: Column, *extra: str, keys: tuple[str, ...] = (*adapter.KEYS, "cve_id")) -> DataFrame:
+    staged = pairs.select(*keys, result.alias("r"))
+    return staged.select(*keys, F.col("r.status").alias("status"), F.col("r.note").alias("note"), *[F.expr(e) for e in extra])
+
+
+def _compared(spark: SparkSession, sf_dir: str, field: str, raw: dict[str, tuple[str, ...]], *extra: str) -> DataFrame:
+    """A comparison of all pairs that follows from scalars ``raw`` of both sides: equal values are compared once."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return _keyed(compare.normalized(adapter.records_of(rows)), compare.discrepancies()[field], *extra, keys=tuple(rows.columns))
+
+    rows = adapter.raw_pairs(spark, sf_dir)
+    told = once(rows, [adapter.raw_values(spark, sf_dir, *names) for names in raw.values()], judge)
+    return told.select(*adapter.KEYS, "cve_id", *[c for c in told.columns if c not in rows.columns])
 
 
 def align_left_join(spark, sf_dir):
@@ -104,8 +116,10 @@ def cmp_cwe(spark, sf_dir):
 
 
 def cmp_references(spark, sf_dir):
-    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
-    return _keyed(pairs, compare.discrepancies()["references"], "array_join(r.nvd_value, '|') AS nvd_value", "array_join(r.ghsa_hosts, '|') AS ghsa_hosts", "array_join(r.shared_values, '|') AS shared_values")
+    return _compared(
+        spark, sf_dir, "references", adapter.LINKS,
+        "array_join(r.nvd_value, '|') AS nvd_value", "array_join(r.ghsa_hosts, '|') AS ghsa_hosts", "array_join(r.shared_values, '|') AS shared_values",
+    )
 
 
 def cmp_affected(spark, sf_dir):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.operators.once import once
-from fieldweave.plans import study, study_oracles
+from fieldweave.plans import oracles, queries, study, study_oracles
 from tests.test_queries import SF, assert_same
 
 
@@ -33,7 +33,7 @@ def test_nothing_is_judged_of_empty_tables(spark):
 
 @pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize(("module", "sql", "name"), [
-    (study, study_oracles, "version_interval_relation"),
+    (study, study_oracles, "version_interval_relation"), (queries, oracles, "cmp_references"),
 ])
 def test_values_that_do_not_repeat_are_judged_one_by_one(spark, monkeypatch, module, sql, name):
     monkeypatch.setattr(module, "once", partial(once, most=0))
