@@ -140,23 +140,35 @@ def discrepancy_stats_one_to_one(spark, sf_dir):
 
 
 def unified_view_flat(spark, sf_dir):
-    pairs = compare.normalized(adapter.all_pairs(spark, sf_dir))
-    v = pairs.select(*adapter.KEYS, compare.unified_view().alias("v"))
-    return v.select(
-        *adapter.KEYS,
-        F.col("v.severity.nvd.canonical_label").alias("nvd_severity"),
-        F.col("v.severity.ghsa.canonical_label").alias("ghsa_severity"),
-        F.col("v.published.nvd").alias("nvd_published"),
-        F.col("v.published.ghsa").alias("ghsa_published"),
-        _joined(F.col("v.cwe_ids.nvd")).alias("nvd_cwe"),
-        _joined(F.col("v.cwe_ids.ghsa")).alias("ghsa_cwe"),
-        _joined(F.col("v.references.nvd_urls")).alias("nvd_urls"),
-        _joined(F.col("v.references.ghsa_urls")).alias("ghsa_urls"),
-        _joined(F.col("v.references.nvd_hosts")).alias("nvd_hosts"),
-        _joined(F.col("v.package_names.nvd")).alias("nvd_packages"),
-        _joined(F.col("v.package_names.ghsa")).alias("ghsa_packages"),
-        F.size("v.affected_versions.ghsa").cast("long").alias("ghsa_spans"),
-    )
+    """The unified view of every pair as plain columns; equal links, spans and weaknesses of a side are normalized once."""
+    v = F.col("v")
+    of_side = {
+        "nvd": {
+            "nvd_cwe": _joined(v["cwe_ids"]["nvd"]), "nvd_urls": _joined(v["references"]["nvd_urls"]), "nvd_hosts": _joined(v["references"]["nvd_hosts"]),
+            "nvd_packages": _joined(v["package_names"]["nvd"]),
+        },
+        "ghsa": {
+            "ghsa_cwe": _joined(v["cwe_ids"]["ghsa"]), "ghsa_urls": _joined(v["references"]["ghsa_urls"]), "ghsa_packages": _joined(v["package_names"]["ghsa"]),
+            "ghsa_spans": F.size(v["affected_versions"]["ghsa"]).cast("long"),
+        },
+    }
+
+    def viewed(rows: DataFrame, told: dict[str, Column]) -> DataFrame:
+        views = compare.normalized(adapter.records_of(rows)).select(*rows.columns, compare.unified_view().alias("v"))
+        return views.select(*rows.columns, *[c.alias(k) for k, c in told.items()])
+
+    rows = adapter.raw_pairs(spark, sf_dir)
+    for side, told in of_side.items():
+        names = (*adapter.WEAKNESSES[side], *adapter.LINKS[side], *adapter.SPANS[side])
+        # the normalized columns that stand between have names of the result
+        told = {f"told_{k}": c for k, c in told.items()}
+        rows = once(rows, [adapter.raw_values(spark, sf_dir, *names)], lambda df, told=told: viewed(df, told))
+    own = {
+        "nvd_severity": v["severity"]["nvd"]["canonical_label"], "ghsa_severity": v["severity"]["ghsa"]["canonical_label"],
+        "nvd_published": v["published"]["nvd"], "ghsa_published": v["published"]["ghsa"],
+    }
+    told = ("nvd_cwe", "ghsa_cwe", "nvd_urls", "ghsa_urls", "nvd_hosts", "nvd_packages", "ghsa_packages", "ghsa_spans")
+    return viewed(rows, own).select(*adapter.KEYS, *own, *[F.col(f"told_{k}").alias(k) for k in told])
 
 
 def url_canonical(spark, sf_dir):

@@ -33,7 +33,7 @@ def test_nothing_is_judged_of_empty_tables(spark):
 
 @pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize(("module", "sql", "name"), [
-    (study, study_oracles, "version_interval_relation"), (queries, oracles, "cmp_references"),
+    (study, study_oracles, "version_interval_relation"), (queries, oracles, "cmp_references"), (queries, oracles, "unified_view_flat"),
 ])
 def test_values_that_do_not_repeat_are_judged_one_by_one(spark, monkeypatch, module, sql, name):
     monkeypatch.setattr(module, "once", partial(once, most=0))
