@@ -118,6 +118,57 @@ def test_closure_goes_on_from_the_longest_paths_only(spark, monkeypatch):
     assert [r.agg(F.max("depth")).first()[0] for r in rounds] == [1, 2, 4, 8, 16, 32, 32]
 
 
+def _shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_pairs_do_not_move_with_ancestors(spark):
+    """A comb of 100 steps and teeth without order: beside the closure, 10,000 pairs of teeth shuffle a few bytes each, not their ancestors."""
+    rng = random.Random(5)
+    names = [f"{rng.getrandbits(60):015x}" for _ in range(100)]
+    teeth = [f"t{rng.getrandbits(60):015x}" for _ in range(100)]
+    edges = spark.createDataFrame([*zip(names, names[1:], strict=False), *((t, rng.choice(names[:20])) for t in teeth)], "child string, parent string")
+    pairs = spark.createDataFrame([(a, b) for a in teeth for b in teeth], "left string, right string").localCheckpoint()
+    closed = _shuffled(spark)
+    taxonomy.closure(edges)
+    before = _shuffled(spark)
+    got = taxonomy.related(pairs, edges).groupBy("relation").count().collect()
+    assert sum(r["count"] for r in got) == 10_000 and "unrelated" not in {r["relation"] for r in got}
+    assert _shuffled(spark) - before < before - closed + 15 * 10_000
+
+
+@pytest.mark.parametrize("settings", [{}, {"LEAST_PAIRS": 1}, {"LEAST_PAIRS": 1, "HELD": 20}, {"PAIRS": 50, "HELD": 100}])
+def test_relations_in_many_cells(spark, monkeypatch, settings):
+    """However pairs are dealt, with a heavy left end, few pairs or many, other columns, numbers as nodes: what brute force finds."""
+    for name, value in settings.items():
+        monkeypatch.setattr(taxonomy, name, value)
+    rng = random.Random(7)
+    edges = [(c, p) for c in range(1, 60) for p in {rng.randrange(c), rng.randrange(c)} if c % 17] + [(70, 71), (71, 70)]
+    up = {i: {i: 0} for i in range(80)}
+    for _ in range(60):
+        for c, p in edges:
+            for a, d in list(up[p].items()):
+                up[c][a] = min(up[c].get(a, 99), d + 1)
+    known = spark.createDataFrame(edges, "child long, parent long")
+    for many in (2000, 9):
+        ends = [(rng.choice([5, None, *range(80)]) if i % 3 else 59, rng.choice([None, *range(80)]), i) for i in range(many)] + [(70, 71, -1), (99, 99, -2), (99, 98, -3)]
+        pairs = spark.createDataFrame(ends, "a long, b long, kind int").selectExpr("a", "b", "kind", "array(kind, null) cell", "timestamp_seconds(kind) at", "named_struct('x', cast(a as string)) node")
+        rows = taxonomy.related(pairs, known, "a", "b").collect()
+        assert sorted(r["kind"] for r in rows) == sorted(e[2] for e in ends)
+        for r in rows:
+            a, b = ({} if x is None else up.get(x, {x: 0}) for x in (r["a"], r["b"]))
+            common = min(((a[x] + b[x], x) for x in a.keys() & b.keys()), default=(None, None))
+            assert (r["distance"], r["common"]) == common, r
+            assert r["cell"] == [r["kind"], None] and r["node"]["x"] == (None if r["a"] is None else str(r["a"]))
+            n, x = common
+            shared = any(a[c] == b[c] == 1 for c in a.keys() & b.keys())
+            want = "unrelated" if n is None else "same" if n == 0 else "ancestor" if x == r["a"] else "descendant" if x == r["b"] else "sibling" if shared else "cousin"
+            assert r["relation"] == want, r
+
+
 # --- scores -----------------------------------------------------------------------
 def test_base_scores_of_known_vectors(spark):
     known = {
